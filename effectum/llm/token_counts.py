@@ -320,8 +320,8 @@ class Counter:
                 else:
                     parts.append((i, p, chars))
         for (i, p, _), s in zip(parts, self.splitter.starts([c for _, _, c in parts]), strict=True):
-            at = s.tolist()
-            out[i] += self._sum([p[a:b] for a, b in zip(at, [*at[1:], len(p)], strict=True)])
+            at = s.tolist() or [0]
+            out[i] += self._sum([p[a:b] for a, b in zip(at, [*at[1:], len(p)], strict=True) if a < b])
         return out
 
 
