@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts, token_store
+from . import bpe, line_dedup, packing, quality, token_counts, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,9 +45,22 @@ def op8_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, with their source as host."""
+    return line_dedup.drop_site_lines(documents(spark, sf_dir), F.col("source")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_site_lines_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages by the host of their URL."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
+    return line_dedup.drop_site_lines(pages, F.col("host")).select("page_id", "host", "text", "n_lines", "n_dropped")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op7_chunked_bpe, op8_differencing_packing)}
+    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op6_risk_controlled_quality, op7_chunked_bpe, op8_differencing_packing, op9_site_lines, op9_site_lines_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return {"op6_risk_controlled_quality": oracle.quality_sql(), "op9_site_lines": oracle.site_lines_sql()}
