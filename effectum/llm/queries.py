@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality, token_counts, token_store
+from . import bpe, langid, line_dedup, packing, pii, quality, simhash, token_counts, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), size=3, radius=2, seed=42)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,8 +67,26 @@ def op9_site_lines_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_site_lines(pages, F.col("host")).select("page_id", "host", "text", "n_lines", "n_dropped")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_private(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op2_token_counts, op6_risk_controlled_quality, op7_chunked_bpe, op8_differencing_packing, op9_site_lines, op9_site_lines_of_pages)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_token_store,
+            op2_token_counts,
+            op4_output_code_languages,
+            op5_pigeonhole_simhash,
+            op6_risk_controlled_quality,
+            op7_chunked_bpe,
+            op8_differencing_packing,
+            op9_site_lines,
+            op9_site_lines_of_pages,
+            op10_surrogates,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
