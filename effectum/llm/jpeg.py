@@ -309,6 +309,7 @@ def _group(images: list[Image], out: list[list[np.ndarray]]) -> None:
             total += a * b
     coef = np.zeros(total * 64, np.int16)
     luts: dict[bytes, np.ndarray] = {}
+    places: dict = {}
     lut = lambda t: luts.setdefault(t, lookup(t)) if t else np.zeros(65536, np.int32)
     for s in range(len(images[0].scans)):
         scan = images[0].scans[s]
@@ -316,7 +317,10 @@ def _group(images: list[Image], out: list[list[np.ndarray]]) -> None:
         parts, tables, counts, slots = [], [], [], [0]
         for im, lay, off in zip(images, layouts, offsets, strict=True):
             own = im.scans[s]
-            if len(comps) > 1:
+            blocks, unit, slots = places.get((id(im), tuple(comps)), (None, 1, [comps[0]]))
+            if blocks is not None:
+                pass
+            elif len(comps) > 1:
                 mw, mh = im.grid()
                 cells = []
                 slots = []
@@ -331,6 +335,7 @@ def _group(images: list[Image], out: list[list[np.ndarray]]) -> None:
                 across, _, cols, rows = lay[comps[0]]
                 blocks, unit = (off[comps[0]] + np.arange(rows)[:, None] * across + np.arange(cols)[None]).ravel(), 1
                 slots = [comps[0]]
+            places[id(im), tuple(comps)] = blocks, unit, slots
             size = own.restart * unit or len(blocks)
             n = min(len(own.parts), -(-len(blocks) // size))
             parts += own.parts[:n]
@@ -521,7 +526,7 @@ def encode(images: list[list[np.ndarray]], comments: list[bytes]) -> list[bytes]
     """Progressive files of three components, chroma halved both ways, with all quantisers 1.
 
     ``images``: of each the coefficients of the components, (down, across, 64) in zigzag order. The scans: first coefficients without their
-    last bit; low and high bands of luma, then chroma, without it; then the last bits of all.
+    last bit; of each component a low band without its last bit and a high band whole; then the last bits.
     """
     n = len(images)
     mcus = [im[1].shape[0] * im[1].shape[1] for im in images]
@@ -530,7 +535,7 @@ def encode(images: list[list[np.ndarray]], comments: list[bytes]) -> list[bytes]
         rows, cols = im[1].shape[:2]
         y = im[0][..., 0].reshape(rows, 2, cols, 2).transpose(0, 2, 1, 3).reshape(rows * cols, 4)
         dc.append(np.concatenate([y, im[1][..., 0].reshape(-1, 1), im[2][..., 0].reshape(-1, 1)], 1))
-    first = np.concatenate(dc).astype(np.int64).ravel()
+    dc_values = np.concatenate(dc).astype(np.int64).ravel()
     flat = [np.concatenate([im[c].reshape(-1, 64) for im in images]) for c in range(3)]
     counts = [[im[c].shape[0] * im[c].shape[1] for im in images] for c in range(3)]
 
@@ -546,17 +551,18 @@ def encode(images: list[list[np.ndarray]], comments: list[bytes]) -> list[bytes]
     slot = np.tile([0, 0, 0, 0, 1, 2], sum(mcus))
     fresh = np.diff(of_dc, prepend=-1) != 0
     scans = []
-    v, s = _dc_items(first >> 1, fresh, slot, _DC_TABLE)
+    v, s = _dc_items(dc_values >> 1, fresh, slot, _DC_TABLE)
     scans.append((b"\x03\x01\x00\x02\x00\x03\x00\x00\x00\x01", RESTART_MCUS, _pack(v, s, of_dc, sum(mcu_parts)), mcu_parts))
     intervals = [owners(counts[c], RESTART_BLOCKS) for c in range(3)]
-    halved = [np.where(f < 0, -(-f >> 1), f >> 1) for f in flat]
-    for c, a, b in ((0, 1, 5), (0, 6, 63), (1, 1, 63), (2, 1, 63)):
-        v, s, block = _ac_first_items(halved[c][:, a : b + 1], _AC_TABLE)
-        scans.append((bytes([1, c + 1, 0, a, b, 0x01]), RESTART_BLOCKS, _pack(v, s, intervals[c][0][block], sum(intervals[c][1])), intervals[c][1]))
-    scans.append((b"\x03\x01\x00\x02\x00\x03\x00\x00\x00\x10", RESTART_MCUS, _pack(first & 1, np.ones(len(first), np.int64), of_dc, sum(mcu_parts)), mcu_parts))
     for c in range(3):
-        v, s, block = _ac_refine_items(flat[c][:, 1:], 0, _FIX_TABLE)
-        scans.append((bytes([1, c + 1, 1, 1, 63, 0x10]), RESTART_BLOCKS, _pack(v, s, intervals[c][0][block], sum(intervals[c][1])), intervals[c][1]))
+        low, high = flat[c][:, 1:6], flat[c][:, 6:]
+        for first, last, x, bit in ((1, 5, np.where(low < 0, -(-low >> 1), low >> 1), 1), (6, 63, high, 0)):
+            v, s, block = _ac_first_items(x, _AC_TABLE)
+            scans.append((bytes([1, c + 1, 0, first, last, bit]), RESTART_BLOCKS, _pack(v, s, intervals[c][0][block], sum(intervals[c][1])), intervals[c][1]))
+    scans.append((b"\x03\x01\x00\x02\x00\x03\x00\x00\x00\x10", RESTART_MCUS, _pack(dc_values & 1, np.ones(len(dc_values), np.int64), of_dc, sum(mcu_parts)), mcu_parts))
+    for c in range(3):
+        v, s, block = _ac_refine_items(flat[c][:, 1:6], 0, _FIX_TABLE)
+        scans.append((bytes([1, c + 1, 1, 1, 5, 0x10]), RESTART_BLOCKS, _pack(v, s, intervals[c][0][block], sum(intervals[c][1])), intervals[c][1]))
     tables = _segment(0xDB, b"\x00" + b"\x01" * 64) + _segment(0xC4, b"\x00" + _DC_TABLE) + _segment(0xC4, b"\x10" + _AC_TABLE) + _segment(0xC4, b"\x11" + _FIX_TABLE)
     out = []
     begin = [0] * len(scans)

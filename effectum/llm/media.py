@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from . import jpeg
 from .common import arrow_schema, materialise, pieces, texts
 
-#: Bytes of payload that are coded at once.
-AT_ONCE = 3 << 20
+#: Bytes of text that are encoded, and of files that are decoded, at once.
+ENCODE_BYTES, DECODE_BYTES = 3 << 19, 10 << 20
 #: MCUs down, from which an image gets wider (the format ends at 65,535 pixels).
 DOWN = 4000
 #: The bytes that get small coefficients, the most frequent first; all others follow in order.
@@ -73,7 +73,7 @@ def pad(data: bytes) -> bytes:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(MEDIA)
-    for batch in pieces(batches, AT_ONCE):
+    for batch in pieces(batches, ENCODE_BYTES):
         raw = [t.encode() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(r) for r in raw], pa.int64()), pa.array(encode_payloads(list(map(pad, raw))), pa.binary())], schema=schema)
 
@@ -82,7 +82,7 @@ def _decode(tensors: bool):
     schema = arrow_schema(DECODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, AT_ONCE):
+        for batch in pieces(batches, DECODE_BYTES):
             files = batch["media"].to_pylist()
             images = [jpeg.parse(f) for f in files]
             payload, rgb, text = [], [], []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, packing, pii, quality, simhash, token_counts, token_store
+from . import bpe, langid, line_dedup, media, packing, pii, quality, simhash, token_counts, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = media.stored_texts(documents(spark, sf_dir))
+    size = F.octet_length("payload")
+    return got.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op4_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs, langid.fit(docs))
@@ -77,6 +92,7 @@ def queries() -> dict:
         for f in (
             op1_token_store,
             op2_token_counts,
+            op3_progressive_jpeg,
             op4_output_code_languages,
             op5_pigeonhole_simhash,
             op6_risk_controlled_quality,
