@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_schema, pieces
 
@@ -20,9 +21,9 @@ SAMPLE = 800
 #: Rounds and step of the gradient descent, and its penalty.
 ROUNDS, STEP, PENALTY = 150, 8.0, 1e-4
 #: A prediction is ambiguous if the two nearest codewords' scores differ by less.
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.02
 
-PREDICTED = "doc_id long,lang_pred string,score double,ambiguous boolean"
+PREDICTED = "lang_pred string,score double,ambiguous boolean"
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -131,12 +132,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit_bits(np.stack([np.frombuffer(b, np.float32) for _, b in found]), np.array([i for i, _ in found]), languages)
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, text_col: str):
     schema = arrow_schema(PREDICTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 20):
-            got = batch["text"].to_pylist()
+            got = batch[text_col].to_pylist()
             ok = [i for i, t in enumerate(got) if model is not None and t is not None and _LETTER.search(t)]
             lang, score, unsure = ["und"] * len(got), [0.0] * len(got), [False] * len(got)
             if ok:
@@ -144,16 +145,22 @@ def _predict(model: Model | None):
                 order = np.sort(s, 1)
                 for i, best, top, second in zip(ok, s.argmax(1), order[:, -1], order[:, -2] if s.shape[1] > 1 else order[:, -1] * 0, strict=True):
                     lang[i], score[i], unsure[i] = model.languages[best], min(1.0, float(top)), bool(top - second < AMBIGUOUS)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], schema=schema)
+            added = [pa.array(x, t.type) for x, t in zip((lang, score, unsure), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *schema.names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score (the nearest codeword's share, 0 to 1), ambiguous.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """All rows and columns with lang_pred, score (the nearest codeword's share, 0 to 1) and ambiguous; columns of these names are replaced.
 
     Only the text is looked at. A null text, or one without a letter, is ``und`` with score 0; so is every text if
     nothing could be learnt. Texts that tie get the first language of the alphabet and are ambiguous. Equal texts get equal
-    results; an empty table gives no rows; other columns don't matter.
+    results; an empty table gives no rows.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(model), PREDICTED)
+    old = docs.drop(*PREDICTED_NAMES)
+    schema = StructType([*old.schema.fields, *StructType.fromDDL(PREDICTED).fields])
+    return old.mapInArrow(_predict(model, text_col), schema)
+
+
+PREDICTED_NAMES = [c.split()[0] for c in PREDICTED.split(",")]

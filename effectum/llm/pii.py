@@ -264,3 +264,15 @@ def replace_private(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     Repeated rows give repeated results; an empty table gives no rows; other columns don't matter. One pass without a shuffle.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_replace(key), RESULT)
+
+
+def with_surrogates(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+    """All rows and columns, the text replaced as by ``replace_private``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            at = batch.schema.get_field_index(text_col)
+            made = pa.array([None if t is None else replace(t, key)[0] for t in batch[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], made, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -46,7 +46,7 @@ def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = langid.identify(docs, langid.fit(docs))
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

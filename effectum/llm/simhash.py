@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialise, pieces, texts
@@ -290,6 +290,85 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: in
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Verified near-duplicates
+
+
+def _shingle_sets(size: int):
+    schema = arrow_schema("node long,hashes binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(f, 7) for f in features(t, size)[0]], np.uint64)).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], schema=schema)
+
+    return run
+
+
+def _similar(least: float):
+    schema = arrow_schema("a long,b long")
+
+    def jaccard(x: bytes, y: bytes) -> float:
+        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        return both / max(len(u) + len(v) - both, 1) if len(u) or len(v) else 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ok = [jaccard(x, y) >= least for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], schema=schema)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, *, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 2, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Each document and its component: doc_id, component_id; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Fingerprints of shingles differ in many bits at that similarity, so candidates are found by fingerprints of weighted words, one for each seed,
+    within ``radius`` bits of each other in any; each link is then verified on the shingles. Equal texts are one node from the start. Texts with equal
+    fingerprints, and those in crowds, are compared with the least of them only. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
+    """
+    own = materialise(fingerprints(docs, size=0, seeds=seeds, text_key=True), "fingerprints")
+    names = [f"fp{i}" for i in range(len(seeds))]
+    nodes = own.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in names])
+    nodes = materialise(nodes.where("node is not null"), "nodes")
+    links = None
+    for c in names:
+        groups = materialise(nodes.groupBy(F.col(c).alias("fp")).agg(F.min("node").alias("rep")), "groups")
+        same = nodes.select("node", F.col(c).alias("fp")).join(groups, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        found = same.unionByName(link_fingerprints(groups, radius))
+        links = found if links is None else links.unionByName(found)
+    links = materialise(links.distinct(), "candidates")
+    involved = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    sets = texts(docs).join(involved, "doc_id", "left_semi").mapInArrow(_shingle_sets(size), "node long,hashes binary")
+    sets = materialise(sets.groupBy("node").agg(F.min("hashes").alias("hashes")), "shingles")
+    with_x = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    with_xy = with_x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    parts = connected_components(with_xy.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long,b long"))
+    named = nodes.join(parts, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
+    return own.join(named, "text_key", "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """All columns of ``docs``; of each component of ``similar_documents`` the row with the least doc_id stays.
+
+    Of rows with one doc_id and one text, one stays. Rows with a null doc_id can't be named and stay. The ids to drop are broadcast
+    if they are few, which is counted; else the join shuffles.
+    """
+    found = materialise(similar_documents(docs, **how), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    many = gone.count() > FEW_IDS
+    kept = docs.join(gone if many else F.broadcast(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    rows = kept.withColumn("__again", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy(F.lit(1))))
+    return rows.where("doc_id is null or __again = 1").drop("__again")
+
+
+#: Ids up to which those to drop are broadcast.
+FEW_IDS = 500_000
+
+
 def hexadecimal(fp: Column) -> Column:
     """16 lower-case digits of the unsigned fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
