@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, pieces, texts
+from .common import Memo, arrow_schema, pieces, texts
 
 #: Characters of a chunk, and how far it reaches into the next one.
 CHUNK, OVERLAP = 32_768, 512
@@ -132,20 +132,14 @@ class RankVocabulary:
         self.ranks = read_ranks(path)
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._ids, MEMO)
+
+    def _ids(self, pre: str) -> bytes:
+        return array("I", merge(pre.encode(), self.ranks)).tobytes()
 
     def encode(self, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        units, memo = split_chunks(text, self.pattern, size, overlap), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, units))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for u in units:
-                if u not in memo:
-                    memo[u] = array("I", merge(u.encode(), self.ranks)).tobytes()
-            return b"".join(map(memo.__getitem__, units))
+        return b"".join(map(self.memo.__getitem__, split_chunks(text, self.pattern, size, overlap)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I")))

@@ -77,3 +77,17 @@ def arrow_schema(ddl: str) -> pa.Schema:
         name, kind = field.split()
         out.append((name, pa.list_(kinds[kind[6:-1]]) if kind.startswith("array<") else kinds[kind]))
     return pa.schema(out)
+
+
+class Memo(dict):
+    """What ``make`` gives for a key, made once and remembered; begun anew when it holds ``size`` keys."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) >= self.size:
+            self.clear()
+        self[key] = value
+        return value

@@ -19,6 +19,8 @@ SLACK = 8
 WINDOWS = 64
 #: What a document leaves beside its whole windows is cut into pieces of this many tokens at most.
 LARGEST = 128
+#: Words that a worker remembers.
+MEMO = 1_400_000
 
 PIECE = "doc_id long,start long,length long,ids binary,doc_tokens long,sequence_id long,offset long"
 
@@ -68,7 +70,7 @@ def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int,
     schema = arrow_schema(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = json_vocabulary(path)
+        vocabulary = json_vocabulary(path, memo=MEMO)
         end = array("I", [end_id]).tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []

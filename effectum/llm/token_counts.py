@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, pieces, texts
+from .common import Memo, arrow_schema, pieces, texts
 from .vocab import byte_alphabet
 
 #: Characters in a chunk of the first transducer.
@@ -286,24 +286,7 @@ class Counter:
         self.splitter, self.merges = Splitter(), MergeTransducer(path)
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
-        self.memo: dict[str, int] = {}
-
-    def _sum(self, pre: list[str]) -> int:
-        memo = self.memo
-        try:
-            return sum(map(memo.__getitem__, pre))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            total = 0
-            for p in pre:
-                n = memo.get(p)
-                if n is None:
-                    n = self.merges.count(p.encode())
-                    if len(p) < 64:
-                        memo[p] = n
-                total += n
-            return total
+        self.memo = Memo(lambda pre: self.merges.count(pre.encode()), MEMO)
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text. Code points that aren't assigned are left to the library."""
@@ -321,7 +304,7 @@ class Counter:
                     parts.append((i, p, chars))
         for (i, p, _), s in zip(parts, self.splitter.starts([c for _, _, c in parts]), strict=True):
             at = s.tolist() or [0]
-            out[i] += self._sum([p[a:b] for a, b in zip(at, [*at[1:], len(p)], strict=True) if a < b])
+            out[i] += sum(map(self.memo.__getitem__, [p[a:b] for a, b in zip(at, [*at[1:], len(p)], strict=True) if a < b]))
         return out
 
 

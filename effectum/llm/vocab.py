@@ -16,7 +16,9 @@ from functools import cache
 
 import regex
 
-#: Units that a worker remembers before it begins anew.
+from .common import Memo
+
+#: Units, and pre-tokens, that a worker remembers before it begins anew.
 MEMO = 800_000
 #: The patterns by which the two tokenizers split text.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,7 +38,7 @@ def byte_alphabet() -> list[str]:
 class JsonVocabulary:
     """Encodes as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids`` does."""
 
-    def __init__(self, path: str, code: str = "I"):
+    def __init__(self, path: str, code: str = "I", memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,52 +53,47 @@ class JsonVocabulary:
         self.split = regex.compile(WORD_PATTERN if self.folds else BYTE_PATTERN).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.letters = byte_alphabet()
-        self.memo: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        lead = "" if self.folds else " "
+        self.words = Memo(lambda word: self._unit(lead + word), memo)
+        self.units = Memo(self._unit, memo)
+        self.parts = Memo(self._part, MEMO)
 
     def _slow(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join([self.parts.get(p) or self._part(p) for p in self.split(unit.lower() if self.folds else unit)])
+        """The ids of a unit: its pre-tokens, found by rule where letters are followed by one sign at most, else by the pattern."""
+        if self.folds:
+            unit = unit.lower()
+        bare = unit[1:] if unit[:1] == " " else unit
+        if bare.isalpha():
+            return self.parts[unit]
+        if bare[-1:] in SIGNS and bare[:-1].isalpha():
+            return self.parts[unit[:-1]] + self.parts[unit[-1]]
+        return b"".join([self.parts[p] if len(p) < 64 else self._part(p) for p in self.split(unit)])
 
     def _part(self, part: str) -> bytes:
-        got = array(self.code, [t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))]).tobytes()
-        if len(part) < 64:
-            if len(self.parts) > MEMO:
-                self.parts.clear()
-            self.parts[part] = got
-        return got
-
-    def _all(self, units: list[str], lead: str, memo: dict[str, bytes]) -> bytes:
-        try:
-            return b"".join(map(memo.__getitem__, units))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for u in units:
-                if u not in memo:
-                    memo[u] = self._unit(lead + u)
-            return b"".join(map(memo.__getitem__, units))
+        return array(self.code, [t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids, each as a machine integer of the type code given."""
         if PLAIN.search(text) or any(s in text for s in self.special):
             return self._slow(text)
         if self.folds:
-            return self._all(text.split(), "", self.memo)
+            return b"".join(map(self.words.__getitem__, text.split()))
         if TWO_SPACES.search(text):
-            return self._all(UNITS.findall(text), "", self.first)
+            return b"".join(map(self.units.__getitem__, UNITS.findall(text)))
         head, *rest = text.split(" ")
-        return self._all([head], "", self.first) + self._all(rest, " ", self.memo)
+        return self.units[head] + b"".join(map(self.words.__getitem__, rest))
 
 
+#: Signs that are a pre-token by themselves after a word.
+SIGNS = frozenset(",.;:!?)")
 #: Where single spaces aren't all there is between words, a unit is a run of white space and what follows it.
 TWO_SPACES = re.compile("  | [\t-\r]|[\t-\r] ")
 UNITS = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 
 
 @cache
-def json_vocabulary(path: str, code: str = "I") -> JsonVocabulary:
-    return JsonVocabulary(path, code)
+def json_vocabulary(path: str, code: str = "I", memo: int = MEMO) -> JsonVocabulary:
+    return JsonVocabulary(path, code, memo)
