@@ -112,4 +112,4 @@ def read_media(media: DataFrame, *, tensors: bool = True) -> DataFrame:
 
 def stored_texts(docs: DataFrame, *, tensors: bool = False) -> DataFrame:
     """Write the files of all texts to a table in the shared folder, and read them back."""
-    return read_media(materialise(store_texts(docs), "media", **{"parquet.block.size": 16 << 20, "compression": "none"}), tensors=tensors)
+    return read_media(materialise(store_texts(docs), "media", **{"parquet.block.size": 16 << 20, "compression": "zstd"}), tensors=tensors)
