@@ -16,7 +16,7 @@ from .vocab import json_vocabulary
 #: Tokens of a window that a group leaves free on average, so that differencing, which doesn't balance to the token, seldom needs another window.
 SLACK = 8
 #: Windows in a group of pieces that are packed together.
-WINDOWS = 64
+WINDOWS = 48
 #: What a document leaves beside its whole windows is cut into pieces of this many tokens at most.
 LARGEST = 128
 #: Words that a worker remembers.

@@ -81,7 +81,7 @@ class JsonVocabulary:
             return self._slow(text)
         if self.folds:
             return b"".join(map(self.words.__getitem__, text.split()))
-        if TWO_SPACES.search(text):
+        if any(map(text.__contains__, UNEVEN)):
             return b"".join(map(self.units.__getitem__, UNITS.findall(text)))
         head, *rest = text.split(" ")
         return self.units[head] + b"".join(map(self.words.__getitem__, rest))
@@ -90,7 +90,7 @@ class JsonVocabulary:
 #: Signs that are a pre-token by themselves after a word.
 SIGNS = frozenset(",.;:!?)")
 #: Where single spaces aren't all there is between words, a unit is a run of white space and what follows it.
-TWO_SPACES = re.compile("  | [\t-\r]|[\t-\r] ")
+UNEVEN = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 UNITS = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 
 
