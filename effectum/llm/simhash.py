@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -20,7 +21,7 @@ BITS = 64
 #: Fingerprints of which a key brings together more than this aren't compared in pairs but by the balls around them.
 CROWD = 48
 #: Hashes whose bits are counted at once.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 13
 #: Costs that the plan weighs against each other: making and joining a key, and comparing a candidate.
 KEY_COST, PAIR_COST = 1.0, 0.2
 
@@ -29,13 +30,11 @@ KEY_COST, PAIR_COST = 1.0, 0.2
 
 
 def features(text: str, size: int) -> tuple[list[bytes], list[int] | None]:
-    """What is hashed, with weights: shingles of ``size`` words, each once (no weights), or for size 0 the distinct words, by the root of their number."""
+    """What is hashed, with weights: shingles of ``size`` words, repeats included (no weights), or for size 0 the distinct words, by the root of their number."""
     words = text.encode().lower().split()
     if size == 0:
-        counts: dict[bytes, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        return list(counts), [math.isqrt(65536 * c) for c in counts.values()]
+        counts = Counter(words)
+        return list(counts), [math.isqrt(256 * c) for c in counts.values()]
     if len(words) <= size:
         return [b" ".join(words)] if words else [], None
     joined = b" ".join(words)
@@ -47,56 +46,59 @@ def features(text: str, size: int) -> tuple[list[bytes], list[int] | None]:
     return [joined[a:b] for a, b in zip(starts, ends[size - 1 :], strict=True)], None
 
 
-def majority(hashes: np.ndarray, weights: np.ndarray | None, counts: list[int]) -> np.ndarray:
-    """For groups of ``counts`` hashes side by side: bit i is set if more than half the (weighted) hashes have it."""
-    out = np.zeros(len(counts), np.uint64)
-    ends = np.cumsum(counts)
-    some = np.flatnonzero(np.asarray(counts))
-    sums, totals = np.zeros((len(counts), BITS), np.int64), np.zeros(len(counts), np.int64)
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """k hashes of each hash: itself, and others by the finaliser of splitmix64."""
+    out = [hashes]
+    for i in range(1, k):
+        z = hashes + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(z ^ (z >> np.uint64(31)))
+    return np.stack(out, 1)
+
+
+def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Of (n, k) hashes k fingerprints: bit i is set if more than half of the (weighted) hashes have it.
+
+    Sums are of whole numbers below 2^24 in single precision, or below 2^53 in double, and so exact.
+    """
+    k = hashes.shape[1]
+    w = np.ones(len(hashes)) if weights is None else weights.astype(np.float64)
+    total = w.sum()
+    kind = np.float32 if total < 1 << 24 else np.float64
+    sums = np.zeros(k * BITS, np.float64)
     for at in range(0, len(hashes), AT_ONCE):
-        part = hashes[at : at + AT_ONCE]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = int(np.searchsorted(ends, at, "right"))
-        last = int(np.searchsorted(ends, at + len(part) - 1, "right"))
-        own = some[(some >= first) & (some <= last)]
-        cuts = np.maximum(ends[own] - np.asarray(counts)[own] - at, 0)
-        if weights is None:
-            sums[own] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-            totals[own] += np.diff([*cuts, len(part)])
-        else:
-            w = weights[at : at + AT_ONCE]
-            sums[own] += np.add.reduceat(bits * w[:, None], cuts, axis=0)
-            totals[own] += np.add.reduceat(w, cuts)
-    over = 2 * sums > totals[:, None]
-    for i in range(BITS):
-        out |= over[:, i].astype(np.uint64) << np.uint64(i)
-    return out
+        part = np.ascontiguousarray(hashes[at : at + AT_ONCE], "<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").astype(kind)
+        sums += w[at : at + AT_ONCE].astype(kind) @ bits
+    return np.packbits(2 * sums > total, bitorder="little").view("<u8")
 
 
-def _fingerprints(size: int, seeds: tuple[int, ...], columns: str):
+def _fingerprints(size: int, seed: int, k: int, text_key: bool, columns: str):
     schema = arrow_schema(columns)
 
+    def one(text: str) -> np.ndarray:
+        found, weights = features(text, size)
+        h = xxhash.xxh64_intdigest
+        hashes = np.array([h(f, seed) for f in found], np.uint64)
+        return majority(mixed(hashes, k), None if weights is None else np.array(weights)) if found else np.zeros(k, np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            made = [features(t, size) for t in batch["text"].to_pylist()]
-            counts = [len(f) for f, _ in made]
-            weights = np.array([w for _, ws in made for w in ws], np.int64) if size == 0 else None
-            columns = [batch["doc_id"]]
-            for seed in seeds:
-                h = xxhash.xxh64_intdigest
-                hashes = np.array([h(f, seed) for fs, _ in made for f in fs], np.uint64)
-                columns.append(pa.array(majority(hashes, weights, counts).view(np.int64)))
-            if len(schema) > len(columns):
-                columns.append(pa.array([xxhash.xxh3_128_digest(t) for t in batch["text"].to_pylist()], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            got = batch["text"].to_pylist()
+            made = np.stack([one(t) for t in got]).view(np.int64)
+            arrays = [batch["doc_id"], *[pa.array(np.ascontiguousarray(made[:, i])) for i in range(k)]]
+            if text_key:
+                arrays.append(pa.array([xxhash.xxh3_128_digest(t) for t in got], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
-def fingerprints(docs: DataFrame, *, size: int = 3, seeds: tuple[int, ...] = (42,), text_key: bool = False) -> DataFrame:
-    """doc_id and a 64-bit fingerprint (as a signed long) for each seed: fp0, fp1, ...; on demand text_key, a hash of the whole text."""
-    columns = "doc_id long," + ",".join(f"fp{i} long" for i in range(len(seeds))) + ",text_key binary" * text_key
-    return texts(docs).mapInArrow(_fingerprints(size, seeds, columns), columns)
+def fingerprints(docs: DataFrame, *, size: int = 3, seed: int = 42, k: int = 1, text_key: bool = False) -> DataFrame:
+    """doc_id and k 64-bit fingerprints (as signed longs), fp0, fp1, ..., of k hashes; on demand text_key, a hash of the whole text."""
+    columns = "doc_id long," + ",".join(f"fp{i} long" for i in range(k)) + ",text_key binary" * text_key
+    return texts(docs).mapInArrow(_fingerprints(size, seed, k, text_key, columns), columns)
 
 
 # The plan: partitions of bits and their thresholds
@@ -278,7 +280,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: in
     row has its own component. Rows with a null doc_id are linked too; the least is taken among others, and is
     null only where there are none. An empty table gives no rows. Other columns don't matter.
     """
-    own = materialise(fingerprints(docs, size=size, seeds=(seed,)).select("doc_id", F.col("fp0").alias("fp")), "fingerprints")
+    own = materialise(fingerprints(docs, size=size, seed=seed).select("doc_id", F.col("fp0").alias("fp")), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # A fingerprint is its own name in links, so that rows that share a doc_id stay apart.
     distinct = materialise(nodes.select("fp", F.col("fp").alias("rep"), "least"), "nodes")
@@ -320,15 +322,15 @@ def _similar(least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, *, seeds: tuple[int, ...] = (42, 43, 44, 45), radius: int = 2, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, *, k: int = 4, radius: int = 2, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each document and its component: doc_id, component_id; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Fingerprints of shingles differ in many bits at that similarity, so candidates are found by fingerprints of weighted words, one for each seed,
+    Fingerprints of shingles differ in many bits at that similarity, so candidates are found by k fingerprints of weighted words,
     within ``radius`` bits of each other in any; each link is then verified on the shingles. Equal texts are one node from the start. Texts with equal
     fingerprints, and those in crowds, are compared with the least of them only. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    own = materialise(fingerprints(docs, size=0, seeds=seeds, text_key=True), "fingerprints")
-    names = [f"fp{i}" for i in range(len(seeds))]
+    own = materialise(fingerprints(docs, size=0, k=k, text_key=True), "fingerprints")
+    names = [f"fp{i}" for i in range(k)]
     nodes = own.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in names])
     nodes = materialise(nodes.where("node is not null"), "nodes")
     links = None
