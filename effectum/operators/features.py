@@ -125,7 +125,7 @@ class LongTerm:
         self.train, self.horizon, self.key, self.B, self.seed = train, list(predict), key_metric, n_bootstraps, seed
 
     def fit(self, df: DataFrame) -> LongTerm:
-        from .resampling import poisson_weight, uniform
+        from .resampling import weighted_sums
 
         a, b = self.train
         s = self.surrogates
@@ -137,19 +137,16 @@ class LongTerm:
             rows = wide.where(F.col("arm") == arm)
             models = [fit_ols(rows, Formula(f"{c}_y", [f"{x}_x" for x in s])) for c in s]
             self.steps[arm] = np.array([m.coef for m in models])  # one row a surrogate: slopes, intercept
-        aggs = []
-        for r in range(self.B + 1):
-            w = poisson_weight(uniform(self.seed, F.col("unit"), r)) if r else F.lit(1)
-            aggs += [F.sum(F.when(F.col(f"{c}_y").isNotNull(), w * F.col(f"{c}_y"))).alias(f"s{r}_{i}") for i, c in enumerate(s)] + [F.sum(F.when(F.col(f"{s[0]}_y").isNotNull(), w)).alias(f"w{r}")]
-        means = {row["arm"]: row for row in wide.where("arm in (0, 1)").groupBy("arm").agg(*aggs).collect()}
+        last = wide.where(F.col("arm").isin(0, 1) & F.col(f"{s[0]}_y").isNotNull())
+        sums = weighted_sums(last, [F.col(f"{c}_y") for c in s], F.lit(1.0), "unit", range(self.B + 1), 1.0, self.seed, [F.col("arm")], point=True)
+        means = {(row["g0"], row["replicate"]): np.array([row[f"s{i}"] / row["w"] for i in range(len(s))]) for row in sums.collect()}
         self.results = []
         for p in self.horizon:
             values = []
             for r in range(self.B + 1):
                 level = []
                 for arm in (0, 1):
-                    row = means[arm]
-                    m = np.array([row[f"s{r}_{i}"] / row[f"w{r}"] for i in range(len(s))])
+                    m = means[arm, r]
                     for _ in range(p - b):
                         m = np.nan_to_num(self.steps[arm][:, :-1]) @ m + self.steps[arm][:, -1]
                     level.append(m[self.key])

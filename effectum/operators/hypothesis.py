@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import cdf, chi2_sf, kolmogorov_sf, norm_cdf, norm_ppf, t_cdf, t_ppf
+from ..functions.distributions import chi2_sf, kolmogorov_sf, norm_cdf, norm_ppf, t_cdf, t_ppf
 from .moments import MeanFunction, Moments, expr_of, finish, grouped, moment_columns, moments_of
 
 ALTERNATIVES = ("two-sided", "less", "greater")
@@ -387,9 +387,9 @@ def mann_whitney_utest(df: DataFrame, y: str, index: str, *, alternative: str =
 def kolmogorov_smirnov_test(df: DataFrame, y: str, index: str, *, alternative: str = "two-sided") -> DataFrame:
     """The largest gap between the distribution functions of the two arms, and its p from the limit law."""
     c = running(_value_counts(df, y, index), "v", ["n0", "n1"])
-    totals = c.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"))
-    gap = F.try_divide("cum_n0", "N0") - F.try_divide("cum_n1", "N1")
-    s = c.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("above"), F.min(gap).alias("below"), F.max("N0").cast("double").alias("n0"), F.max("N1").cast("double").alias("n1"))
+    totals = c.agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"))
+    gap = F.try_divide("cum_n0", "total0") - F.try_divide("cum_n1", "total1")
+    s = c.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("above"), F.min(gap).alias("below"), F.max("total0").cast("double").alias("n0"), F.max("total1").cast("double").alias("n1"))
 
     def one(row):
         if not row["n0"] or not row["n1"]:
@@ -422,6 +422,3 @@ def ttest_1samp_of(values: list[float]) -> dict[str, float]:
     mean, sd = float(v.mean()), float(v.std(ddof=1))
     t = mean / sd if sd else math.inf
     return {"mean": mean, "std": sd, "t": t, "p_value": 2 * t_cdf(-abs(t), len(v) - 1), "lower": mean - 1.96 * sd, "upper": mean + 1.96 * sd}
-
-
-__all__ = ["cdf", *[n for n in dir() if n.endswith(("test", "samp", "tests_2samp"))]]

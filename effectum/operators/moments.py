@@ -179,7 +179,7 @@ def finish(stats: DataFrame, function, schema: str, by: list[str]) -> DataFrame:
         import pandas as pd
 
         for f in frames:
-            rows = [(*[r[c] for c in by], *result) for r in f.to_dict("records") for result in function({k: None if v is None or (isinstance(v, float) and math.isnan(v)) else v for k, v in r.items()})]
+            rows = [(*[r[c] for c in by], *result) for r in f.to_dict("records") for result in function({k: v.tolist() if isinstance(v, np.ndarray) else None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()})]
             made = pd.DataFrame(rows, columns=out.names)
             for field in out.fields[len(by) :]:
                 if field.dataType.typeName() == "double":

@@ -100,7 +100,7 @@ class LinearModel:
         out = []
         for t, b, v in zip(self.terms, self.coef, np.diag(self.covariance()), strict=True):
             se = math.sqrt(v) if v > 0 else math.nan
-            stat = b / se if se > 0 else math.nan
+            stat = float(b / se) if se > 0 else math.nan
             out.append((t, float(b), se, stat, 2 * t_cdf(-abs(stat), self.df) if not math.isnan(stat) else math.nan))
         return out
 
@@ -289,7 +289,7 @@ def fit_iv(df: DataFrame, formula: str) -> LinearModel:
 
 def summary(df: DataFrame, model: LinearModel) -> DataFrame:
     """A fitted model's terms as a DataFrame."""
-    clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v
+    clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v.item() if isinstance(v, np.generic) else v
     return df.sparkSession.createDataFrame([tuple(map(clean, (*r, *model.statistics()))) for r in model.rows()], f"{SUMMARY},{MODEL}")
 
 

@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hypothesis import Metric
-from .moments import MeanFunction, Moments, expr_of, finish, moment_columns
-
-#: Replicates are aggregated in blocks of so many at once, so a plan stays small.
-BLOCK = 50
+from .moments import MeanFunction, expr_of, finish, moment_columns, moments_of
 
 
 def uniform(seed: int, key: Column, replicate: Column | int) -> Column:
@@ -39,27 +36,35 @@ def boot_strap(df: DataFrame, expression: str, key: str, *, resample_frac: float
     """
     if not 1 <= n_resamples <= 10_000:
         raise ValueError("n_resamples must be between 1 and 10,000")
-    f = MeanFunction(expression.replace("sum(", "avg(")) if "sum(" in expression else MeanFunction(expression)
     total = "sum(" in expression
-    values, out = f.columns(), None
-    for begin in range(0, n_resamples, BLOCK):
-        ids = range(begin, min(begin + BLOCK, n_resamples))
-        aggs = []
-        for b in ids:
-            w = poisson_weight(uniform(seed, F.expr(key), b), resample_frac)
-            aggs += [F.sum(w).cast("double").alias(f"w{b}"), *[F.sum(w * v).alias(f"s{b}_{i}") for i, v in enumerate(values)]]
-
-        def one(row, ids=ids):
-            made = []
-            for b in ids:
-                w = row[f"w{b}"] or 0
-                sums = np.array([row[f"s{b}_{i}"] or 0.0 for i in range(len(values))])
-                made.append((b, f(sums if total else sums / w).value if w else None))
-            return made
-
-        part = finish(df.agg(*aggs), one, "replicate int,value double", [])
-        out = part if out is None else out.unionByName(part)
-    return out
+    f = MeanFunction(expression.replace("sum(", "avg("))
+    k = len(f.args)
+    sums = weighted_sums(df, f.columns(), F.lit(1.0), key, range(n_resamples), resample_frac, seed)
+
+    def one(row):
+        w = row["w"] or 0
+        s = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+        return [(f(s if total else s / w).value if w else None,)]
+
+    return finish(sums, one, "value double", ["replicate"])
+
+
+def replicated(df: DataFrame, replicates: range) -> DataFrame:
+    """Every row once for each replicate, for an aggregation by replicate: rows are summed where they are, so only a row for each replicate and task is shuffled."""
+    ids = F.sequence(F.lit(replicates.start), F.lit(replicates.stop - 1))
+    return df.withColumn("replicate", F.explode(ids))
+
+
+def weighted_sums(df: DataFrame, values: list[Column], weight: Column, key: str, replicates: range, rate: float, seed: int, by: list[Column] = (), point: bool = False) -> DataFrame:
+    """By replicate (and ``by``) the sums of w and w x, w the row's weight times a Poisson count; with ``point``, replicate 0 counts each row once."""
+    named = [v.alias(f"__v{i}") for i, v in enumerate(values)]
+    groups = [c.alias(f"g{i}") for i, c in enumerate(by)]
+    rows = replicated(df.select(F.expr(key).alias("__key"), weight.alias("__w"), *named, *groups), replicates)
+    count = poisson_weight(uniform(seed, F.col("__key"), F.col("replicate")), rate)
+    rows = rows.withColumn("__n", F.when(F.col("replicate") == 0, 1).otherwise(count) if point else count).where("__n > 0")
+    w = F.col("__n") * F.col("__w")
+    sums = [F.sum(w).cast("double").alias("w"), *[F.sum(w * F.col(f"__v{i}")).alias(f"s{i}") for i in range(len(values))]]
+    return rows.groupBy("replicate", *[f"g{i}" for i in range(len(by))]).agg(*sums)
 
 
 def permutation(df: DataFrame, y: str, index: str, key: str, *, permutation_num: int = 100, mde: float = 0.0, mde_type: int = 1, scheme: str = "shuffle", statistic: str = "diff", seed: int = 0) -> DataFrame:
@@ -72,59 +77,31 @@ def permutation(df: DataFrame, y: str, index: str, key: str, *, permutation_num:
         raise ValueError("permutation_num must be between 1 and 100,000")
     metric = Metric(y)
     share = 0.5 if scheme == "bernoulli" else df.agg(F.avg(F.expr(index).cast("double"))).first()[0] or 0.5
-    out = None
-    for begin in range(0, permutation_num, BLOCK):
-        ids = range(begin, min(begin + BLOCK, permutation_num))
-        aggs: list[Column] = []
-        for b in ids:
-            treated = uniform(seed, F.expr(key), b) < share
-            for arm in (0, 1):
-                hit = treated if arm else ~treated
-                values = [F.when(hit, v) for v in metric.columns()]
-                if arm and mde:
-                    first = set(metric.value.args)
-                    values = [(v + mde if mde_type == 0 else v * (1 + mde)) if a in first and i == 0 else v for i, (a, v) in enumerate(zip(metric.args, values, strict=True))]
-                aggs += [c.alias(f"b{b}_{arm}_{name}") for c, name in zip(moment_columns(values), _names(len(values)), strict=True)]
-
-        def one(row, ids=ids):
-            from .moments import moments_of
-
-            made = []
-            for b in ids:
-                parts = [moments_of(row, len(metric.args), f"b{b}_{arm}_") for arm in (0, 1)]
-                if min(p.n for p in parts) < 2:
-                    made.append((b, None))
-                    continue
-                (v0, c0), (v1, c1) = metric.at(parts[0]), metric.at(parts[1])
-                gap = float(v1[0] - v0[0])
-                made.append((b, gap if statistic == "diff" else gap / math.sqrt(c0[0, 0] + c1[0, 0])))
-            return made
-
-        part = finish(df.agg(*aggs), one, "replicate int,value double", [])
-        out = part if out is None else out.unionByName(part)
-    return out
+    k = len(metric.args)
+    rows = replicated(df.select(F.expr(key).alias("__key"), *[c.alias(f"__v{i}") for i, c in enumerate(metric.columns())]), range(permutation_num))
+    rows = rows.withColumn("arm", (uniform(seed, F.col("__key"), F.col("replicate")) < share).cast("int"))
+    values = [F.col(f"__v{i}") for i in range(k)]
+    if mde:  # the metric's first variable is what the treatment moves
+        values[0] = F.when(F.col("arm") == 1, values[0] + mde if mde_type == 0 else values[0] * (1 + mde)).otherwise(values[0])
+    stats = rows.groupBy("replicate", "arm").agg(*moment_columns(values))
+    both = stats.groupBy("replicate").agg(F.collect_list(F.struct(*[c for c in stats.columns if c != "replicate"])).alias("arms"))
 
+    def one(row):
+        parts = {a["arm"]: moments_of(a, k) for a in row["arms"]}
+        if len(parts) < 2 or min(p.n for p in parts.values()) < 2:
+            return [(None,)]
+        (v0, c0), (v1, c1) = metric.at(parts[0]), metric.at(parts[1])
+        gap = float(v1[0] - v0[0])
+        return [(gap if statistic == "diff" else gap / math.sqrt(c0[0, 0] + c1[0, 0]),)]
 
-def _names(k: int) -> list[str]:
-    return ["n", *[f"m{i}" for i in range(k)], *[f"c{i}_{j}" for i in range(k) for j in range(i, k)]]
+    return finish(both, one, "value double", ["replicate"])
 
 
 def _effect(df: DataFrame, y: str, t: str, weight: Column, key: str, n: int, seed: int) -> DataFrame:
     """Replicates of the difference of weighted means."""
-    treated, value = expr_of(t) > 0, expr_of(y)
-    out = None
-    for begin in range(0, n + 1, BLOCK):
-        ids = range(begin, min(begin + BLOCK, n + 1))
-        aggs = []
-        for b in ids:
-            w = weight * (poisson_weight(uniform(seed, F.expr(key), b)) if b else F.lit(1))
-            for arm in (0, 1):
-                hit = treated if arm else ~treated
-                aggs += [F.sum(F.when(hit, w)).alias(f"w{b}_{arm}"), F.sum(F.when(hit, w * value)).alias(f"s{b}_{arm}")]
-        one = lambda row, ids=ids: [(b, row[f"s{b}_1"] / row[f"w{b}_1"] - row[f"s{b}_0"] / row[f"w{b}_0"] if row[f"w{b}_1"] and row[f"w{b}_0"] else None) for b in ids]
-        part = finish(df.agg(*aggs), one, "replicate int,value double", [])
-        out = part if out is None else out.unionByName(part)
-    return out
+    sums = weighted_sums(df, [expr_of(y)], weight, key, range(n + 1), 1.0, seed, [(expr_of(t) > 0).cast("int")], point=True)
+    mean = lambda arm: F.max(F.when(F.col("g0") == arm, F.try_divide("s0", "w")))
+    return sums.groupBy("replicate").agg((mean(1) - mean(0)).alias("value"))
 
 
 def _summary(replicates: DataFrame) -> DataFrame:
@@ -167,6 +144,3 @@ def quantile_test_bucket(df: DataFrame, y: str, index: str, levels: list[float],
 
     return finish(both, one, "level double,quantile0 double,quantile1 double,effect double,stderr double,p_value double,lower double,upper double", [])
 
-
-def pooled(parts: list[Moments]) -> Moments:
-    return Moments.merge(parts)

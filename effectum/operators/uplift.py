@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import norm_cdf, norm_ppf
 from .moments import expr_of, moments_of
 from .regression import Formula, LinearModel, fit_ols, fit_wls, linear_from_moments
-from .resampling import poisson_weight, uniform
+from .resampling import uniform, weighted_sums
 
 # Lift
 
@@ -543,24 +543,30 @@ def estimate(
     All replicates come from one aggregation of weighted sums; the replicates of a bucket are a small array.
     """
     t = F.expr(treatment)
-    sums = {"n": F.lit(1.0), "y": expr_of(target) if metric in ("ate", "target_rate") else F.lit(0.0), "b": expr_of(benefit) if "roi" in metric else F.lit(0.0), "k": expr_of(cost) if "roi" in metric else F.lit(0.0)}
-    key_col = F.expr(key) if key else F.monotonically_increasing_id()
-    ids = range(n_bootstraps + 1)
-    aggs = []
-    for b in ids:
-        w = poisson_weight(uniform(seed, key_col, b)) if b else F.lit(1)
-        for arm, value in ((1, treatment_value), (0, control_value)):
-            aggs += [F.sum(F.when(t == F.lit(value), w * v)).alias(f"{name}{arm}_{b}") for name, v in sums.items()]
-    rows = df.groupBy(bucket).agg(*aggs) if bucket else df.agg(*aggs)
-    names = [f"{name}{arm}_{b}" for b in ids for arm in (1, 0) for name in sums]
+    sums = {"y": expr_of(target) if metric in ("ate", "target_rate") else F.lit(0.0), "b": expr_of(benefit) if "roi" in metric else F.lit(0.0), "k": expr_of(cost) if "roi" in metric else F.lit(0.0)}
+    arm = F.when(t == F.lit(treatment_value), 1).when(t == F.lit(control_value), 0)
+    if n_bootstraps and not key:
+        raise ValueError("a bootstrap needs a key that tells rows apart")
+    by = [arm, *([F.col(bucket)] if bucket else [])]
+    if n_bootstraps:
+        per = weighted_sums(df, list(sums.values()), F.lit(1.0), key, range(n_bootstraps + 1), 1.0, seed, by, point=True)
+    else:
+        named = [v.alias(f"__v{i}") for i, v in enumerate(sums.values())]
+        per = df.select(*named, *[c.alias(f"g{i}") for i, c in enumerate(by)]).groupBy("g0", *(["g1"] if bucket else [])).agg(F.count("*").cast("double").alias("w"), *[F.sum(f"__v{i}").alias(f"s{i}") for i in range(3)]).withColumn("replicate", F.lit(0))
+    names = {name: [F.max(F.when(F.col("g0") == a, F.col(c))).alias(f"{name}{a}") for a in (1, 0)] for name, c in (("n", "w"), ("y", "s0"), ("b", "s1"), ("k", "s2"))}
+    wide = per.groupBy("replicate", *([F.col("g1").alias(bucket)] if bucket else [])).agg(*[c for cs in names.values() for c in cs]).fillna(0.0)
     if cumulative:
-        w = Window.orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, 0)  # as many rows as buckets
-        rows = rows.select(bucket, *[F.sum(c).over(w).alias(c) for c in names])
-    value = lambda b: _METRICS[metric]({f"{name}{arm}": F.coalesce(F.col(f"{name}{arm}_{b}"), F.lit(0.0)) for arm in (1, 0) for name in sums})
-    out = rows.select(*([bucket] if bucket else []), value(0).alias(metric), *([F.array_sort(F.array(*[value(b) for b in ids[1:]])).alias("__r")] if n_bootstraps else []), F.coalesce(F.col("n1_0"), F.lit(0.0)).alias("n_treated"), F.coalesce(F.col("n0_0"), F.lit(0.0)).alias("n_control"))
+        w = Window.partitionBy("replicate").orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, 0)  # as many rows as buckets
+        wide = wide.select("replicate", bucket, *[F.sum(f"{c}{a}").over(w).alias(f"{c}{a}") for c in names for a in (1, 0)])
+    point = lambda c: F.max(F.when(F.col("replicate") == 0, c))
+    value = _METRICS[metric]({f"{c}{a}": F.col(f"{c}{a}") for c in names for a in (1, 0)})
+    valued = wide.withColumn("__value", value)
+    grouped = valued.groupBy(bucket) if bucket else valued.groupBy()
+    spread = [F.sort_array(F.collect_list(F.when(F.col("replicate") > 0, F.col("__value")))).alias("__r")] if n_bootstraps else []
+    out = grouped.agg(point(F.col("__value")).alias(metric), point(F.col("n1")).alias("n_treated"), point(F.col("n0")).alias("n_control"), *spread)
     if not n_bootstraps:
         return out
-    at = lambda p: F.get("__r", F.lit(min(n_bootstraps - 1, int(p * n_bootstraps))))
+    at = lambda p: F.get("__r", F.least(F.size("__r") - 1, F.floor(p * F.size("__r"))).cast("int"))
     mean = F.aggregate("__r", F.lit(0.0), lambda a, v: a + v) / n_bootstraps
     var = F.aggregate("__r", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / max(n_bootstraps - 1, 1)
     return out.withColumns({"std_error": F.sqrt(var), "lower": 2 * F.col(metric) - at(1 - alpha / 2), "upper": 2 * F.col(metric) - at(alpha / 2)}).drop("__r")
