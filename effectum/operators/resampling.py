@@ -12,9 +12,9 @@ from .hypothesis import Metric
 from .moments import MeanFunction, expr_of, finish, moment_columns, moments_of
 
 
-def uniform(seed: int, key: Column, replicate: Column | int) -> Column:
-    """A number in (0, 1) that the key, seed and replicate fix, whatever the partitioning."""
-    h = F.xxhash64(key, F.lit(seed), F.lit(replicate) if isinstance(replicate, int) else replicate)
+def uniform(seed: int, key: Column, replicate: Column | int, use: str = "") -> Column:
+    """A number in (0, 1) that the key, seed, replicate and ``use`` fix, whatever the partitioning. Different uses are independent."""
+    h = F.xxhash64(key, F.lit(seed), F.lit(replicate) if isinstance(replicate, int) else replicate, F.lit(use))
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
 
 
@@ -60,7 +60,7 @@ def weighted_sums(df: DataFrame, values: list[Column], weight: Column, key: str,
     named = [v.alias(f"__v{i}") for i, v in enumerate(values)]
     groups = [c.alias(f"g{i}") for i, c in enumerate(by)]
     rows = replicated(df.select(F.expr(key).alias("__key"), weight.alias("__w"), *named, *groups), replicates)
-    count = poisson_weight(uniform(seed, F.col("__key"), F.col("replicate")), rate)
+    count = poisson_weight(uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap"), rate)
     rows = rows.withColumn("__n", F.when(F.col("replicate") == 0, 1).otherwise(count) if point else count).where("__n > 0")
     w = F.col("__n") * F.col("__w")
     sums = [F.sum(w).cast("double").alias("w"), *[F.sum(w * F.col(f"__v{i}")).alias(f"s{i}") for i in range(len(values))]]
@@ -79,7 +79,7 @@ def permutation(df: DataFrame, y: str, index: str, key: str, *, permutation_num:
     share = 0.5 if scheme == "bernoulli" else df.agg(F.avg(F.expr(index).cast("double"))).first()[0] or 0.5
     k = len(metric.args)
     rows = replicated(df.select(F.expr(key).alias("__key"), *[c.alias(f"__v{i}") for i, c in enumerate(metric.columns())]), range(permutation_num))
-    rows = rows.withColumn("arm", (uniform(seed, F.col("__key"), F.col("replicate")) < share).cast("int"))
+    rows = rows.withColumn("arm", (uniform(seed, F.col("__key"), F.col("replicate"), "permutation") < share).cast("int"))
     values = [F.col(f"__v{i}") for i in range(k)]
     if mde:  # the metric's first variable is what the treatment moves
         values[0] = F.when(F.col("arm") == 1, values[0] + mde if mde_type == 0 else values[0] * (1 + mde)).otherwise(values[0])

@@ -362,7 +362,7 @@ class CausalForest:
         return self
 
     def _in(self, k: int, honest: bool) -> Column:
-        u = uniform(self.seed, F.col("__key"), k)
+        u = uniform(self.seed, F.col("__key"), k, "forest")
         return (u >= self.share / 2) & (u < self.share) if honest else u < self.share / 2
 
     def _placed(self, base: DataFrame, honest: bool) -> DataFrame:
@@ -611,7 +611,7 @@ def _points(qini: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def simulate_randomized_trial(spark, n: int = 1000, p: int = 5, sigma: float = 1.0, binary_outcome: bool = False, add_cost_benefit: bool = False, seed: int = 0) -> DataFrame:
     """A synthetic trial: covariates x0.. on (0, 1), a coin-flip treatment, an effect of (x0 + x1) / 2, and noise. Generated where it is used."""
     base = spark.range(n).withColumnRenamed("id", "unit")
-    u = lambda k: uniform(seed, F.col("unit"), k)
+    u = lambda k: uniform(seed, F.col("unit"), k, "trial")
     df = base.withColumns({f"x{i}": u(i) for i in range(p)})
     df = df.withColumn("treatment", (u(1000) < 0.5).cast("int")).withColumn("tau", (F.col("x0") + F.col("x1")) / 2)
     noise = F.sqrt(-2 * F.log(u(1001))) * F.cos(2 * math.pi * u(1002))

@@ -610,9 +610,9 @@ _SCALAR = {
 }
 
 
-@query("select l_orderkey, l_linenumber, " + ", ".join(f"round(({s})::double, 6) + 0.0 as f_{n}" for n, (_, s) in _SCALAR.items()) + " from lineitem")
+@query("select l_orderkey, l_linenumber, " + ", ".join(f"round(({s})::double, 9) + 0.0 as f_{n}" for n, (_, s) in _SCALAR.items()) + " from lineitem")
 def scalar_functions(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(f().cast("double"), 6) + F.lit(0.0)).alias(f"f_{n}") for n, (f, _) in _SCALAR.items()])
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(f().cast("double"), 9) + F.lit(0.0)).alias(f"f_{n}") for n, (f, _) in _SCALAR.items()])
 
 
 @query("select l_orderkey, l_linenumber, l_quantity < 10 as lt, l_quantity <= 10 as le, l_quantity > 10 as gt, l_quantity >= 10 as ge, l_quantity = 10 as eq, l_quantity <> 10 as ne, l_tax is null as isnull, l_tax is not null as isnotnull, l_quantity + 1 as plus, l_quantity - 1 as minus, l_quantity * 2 as times, -l_quantity as negative from lineitem")
