@@ -58,15 +58,19 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterat
         rows = max(1, n * size // max(batch.nbytes, 1))
         for at in range(0, n, rows):
             part = batch.slice(at, rows)
-            if part.num_rows > 1 and part.get_total_buffer_size() and _bytes(part) > 4 * size:
+            if part.num_rows > 1 and part.nbytes > 4 * size:
                 for i in range(part.num_rows):
                     yield part.slice(i, 1)
             else:
                 yield part
 
 
-def _bytes(batch: pa.RecordBatch) -> int:
-    return batch.nbytes
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: A line goes if more than this share of the host's pages hold it, and the host has so many pages at least.
 RATIO, MIN_PAGES = 0.08, 20
@@ -46,18 +46,19 @@ def drop_site_lines(pages: DataFrame, host: Column, text_col: str = "text", *, r
     DataFrame operations only. Texts aren't shuffled unless the boilerplate exceeds ``BROADCAST_BYTES``. Keys
     are 64-bit hashes: a line is wrongly dropped if it meets one of its host's few boilerplate keys, once in about 10^17 lines.
     """
-    text, site, own = F.col(text_col), F.col("__site_host"), F.col("__site_often")
+    old = pages.drop("n_lines", "n_dropped")
+    site_name, own_name, kept_name = (fresh(n, old.columns) for n in ("site", "often", "kept"))
+    text, site, own = F.col(f"`{text_col}`"), F.col(site_name), F.col(own_name)
     often = materialise(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     size = often.agg(F.sum(F.size("often") * 8 + 64)).first()[0] or 0
-    small = often.select(F.col("host").alias("__site_host"), F.col("often").alias("__site_often"))
+    small = often.select(F.col("host").alias(site_name), F.col("often").alias(own_name))
     small = F.broadcast(small) if size <= BROADCAST_BYTES else small
-    old = pages.drop("n_lines", "n_dropped")
     joined = old.join(small, host.eqNullSafe(site), "left")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(own, _key(x)))
-    out = joined.select(*[F.col(f"`{c}`") for c in old.columns], F.when(own.isNotNull(), kept).alias("__kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
-    out = out.withColumn("n_dropped", F.when(F.col("__kept").isNotNull(), F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(text)).drop("__kept")
+    out = joined.select(*[F.col(f"`{c}`") for c in old.columns], F.when(own.isNotNull(), kept).alias(kept_name), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
+    out = out.withColumn("n_dropped", F.when(F.col(kept_name).isNotNull(), F.col("n_lines") - F.size(kept_name)).otherwise(0).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join(kept_name, "\n")).otherwise(text)).drop(kept_name)
 
 
 def page_lines(html: Column) -> Column:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, pieces, texts
+from .common import arrow_schema, fresh, materialise, pieces, texts
 from .components import connected_components
 
 BITS = 64
@@ -357,14 +357,15 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     if they are few, which is counted; else the join shuffles.
     """
     found = materialise(similar_documents(docs, **how), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    name, mark = fresh("gone", docs.columns), fresh("again", docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     many = gone.count() > FEW_IDS
-    kept = docs.join(gone if many else F.broadcast(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    kept = docs.join(gone if many else F.broadcast(gone), F.col("doc_id") == F.col(name), "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return kept
-    rows = kept.withColumn("__again", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy(F.lit(1))))
-    return rows.where("doc_id is null or __again = 1").drop("__again")
+    rows = kept.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy(F.lit(1))))
+    return rows.where(F.col("doc_id").isNull() | (F.col(mark) == 1)).drop(mark)
 
 
 #: Ids up to which those to drop are broadcast.
