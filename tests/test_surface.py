@@ -95,7 +95,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_late_rows_are_left_out(spark, tmp_path):
-    for i, t in enumerate(("2024-01-01 00:00:00", "2024-01-01 10:00:00", "2024-01-01 00:30:00", "2024-01-02 00:00:00")):
+    for i, t in enumerate(("2024-01-01 00:00:00", "2024-01-01 10:00:00", "2024-01-01 11:30:00", "2024-01-01 00:30:00", "2024-01-02 00:00:00")):
         spark.sql(f"select timestamp '{t}' as ts, 'a' as k").write.mode("append").parquet(str(tmp_path / f"in/{i}"))
         for f in (tmp_path / f"in/{i}").iterdir():  # files are read in the order of their times
             os.utime(f, (1_700_000_000 + 100 * i,) * 2)
