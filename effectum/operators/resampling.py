@@ -49,6 +49,35 @@ def boot_strap(df: DataFrame, expression: str, key: str, *, resample_frac: float
     return finish(sums, one, "value double", ["replicate"])
 
 
+def boot_strap_multi(df: DataFrame, expressions: list[str], key: str, *, resample_frac: float = 1.0, n_resamples: int = 100, seed: int = 0) -> DataFrame:
+    """Replicates of several functions of means from the same weights, in one pass: replicate, values."""
+    fs = [MeanFunction(e) for e in expressions]
+    args: list[str] = []
+    for f in fs:
+        args += [a for a in f.args if a not in args]
+    where = [[args.index(a) for a in f.args] for f in fs]
+    sums = weighted_sums(df, [expr_of(a) for a in args], F.lit(1.0), key, range(n_resamples), resample_frac, seed)
+
+    def one(row):
+        w = row["w"] or 0
+        means = np.array([(row[f"s{i}"] or 0.0) / w if w else math.nan for i in range(len(args))])
+        return [([float(f(means[i]).value) for f, i in zip(fs, where, strict=True)],)]
+
+    return finish(sums, one, "values array<double>", ["replicate"])
+
+
+def boot_strap_ols(df: DataFrame, formula: str, key: str, *, resample_frac: float = 1.0, n_resamples: int = 100, seed: int = 0) -> DataFrame:
+    """Replicates of the coefficients of a linear model: replicate, coef (in the order of the terms, the intercept last)."""
+    from .regression import Formula, _values, weighted_from_row
+
+    f = Formula.parse(formula)
+    values = _values(f)
+    rows = replicated(df.select(F.expr(key).alias("__key"), *[v.alias(f"__v{i}") for i, v in enumerate(values)]), range(n_resamples))
+    count = poisson_weight(uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap"), resample_frac).cast("double")
+    stats = rows.withColumn("__n", count).where("__n > 0").groupBy("replicate").agg(*moment_columns([F.col(f"__v{i}") for i in range(len(values))], F.col("__n")))
+    return finish(stats, lambda row: [([float(b) for b in weighted_from_row(row, f).coef],)], "coef array<double>", ["replicate"])
+
+
 def replicated(df: DataFrame, replicates: range) -> DataFrame:
     """Every row once for each replicate, for an aggregation by replicate: rows are summed where they are, so only a row for each replicate and task is shuffled."""
     ids = F.sequence(F.lit(replicates.start), F.lit(replicates.stop - 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame
 from ..functions import scalar
-from ..operators import features, hypothesis, matching, regression, resampling, uplift
+from ..operators import features, hypothesis, matching, ml_features, regression, resampling, uplift
 from ..streaming import windows
 from . import relational
 from .sql import sql
@@ -357,6 +357,32 @@ def quantile_test_bucket(spark, sf):
     return resampling.quantile_test_bucket(table(spark, sf, "lineitem"), "l_extendedprice", "l_orderkey % 2", [0.25, 0.5, 0.75], "l_orderkey")
 
 
+@query()
+def boot_strap_multi(spark, sf):
+    return resampling.boot_strap_multi(table(spark, sf, "lineitem"), ["avg(l_extendedprice)", "avg(l_extendedprice) / avg(l_quantity)"], "concat(l_orderkey, '-', l_linenumber)", n_resamples=30)
+
+
+@query()
+def boot_strap_ols(spark, sf):
+    return resampling.boot_strap_ols(table(spark, sf, "lineitem"), "l_extendedprice ~ l_quantity", "concat(l_orderkey, '-', l_linenumber)", n_resamples=30)
+
+
+@query()
+def feature_pipeline(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag")
+    return ml_features.feature_process(df, "l_orderkey", one_hot=True).select("l_orderkey", ml_features.vector_to_array("features").alias("features"))
+
+
+@query()
+def logistic_regression_ml(spark, sf):
+    return ml_features.logistic_regression(_binary(spark, sf), "hit", ["l_quantity", "l_linestatus"], ["l_linestatus"])
+
+
+@query("select count(*) as rows from lineitem")
+def partition_row_counts(spark, sf):
+    return ml_features.partition_row_counts(table(spark, sf, "lineitem")).agg(F.sum("rows").alias("rows"))
+
+
 # Uplift
 
 
