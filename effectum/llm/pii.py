@@ -24,6 +24,8 @@ RESULT = "doc_id long,text string,n_entities long,kinds array<string>,starts arr
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña"), "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don"), "n": ("Dr", "Prof")}
 _WORDS = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _NAME = r"[^\W\d_a-z][^\W\d_]*(?:[-’'][^\W\d_]+)*"
+#: What may stand between the groups of a phone number: a separator, after signs that junk adds to words, or a table's bar.
+_GAP = r"(?:[!#$%&*]{1,3}|(?= \|))?(?: \| |[ .-])?"
 #: What is looked for only if the text has the character, or one of them.
 PATTERNS = (
     ("email", "@", r"(?<![\w.+-])[\w.+-]*\w@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-])"),
@@ -34,7 +36,7 @@ PATTERNS = (
     ("ip", ".", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ipv6", ":", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"),
     ("card", "0123456789", r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.,]\d)"),
-    ("phone", "0123456789", r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
+    ("phone", "0123456789", rf"(?<![\w.+])(?:\+\d{{1,3}}{_GAP}(?:\(\d{{1,5}}\){_GAP})?\d{{2,5}}(?:{_GAP}\d{{2,5}}){{1,4}}|\(\d{{3}}\){_GAP}\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\w)"),
     ("ssn", "-", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("number", "0123456789", r"(?<![\w.,])\d{9,12}(?![\w]|[.,]\d)"),
     ("name", "DFHMPS", rf"\b(?P<title>{_WORDS})\.? +(?P<name_value>{_NAME}(?: +{_NAME}){{0,2}})"),
