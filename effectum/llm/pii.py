@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, pieces
+from .common import arrow_schema, bounded, pieces
 
 KEY = b"effectum surrogate key"
 ROUNDS = 8
@@ -189,20 +189,18 @@ def _hex(key: bytes, tweak: str, value: str) -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """Spans of entities with their kinds, left to right; where two overlap, the kind that stands first in PATTERNS counts."""
+    """Spans of entities with their kinds, left to right. Kinds are looked for in the order of PATTERNS; what is found is blanked for those that follow."""
     spans: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
     for kind, need, pattern in _COMPILED:
         if not any(c in text for c in need):
             continue
-        for m in pattern.finditer(text):
-            group = f"{kind}_value" if f"{kind}_value" in pattern.groupindex else 0
-            a, b = m.span(group)
-            if kind == "ipv6" and not _is_ipv6(text[a:b]):
-                continue
-            if not any(a < y and x < b for x, y in taken):
-                spans.append((a, b, kind))
-        taken = [(a, b) for a, b, _ in spans]
+        group = f"{kind}_value" if f"{kind}_value" in pattern.groupindex else 0
+        found = [m.span(group) for m in pattern.finditer(text)]
+        if kind == "ipv6":
+            found = [(a, b) for a, b in found if _is_ipv6(text[a:b])]
+        for a, b in found:
+            spans.append((a, b, kind))
+            text = text[:a] + "\0" * (b - a) + text[b:]
     return sorted(spans)
 
 
@@ -265,7 +263,7 @@ def replace_private(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     A null text stays null and has no entities, an empty one stays empty. A value has one surrogate in all documents (unless a document had a collision).
     Repeated rows give repeated results; an empty table gives no rows; other columns don't matter. One pass without a shuffle.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_replace(key), RESULT)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_replace(key), RESULT)
 
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
@@ -277,4 +275,4 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -
             made = pa.array([None if t is None else replace(t, key)[0] for t in batch[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], made, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
