@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that Python code works on at once; longer single texts are a piece of their own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,21 +50,46 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Further columns of the input, whatever their names, have no influence.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same DataFrame; its session hands rows to Python in batches of at most ``BATCH_ROWS`` from now on.
+
+    Whole texts are long, so the default of 10,000 rows would hold tens of MB for each task on either side. Code that works better on more
+    at once gathers batches itself (``pieces``).
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``size`` bytes at most, so that memory doesn't follow row counts."""
+    """The same rows in batches of about ``size`` bytes: small batches are joined, large ones cut, single long texts left alone."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        n = batch.num_rows
-        rows = max(1, n * size // max(batch.nbytes, 1))
-        for at in range(0, n, rows):
-            part = batch.slice(at, rows)
-            if part.num_rows > 1 and part.nbytes > 4 * size:
-                for i in range(part.num_rows):
-                    yield part.slice(i, 1)
-            else:
-                yield part
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from _cut(_join(held), size)
+            held = []
+    if held:
+        yield from _cut(_join(held), size)
+
+
+def _join(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def _cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    n = batch.num_rows
+    if n < 2 or batch.nbytes <= 2 * size:
+        if n:
+            yield batch
+        return
+    yield from _cut(batch.slice(0, n // 2), size)
+    yield from _cut(batch.slice(n // 2), size)
 
 
 def fresh(name: str, taken: list[str]) -> str:

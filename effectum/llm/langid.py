@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, pieces
+from .common import arrow_schema, bounded, pieces
 
 #: Hashed n-gram features; n-grams of the UTF-8 bytes of the lower-cased text, other bytes than letters taken as blanks.
 FEATURES, NGRAMS = 2048, (1, 2, 3)
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     The labelled rows of each language are counted; those whose id hashes below ``sample`` over that count are fitted on. Features
     are made where the rows are; the driver gets about ``sample`` vectors of one size for each language.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in known.select("doc_id", "lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     nothing could be learnt. Texts that tie get the first language of the alphabet and are ambiguous. Equal texts get equal
     results; an empty table gives no rows.
     """
-    old = docs.drop(*PREDICTED_NAMES)
+    old = bounded(docs).drop(*PREDICTED_NAMES)
     schema = StructType([*old.schema.fields, *StructType.fromDDL(PREDICTED).fields])
     return old.mapInArrow(_predict(model, text_col), schema)
 

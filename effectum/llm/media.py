@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
-from .common import arrow_schema, materialise, pieces, texts
+from .common import arrow_schema, bounded, materialise, pieces, texts
 
 #: Bytes of text that are encoded, and of files that are decoded, at once.
 ENCODE_BYTES, DECODE_BYTES = 3 << 19, 10 << 20
@@ -107,7 +107,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def read_media(media: DataFrame, *, tensors: bool = True) -> DataFrame:
     """Each file's payload, size, full-resolution RGB tensor (row by row, three bytes a pixel; null unless asked for) and a feature of the tensor."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode(tensors), DECODED)
+    return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(_decode(tensors), DECODED)
 
 
 def stored_texts(docs: DataFrame, *, tensors: bool = False) -> DataFrame:
