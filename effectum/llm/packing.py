@@ -19,6 +19,8 @@ SLACK = 8
 WINDOWS = 48
 #: What a document leaves beside its whole windows is cut into pieces of this many tokens at most.
 LARGEST = 128
+#: Words that a worker remembers; fewer take more time, and memory where other stages keep theirs.
+MEMO = 1_200_000
 
 PIECE = "doc_id long,start long,length long,ids binary,doc_tokens long,sequence_id long,offset long"
 
@@ -64,11 +66,11 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int, slack: int):
+def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int, slack: int, memo: int):
     schema = arrow_schema(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = json_vocabulary(path)
+        vocabulary = json_vocabulary(path, memo=memo)
         end = array("I", [end_id]).tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
@@ -117,7 +119,7 @@ def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int,
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: int = 1024, largest: int = LARGEST, per_group: int = WINDOWS, slack: int = SLACK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: int = 1024, largest: int = LARGEST, per_group: int = WINDOWS, slack: int = SLACK, memo: int = MEMO) -> DataFrame:
     """Cut every document into pieces and put these in sequences of at most ``capacity`` tokens.
 
     Whole windows of a document are sequences by themselves. The rest is cut into pieces of at most
@@ -129,4 +131,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: int
     sequence_id, offset. A null or empty text is the end id alone. Repeated rows are packed each. An empty
     table gives no rows. Columns other than doc_id and text don't matter.
     """
-    return texts(docs).mapInArrow(_packer(tokenizer_path, end_id, capacity, largest, per_group, slack), PIECE)
+    return texts(docs).mapInArrow(_packer(tokenizer_path, end_id, capacity, largest, per_group, slack, memo), PIECE)

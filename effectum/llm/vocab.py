@@ -18,8 +18,8 @@ import regex
 
 from .common import Memo
 
-#: Units, and pre-tokens, that a worker remembers before it begins anew; it keeps them from task to task.
-MEMO, PARTS = 450_000, 300_000
+#: Units that a worker remembers before it begins anew (and half as many pre-tokens); it keeps them from task to task, at about 200 bytes each.
+MEMO = 800_000
 #: The patterns by which the two tokenizers split text.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -38,7 +38,7 @@ def byte_alphabet() -> list[str]:
 class JsonVocabulary:
     """Encodes as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids`` does."""
 
-    def __init__(self, path: str, code: str = "I"):
+    def __init__(self, path: str, code: str = "I", memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,9 +54,9 @@ class JsonVocabulary:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.letters = byte_alphabet()
         lead = "" if self.folds else " "
-        self.words = Memo(lambda word: self._unit(lead + word), MEMO)
-        self.units = Memo(self._unit, MEMO)
-        self.parts = Memo(self._part, PARTS)
+        self.words = Memo(lambda word: self._unit(lead + word), memo)
+        self.units = Memo(self._unit, memo)
+        self.parts = Memo(self._part, memo // 2)
 
     def _slow(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -95,5 +95,5 @@ UNITS = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 
 
 @cache
-def json_vocabulary(path: str, code: str = "I") -> JsonVocabulary:
-    return JsonVocabulary(path, code)
+def json_vocabulary(path: str, code: str = "I", memo: int = MEMO) -> JsonVocabulary:
+    return JsonVocabulary(path, code, memo)
