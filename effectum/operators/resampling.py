@@ -20,12 +20,13 @@ def uniform(seed: int, key: Column, replicate: Column | int, use: str = "") -> C
 
 def poisson_weight(u: Column, rate: float = 1.0) -> Column:
     """A Poisson count from a uniform number, by inversion up to a count that is practically never reached."""
-    out, p, c = F.lit(0), math.exp(-rate), math.exp(-rate)
+    p = c = math.exp(-rate)
+    out = F.when(u <= c, 0)
     for k in range(1, 12 + int(6 * rate)):
-        out = F.when(u > c, k).otherwise(out)
         p *= rate / k
         c += p
-    return out
+        out = out.when(u <= c, k)
+    return out.otherwise(12 + int(6 * rate))
 
 
 def boot_strap(df: DataFrame, expression: str, key: str, *, resample_frac: float = 1.0, n_resamples: int = 100, seed: int = 0) -> DataFrame:
@@ -73,8 +74,8 @@ def boot_strap_ols(df: DataFrame, formula: str, key: str, *, resample_frac: floa
     f = Formula.parse(formula)
     values = _values(f)
     rows = replicated(df.select(F.expr(key).alias("__key"), *[v.alias(f"__v{i}") for i, v in enumerate(values)]), range(n_resamples))
-    count = poisson_weight(uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap"), resample_frac).cast("double")
-    stats = rows.withColumn("__n", count).where("__n > 0").groupBy("replicate").agg(*moment_columns([F.col(f"__v{i}") for i in range(len(values))], F.col("__n")))
+    count = poisson_weight(F.col("__u"), resample_frac).cast("double")
+    stats = rows.withColumn("__u", uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap")).withColumn("__n", count).where("__n > 0").groupBy("replicate").agg(*moment_columns([F.col(f"__v{i}") for i in range(len(values))], F.col("__n")))
     return finish(stats, lambda row: [([float(b) for b in weighted_from_row(row, f).coef],)], "coef array<double>", ["replicate"])
 
 
@@ -89,8 +90,9 @@ def weighted_sums(df: DataFrame, values: list[Column], weight: Column, key: str,
     named = [v.alias(f"__v{i}") for i, v in enumerate(values)]
     groups = [c.alias(f"g{i}") for i, c in enumerate(by)]
     rows = replicated(df.select(F.expr(key).alias("__key"), weight.alias("__w"), *named, *groups), replicates)
-    count = poisson_weight(uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap"), rate)
-    rows = rows.withColumn("__n", F.when(F.col("replicate") == 0, 1).otherwise(count) if point else count).where("__n > 0")
+    # The uniform number is a column of its own, so that the comparisons don't each compute it.
+    count = poisson_weight(F.col("__u"), rate)
+    rows = rows.withColumn("__u", uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap")).withColumn("__n", F.when(F.col("replicate") == 0, 1).otherwise(count) if point else count).where("__n > 0")
     w = F.col("__n") * F.col("__w")
     sums = [F.sum(w).cast("double").alias("w"), *[F.sum(w * F.col(f"__v{i}")).alias(f"s{i}") for i in range(len(values))]]
     return rows.groupBy("replicate", *[f"g{i}" for i in range(len(by))]).agg(*sums)
