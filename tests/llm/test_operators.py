@@ -569,3 +569,19 @@ def test_private_awkward(awkward, empty, docs):
 
 def test_digests():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_pieces_join_and_cut():
+    import pyarrow as pa
+
+    from effectum.llm.common import Memo, fresh, pieces
+
+    sizes = [1, 5, 3000, 2, 2, 900, 0, 10]
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{i}:" + "x" * n] * 3)], ["t"]) for i, n in enumerate(sizes)]
+    batches.append(batches[0].slice(0, 0))
+    out = list(pieces(iter(batches), 500))
+    assert [t for b in out for t in b["t"].to_pylist()] == [t for b in batches for t in b["t"].to_pylist()]
+    assert all(b.num_rows == 1 or b.nbytes <= 1000 for b in out) and not list(pieces(iter([])))
+    memo = Memo(len, 2)
+    assert [memo[k] for k in ("a", "bb", "ccc", "a")] == [1, 2, 3, 1] and len(memo) <= 2
+    assert fresh("Site", ["site", "_site"]) == "__Site"
