@@ -322,14 +322,14 @@ def _similar(least: float):
     return run
 
 
-def similar_documents(docs: DataFrame, *, k: int = 4, radius: int = 2, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, *, k: int = 8, candidates: int = 2, radius: int = 2, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each document and its component: doc_id, component_id; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Fingerprints of shingles differ in many bits at that similarity, so candidates are found by k fingerprints of weighted words,
+    Fingerprints of shingles differ in many bits at that similarity, so candidates are found by k fingerprints of shingles of ``candidates`` words (0: weighted words, whose bits correlate),
     within ``radius`` bits of each other in any; each link is then verified on the shingles. Equal texts are one node from the start. Texts with equal
     fingerprints, and those in crowds, are compared with the least of them only. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    own = materialise(fingerprints(docs, size=0, k=k, text_key=True), "fingerprints")
+    own = materialise(fingerprints(docs, size=candidates, k=k, text_key=True), "fingerprints")
     names = [f"fp{i}" for i in range(k)]
     nodes = own.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in names])
     nodes = materialise(nodes.where("node is not null"), "nodes")
