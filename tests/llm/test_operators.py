@@ -328,9 +328,9 @@ def test_near_duplicates_awkward(awkward, empty):
 
 
 def test_verified_duplicates(awkward, empty, spark):
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(awkward).collect()]
+    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(awkward, k=2).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 2, 5, 7, 9] and kept.count(None) == 1
-    assert simhash.drop_near_duplicates(empty).count() == 0
+    assert simhash.drop_near_duplicates(empty, k=1).count() == 0
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
     base = [rng.choices(words, k=400) for _ in range(30)]
