@@ -24,6 +24,12 @@ CROWD = 48
 AT_ONCE = 1 << 13
 #: Costs that the plan weighs against each other: making and joining a key, and comparing a candidate.
 KEY_COST, PAIR_COST = 1.0, 0.2
+#: Texts in which shingles are counted: about this many, or one in SAMPLE_STEP if that is more; from which count on one is frequent, and how many of these are told to all tasks.
+SAMPLE, SAMPLE_STEP, FREQUENT, FREQUENT_AT_MOST = 20_000, 50, 5, 200_000
+#: Rows of a key that one task compares with all of them.
+SALT = 2_000
+#: What rounding may add to a bound on similarity.
+EPS = 1e-6
 
 
 # Fingerprints
@@ -295,59 +301,179 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: in
 # Verified near-duplicates
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(f, 7) for f in features(text, size)[0]], np.uint64))
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+
+
+def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are frequent in a sample of the texts, in order, and their ranks (the length of the count in bits).
+
+    They only decide in which order a set is read, so a poor sample makes searches slower, never wrong.
+    """
+    step = min(max(docs.count() // SAMPLE, 1), SAMPLE_STEP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = np.concatenate([shingle_set(t, size) for t in batch["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    sample = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_AT_MOST).toPandas()
+    h, rank = rows["h"].to_numpy(np.int64).view(np.uint64), np.frexp(rows["n"].to_numpy(np.float64))[1].astype(np.int64)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest hashes of a set, as many that any set of this similarity has one of them in its own prefix."""
+    known, ranks = frequent
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: len(hashes) - math.ceil(similarity * len(hashes) - EPS) + 1]] if len(hashes) else hashes
+
+
+def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]):
+    schema = arrow_schema("doc_id long,node long,n long,prefix binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
+            columns = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t.type) for c, t in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
+
+    return run
+
+
+def _keys(k: int):
+    """A row for each hash of a prefix: its place, and whether it is among the k that lead (the least of another hash)."""
+    schema = arrow_schema("key long,node long,n long,at long,lead boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in batch["prefix"].to_pylist()]
+            if not sum(map(len, sets)):
+                continue
+            lead = []
+            for s in sets:
+                low = mixed(s, 2)[:, 1]
+                lead.append(low <= np.partition(low, k - 1)[k - 1] if len(s) > k else np.ones(len(s), bool))
+            times = np.array([len(s) for s in sets])
+            columns = [np.concatenate(sets).view(np.int64), *[np.repeat(np.asarray(batch[c]), times) for c in ("node", "n")], np.concatenate([np.arange(t) for t in times]), np.concatenate(lead)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return run
+
+
 def _shingle_sets(size: int):
     schema = arrow_schema("node long,hashes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(f, 7) for f in features(t, size)[0]], np.uint64)).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], schema=schema)
+            sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
 def _similar(least: float):
+    """Of rows (a, b, hashes) sorted by a and b, that of a itself (b is null) first: the links (a, b) whose sets are similar."""
     schema = arrow_schema("a long,b long")
 
-    def jaccard(x: bytes, y: bytes) -> float:
-        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        return both / max(len(u) + len(v) - both, 1) if len(u) or len(v) else 1.0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            ok = [jaccard(x, y) >= least for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], schema=schema)
+        x = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, b, s in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+                y = np.frombuffer(s, np.uint64)
+                if b is None:
+                    x = y
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both / (len(x) + len(y) - both) >= least:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], schema=schema)
 
     return run
 
 
-def similar_documents(docs: DataFrame, *, k: int = 8, candidates: int = 2, radius: int = 2, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Each document and its component: doc_id, component_id; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
+def verified(docs: DataFrame, own: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of links (a, b) between sets those that are similar. A set is sent once for each of its links from a lesser one, and once for its own."""
+    involved = materialise(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    ids = own.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = texts(docs)
+    rows = rows.join(ids.distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+    sets = rows.mapInArrow(_shingle_sets(size), "node long,hashes binary").join(involved, "node", "left_semi")
+    sets = materialise(sets.groupBy("node").agg(F.max("hashes").alias("hashes")), "shingles")
+    ends = links.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
+    heads = sets.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    ordered = ends.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return materialise(ordered.mapInArrow(_similar(similarity), "a long,b long"), "similar")
+
 
-    Fingerprints of shingles differ in many bits at that similarity, so candidates are found by k fingerprints of shingles of ``candidates`` words (0: weighted words, whose bits correlate),
-    within ``radius`` bits of each other in any; each link is then verified on the shingles. Equal texts are one node from the start. Texts with equal
-    fingerprints, and those in crowds, are compared with the least of them only. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
+def may_be_similar(similarity: float) -> Column:
+    """Of two rows l, r of one key: sizes allow the similarity, and so do the hashes from their places on. For the first hash that two similar sets share it holds."""
+    rest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
+    need = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - EPS
+    return (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (rest >= need)
+
+
+def pairs_of_keys(shared: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of different components that share a key: (key, node, n, at, component).
+
+    The members of a key's largest component are only compared with the others there, so a crowd that is one component but for
+    a few costs as many pairs as it has members for each of these. Keys with many rows are dealt to several tasks.
+    """
+    parts = shared.groupBy("key", "component").agg(F.count("*").alias("m"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("rows")).where("parts > 1")
+    keys = keys.select("key", F.col("most.component").alias("largest"), F.ceil(F.col("rows") / SALT).cast("int").alias("salts"))
+    open_ = materialise(shared.join(keys, "key"), "open")
+    left = open_.where("component <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("l")
+    right = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("r")
+    once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.component") < F.col("r.component"))
+    met = left.join(right, ["key", "salt"]).where((F.col("l.component") != F.col("r.component")) & once & may_be_similar(similarity))
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def chains(shared: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b): under each leading key each node with the two before it, in an order of the key's own."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    rows = shared.where("lead").select("n", "node", *[F.lag(c, i).over(order).alias(f"{c}{i}") for i in (1, 2) for c in ("n", "node")])
+    steps = rows.select("n", "node", F.explode(F.array(*[F.struct(F.col(f"n{i}").alias("m"), F.col(f"node{i}").alias("other")) for i in (1, 2)])).alias("s"))
+    steps = steps.where((F.least("n", "s.m") >= similarity * F.greatest("n", "s.m") - EPS))
+    return steps.select(F.least("node", "s.other").alias("a"), F.greatest("node", "s.other").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Each document and its component: doc_id, component_id, the least doc_id that links reach; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    No link is missed. Two such sets share a shingle among the first (1 - similarity) of each, rare ones first, so these are the keys (prefix
+    filter), with filters on sizes and places; each pair is verified. Equal sets are one node from the start. So that crowds of copies
+    don't cost all their pairs, each node is first verified against a few neighbours under ``k`` of its keys; pairs are
+    then made only between nodes that aren't yet in one component. ``k`` changes the cost, never the result.
+    Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    own = materialise(fingerprints(docs, size=candidates, k=k, text_key=True), "fingerprints")
-    names = [f"fp{i}" for i in range(k)]
-    nodes = own.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in names])
-    nodes = materialise(nodes.where("node is not null"), "nodes")
-    links = None
-    for c in names:
-        groups = materialise(nodes.groupBy(F.col(c).alias("fp")).agg(F.min("node").alias("rep")), "groups")
-        same = nodes.select("node", F.col(c).alias("fp")).join(groups, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        found = same.unionByName(link_fingerprints(groups, radius))
-        links = found if links is None else links.unionByName(found)
-    links = materialise(links.distinct(), "candidates")
-    involved = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
-    sets = texts(docs).join(involved, "doc_id", "left_semi").mapInArrow(_shingle_sets(size), "node long,hashes binary")
-    sets = materialise(sets.groupBy("node").agg(F.min("hashes").alias("hashes")), "shingles")
-    with_x = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    with_xy = with_x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    parts = connected_components(with_xy.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long,b long"))
-    named = nodes.join(parts, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "text_key", "left").select("doc_id", "component_id")
+    own = materialise(texts(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size)), "doc_id long,node long,n long,prefix binary"), "prefixes")
+    nodes = own.groupBy("node").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    keys = nodes.mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
+    shared = materialise(keys.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1").drop("rows"), "keys")
+    tried = materialise(chains(shared, similarity), "chains")
+    parts = connected_components(verified(docs, own, tried, size, similarity))
+    placed = shared.join(parts, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    left = materialise(pairs_of_keys(placed, similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
+    more = verified(docs, own, left, size, similarity)
+    if not more.isEmpty():
+        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    named = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:

@@ -347,6 +347,47 @@ def test_verified_duplicates(awkward, empty, spark):
     assert sum(10 * i + 1 in out for i in range(30)) <= 2
 
 
+def brute_similar(texts: dict, size: int = 5, similarity: float = 0.8) -> tuple[dict, dict]:
+    """The components of texts by all pairs, and of each pair that is similar its similarity."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {" ".join(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set()
+    parent, pairs = {i: i for i in texts}, {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            s = both / (len(sets[a]) + len(sets[b]) - both) if sets[a] or sets[b] else 1.0
+            if s >= similarity:
+                pairs[a, b] = s
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}, pairs
+
+
+def test_similar_documents_at_the_threshold(spark):
+    """Pairs between 0.80 and 0.90 are all found, as by brute force."""
+    rng, texts = random.Random(3), {}
+    for i in range(120):
+        n = rng.randint(60, 900)
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts[2 * i] = " ".join(base)
+        for j in rng.sample(range(n), max(1, round(n * rng.uniform(0.01, 0.025)))):
+            base[j] = f"v{rng.randrange(5000)}"
+        texts[2 * i + 1] = " ".join(base)
+    want, pairs = brute_similar(texts)
+    assert sum(0.8 <= s < 0.9 for s in pairs.values()) > 40
+    got = simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 # 6
 
 
