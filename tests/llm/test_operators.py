@@ -388,6 +388,22 @@ def test_similar_documents_at_the_threshold(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_similar_documents_in_a_crowd(spark):
+    """Copies of one text with some words changed, about as similar as the threshold: the components are those of all pairs."""
+    rng, texts = random.Random(4), {}
+    for base, changed, copies in ((0, 5, 200), (1000, 6, 120), (2000, 8, 60)):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for i in range(copies):
+            copy = list(words)
+            for j in rng.sample(range(400), changed):
+                copy[j] = f"v{rng.randrange(5000)}"
+            texts[base + i] = " ".join(copy)
+    want, _ = brute_similar(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for k in (8, 1):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, k=k).collect()} == want
+
+
 # 6
 
 
