@@ -432,16 +432,24 @@ def group_set(spark, sf):
     return rounded(out.withColumn("sum2", F.col("sum2") / 1000), 2, value=6)
 
 
-def _trial(spark):
+@query()
+def simulate_randomized_trial(spark, sf):
+    """Made-up rows; no other query runs over them."""
     return uplift.simulate_randomized_trial(spark, n=4000, p=3, add_cost_benefit=True)
 
 
+def _trial(spark, sf):
+    """All line items as a trial: the arm is the order's parity; three covariates, an outcome, a binary outcome, revenue and cost."""
+    named = {"x0": "l_discount", "x1": "l_tax", "x2": "l_quantity", "treatment": "cast(l_orderkey % 2 as int)", "outcome": "l_extendedprice", "hit": "cast(l_returnflag = 'R' as double)", "revenue": "l_extendedprice", "cost": "l_quantity"}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_KEY).alias("unit"), *[F.expr(e).alias(c) for c, e in named.items()])
+
+
 def _learner(kind, name):
     @query(name=name)
     def run(spark, sf):
-        df = _trial(spark)
-        y = "cast(outcome > 0.5 as double)" if kind in (uplift.ClassVariableTransformation, uplift.Retrospective) else "outcome"
-        return kind(y, "treatment", ["x0", "x1", "x2"]).fit(df).predict(df).select("unit", "tau", "cate_outcome")
+        df = _trial(spark, sf)
+        y = "hit" if kind in (uplift.ClassVariableTransformation, uplift.Retrospective) else "outcome"
+        return kind(y, "treatment", ["x0", "x1", "x2"]).fit(df).predict(df).select("l_orderkey", "l_linenumber", "cate_outcome")
 
     return run
 
@@ -479,37 +487,37 @@ def estimate_target_rate_per_bucket(spark, sf):
 
 @query()
 def estimate_ate_bootstrap(spark, sf):
-    return uplift.estimate(_trial(spark), "ate", n_bootstraps=40, key="unit")
+    return uplift.estimate(_trial(spark, sf), "ate", n_bootstraps=40, key="unit")
 
 
 @query()
 def estimate_cate_per_quantile(spark, sf):
-    return uplift.estimate_per_quantile(_trial(spark), "ate", score="x0", n_buckets=10)
+    return uplift.estimate_per_quantile(_trial(spark, sf), "ate", score="x0", n_buckets=10)
 
 
 @query()
 def estimate_target_rate_per_quantile(spark, sf):
-    return uplift.estimate_per_quantile(_trial(spark), "target_rate", score="x0", n_buckets=10)
+    return uplift.estimate_per_quantile(_trial(spark, sf), "target_rate", score="x0", n_buckets=10)
 
 
 @query()
 def estimate_iroi_per_quantile(spark, sf):
-    return uplift.estimate_per_quantile(_trial(spark), "iroi", score="x0", n_buckets=10)
+    return uplift.estimate_per_quantile(_trial(spark, sf), "iroi", score="x0", n_buckets=10)
 
 
 @query()
 def estimate_cate_lift(spark, sf):
-    return uplift.estimate_cate_lift(_trial(spark), score="x0", n_buckets=10)
+    return uplift.estimate_cate_lift(_trial(spark, sf), score="x0", n_buckets=10)
 
 
 @query()
 def estimate_qini(spark, sf):
-    return uplift.estimate_qini(_trial(spark), score="x0", n_buckets=10)
+    return uplift.estimate_qini(_trial(spark, sf), score="x0", n_buckets=10)
 
 
 @query()
 def estimate_cum_iroi(spark, sf):
-    return uplift.estimate(uplift.assign_bucket(_trial(spark), "x0", 10), "iroi", bucket="bucket", cumulative=True)
+    return uplift.estimate(uplift.assign_bucket(_trial(spark, sf), "x0", 10), "iroi", bucket="bucket", cumulative=True)
 
 
 # Matching and features

@@ -22,3 +22,25 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
+
+
+LEARNERS = ("s_learner", "t_learner", "x_learner", "class_variable_transformation", "transformed_outcome", "propensity", "retrospective")
+ESTIMATES = ("estimate_ate_bootstrap", "estimate_cate_per_quantile", "estimate_target_rate_per_quantile", "estimate_iroi_per_quantile", "estimate_cate_lift", "estimate_cum_iroi")
+
+
+@pytest.mark.parametrize("name", [*LEARNERS, *ESTIMATES, "estimate_qini"])
+def test_uplift_queries_read_all_line_items(spark, name):
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    n, treated = items.count(), items.where("l_orderkey % 2 = 1").count()
+    got = catalogue.queries()[name](spark, DATA)
+    if name in LEARNERS:
+        assert got.count() == n and got.where("cate_outcome is null").count() == 0
+    elif name in ESTIMATES:
+        rows_ = got.collect()
+        cumulative = name in ("estimate_cate_lift", "estimate_cum_iroi")
+        assert (max if cumulative else sum)(r["n_treated"] for r in rows_) == treated
+        assert (max if cumulative else sum)(r["n_treated"] + r["n_control"] for r in rows_) == n
+    else:
+        means = {r["t"]: r["y"] for r in items.selectExpr("l_orderkey % 2 as t", "l_extendedprice as y").groupBy("t").avg("y").withColumnRenamed("avg(y)", "y").collect()}
+        last = got.orderBy("fraction").collect()[-1]
+        assert last["fraction"] == 1 and last["qini"] == pytest.approx(means[1] - means[0], rel=1e-6)
