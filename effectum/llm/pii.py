@@ -78,7 +78,7 @@ def _alphabet(c: str, spoken: bool) -> str | None:
     for a, b in SCRIPTS:
         if a <= c <= b:
             return _letters(a, b)
-    return None
+    return _other_letters().get(c) if c > "\x7f" else None
 
 
 #: First and last lower-case letter (or letter of a script without case) of ranges within which letters move.
@@ -90,6 +90,20 @@ def _letters(a: str, b: str) -> str:
     return "".join(c for c in map(chr, range(ord(a), ord(b) + 1)) if unicodedata.category(c) in ("Ll", "Lo"))
 
 
+@lru_cache(None)
+def _other_letters() -> dict[str, str]:
+    """Each further letter, with those of its script (the first word of its Unicode name), its 256 code points and its way with case, among which it moves."""
+    groups: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        category = unicodedata.category(c)
+        if category not in ("Ll", "Lo") or any(a <= c <= b and c in _letters(a, b) for a, b in SCRIPTS):
+            continue
+        up = c.upper()
+        case = "none" if up == c else "both" if len(up) == 1 and up.lower() == c else "odd"
+        groups.setdefault((unicodedata.name(c, "?").split()[0].split("-")[0], category, ord(c) >> 8, case), []).append(c)
+    return {c: letters for g in groups.values() for letters in ["".join(g)] for c in g}
+
+
 def _move(key: bytes, tweak: str, text: str, *, spoken: bool = False, keep: frozenset = frozenset()) -> str:
     """Permute the digits and letters of a text, each within its alphabet; case, signs and the places in ``keep`` stay."""
     low = [x if len(x := c.lower()) == 1 else c for c in text]
@@ -189,8 +203,12 @@ def _hex(key: bytes, tweak: str, value: str) -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """Spans of entities with their kinds, left to right. Kinds are looked for in the order of PATTERNS; what is found is blanked for those that follow."""
+    """Spans of entities with their kinds, left to right. Kinds are looked for in the order of PATTERNS; what is found is blanked for those that follow.
+
+    Last come further mentions of names that a title has told: the whole name, or a word of it.
+    """
     spans: list[tuple[int, int, str]] = []
+    names: set[str] = set()
     for kind, need, pattern in _COMPILED:
         if not any(c in text for c in need):
             continue
@@ -200,10 +218,22 @@ def find(text: str) -> list[tuple[int, int, str]]:
             found = [(a, b) for a, b in found if _is_ipv6(text[a:b])]
         for a, b in found:
             spans.append((a, b, kind))
+            if kind == "name":
+                names.add(text[a:b])
             text = text[:a] + "\0" * (b - a) + text[b:]
+    if names:
+        spans += [(*m.span(), "name") for m in _mentions(names).finditer(text)]
     return sorted(spans)
 
 
+def _mentions(names: set[str]) -> re.Pattern:
+    """Finds these names, words of them of more than one letter that don't begin with a small one, and runs of such words."""
+    words = {w for n in names for w in re.split(" +", n) if len(w) > 1 and not w[0].islower()}
+    words |= {w.upper() for w in words}
+    one = "|".join(map(re.escape, sorted(words | {w for n in names if " " not in n for w in [n]}, key=lambda w: (-len(w), w))))
+    return re.compile(rf"(?<!\w)(?:{one})(?: +(?:{one}))*(?!\w)")
+
+
 def _is_ipv6(text: str) -> bool:
     try:
         ipaddress.IPv6Address(text)
@@ -217,29 +247,41 @@ def _same(kind: str, value: str) -> tuple[str, str]:
     return kind, re.sub(r"\D", "", value) if kind in ("phone", "card", "ssn", "number") else value.lower()
 
 
+#: Draws after which a value is masked: it has nothing that moves, or its few values are all taken.
+TRIES = 64
+
+
+def masked(value: str) -> str:
+    """Stars for letters and digits."""
+    return re.sub(r"[^\W_]", "*", value)
+
+
 def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]], list[str]]:
     """The text with its entities replaced, the spans in the old text, and the surrogates.
 
     Collisions are checked over the text: a surrogate that is its own original, another original or a surrogate that another entity
-    has already is drawn again. All mentions of an entity get one surrogate, in the format of the mention.
+    has already is drawn again; what has no other surrogate is masked. All mentions of an entity get one surrogate, in the format of the mention; a name's
+    words are replaced one by one, so the surname alone gets the surname of the surrogate.
     """
     spans = find(text)
     if not spans:
         return text, [], []
-    originals = {_same(k, text[a:b]) for a, b, k in spans}
-    nonces: dict[tuple[str, str], int] = {}
+    values = [re.split(" +", text[a:b]) if kind == "name" else [text[a:b]] for a, b, kind in spans]
+    originals = {_same(kind, v) for (_, _, kind), vs in zip(spans, values, strict=True) for v in vs}
+    nonces: dict[tuple[str, str], int | None] = {}
     used: set[tuple[str, str]] = set()
-    out, made, at = [], [], 0
-    for a, b, kind in spans:
-        value = text[a:b]
+
+    def one(kind: str, value: str) -> str:
         who = _same(kind, value)
         if who not in nonces:
-            nonce = 0
-            while nonce < 16 and ((s := _same(kind, surrogate(kind, value, nonce, key))) in used or s in originals):
-                nonce += 1
-            nonces[who] = nonce
-            used.add(_same(kind, surrogate(kind, value, nonce, key)))
-        made.append(surrogate(kind, value, nonces[who], key))
+            nonces[who] = next((n for n in range(TRIES) if (s := _same(kind, surrogate(kind, value, n, key))) not in used and s not in originals), None)
+            if nonces[who] is not None:
+                used.add(_same(kind, surrogate(kind, value, nonces[who], key)))
+        return masked(value) if nonces[who] is None else surrogate(kind, value, nonces[who], key)
+
+    out, made, at = [], [], 0
+    for (a, b, kind), vs in zip(spans, values, strict=True):
+        made.append(" ".join(one(kind, v) for v in vs))
         out += [text[at:a], made[-1]]
         at = b
     return "".join([*out, text[at:]]), spans, made

@@ -594,6 +594,21 @@ def test_entity_is_found_and_replaced(kind, value):
         assert shape(made[0]) == shape(value)
 
 
+def test_names_are_replaced_without_title():
+    out, spans, made = pii.replace("Mr John Smith called. John Smith said that Smith and SMITH are one; John left, Smithson stayed.")
+    first, last = made[0].split()
+    assert out == f"Mr {first} {last} called. {first} {last} said that {last} and {last.upper()} are one; {first} left, Smithson stayed."
+    assert len(spans) == 5 and first != "John" and last != "Smith"
+
+
+def test_names_of_other_scripts_are_replaced():
+    for name in ("สมชาย", "Արմեն", "გიორგი", "Łščř", "Šžč", "ሰላም"):
+        out, _, made = pii.replace(f"Mr {name} left")
+        assert len(made) == 1 and name not in out and made[0] != name and made[0][0].isupper() == name[0].isupper()
+    letters = pii._other_letters()
+    assert all(c in s for c, s in letters.items()) and not any(pii._letters(a, b)[0] in letters for a, b in pii.SCRIPTS)
+
+
 def test_surrogate_properties():
     assert pii.luhn("4111111111111111") and pii.luhn(pii.surrogate("card", "4111 1111 1111 1111").replace(" ", ""))
     assert pii.surrogate("ip", "10.1.2.3").startswith("10.") and not pii.surrogate("ip", "8.8.8.8").startswith("10.")
