@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
-#: A line goes if more than this share of the host's pages hold it, and the host has so many pages at least.
-RATIO, MIN_PAGES = 0.08, 20
+#: A line goes if more than this share of the host's pages hold it, and the host has so many pages at least, or so many pages hold the line.
+RATIO, MIN_PAGES, MIN_HOLDING = 0.08, 20, 3
 #: The boilerplate of all hosts is broadcast up to so many bytes, which are counted first; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -19,23 +19,25 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(_BLANK)))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_holding: int | None = MIN_HOLDING) -> DataFrame:
     """For each host with boilerplate: the keys of the lines that more than ``ratio`` of its pages hold.
 
+    On a host with fewer than ``min_pages`` pages ``min_holding`` pages at least must hold a line; None: such hosts have no boilerplate.
     Each page gives a line once, so the count of a (host, line) is its number of pages; it is summed before the
     shuffle, and so a host with a third of all pages costs no more in one task than its distinct lines. A host's list
     has 1 / ratio times the mean number of lines of a page at most, whatever the number of its pages.
     """
     per_page = pages.select(host.alias("host"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("keys"))
-    totals = per_page.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = per_page.groupBy("host").agg(F.count("*").alias("pages"))
     lines = per_page.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
     share = round(ratio * 1_000_000)  # whole numbers, so that no rounding decides
-    often = lines.where(F.col("n") * 1_000_000 > share * min_pages).where(F.col("key") != _key(F.lit("")))
-    often = often.join(totals, often["host"].eqNullSafe(totals["host"])).where(F.col("n") * 1_000_000 > share * F.col("pages"))
+    held = F.lit(False) if min_holding is None else F.col("n") >= min_holding
+    often = lines.where((F.col("n") * 1_000_000 > share * min_pages) | held).where(F.col("key") != _key(F.lit("")))
+    often = often.join(totals, often["host"].eqNullSafe(totals["host"])).where((F.col("n") * 1_000_000 > share * F.col("pages")) & ((F.col("pages") >= min_pages) | held))
     return often.groupBy(lines["host"].alias("host")).agg(F.collect_list("key").alias("often"))
 
 
-def drop_site_lines(pages: DataFrame, host: Column, text_col: str = "text", *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_site_lines(pages: DataFrame, host: Column, text_col: str = "text", *, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_holding: int | None = MIN_HOLDING) -> DataFrame:
     """All rows and columns of ``pages``, without the lines that are boilerplate on their host.
 
     Adds n_lines and n_dropped. Lines are compared without white space at their ends; lines without any
@@ -49,7 +51,7 @@ def drop_site_lines(pages: DataFrame, host: Column, text_col: str = "text", *, r
     old = pages.drop("n_lines", "n_dropped")
     site_name, own_name, kept_name = (fresh(n, old.columns) for n in ("site", "often", "kept"))
     text, site, own = F.col(f"`{text_col}`"), F.col(site_name), F.col(own_name)
-    often = materialise(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    often = materialise(boilerplate(pages, host, text, ratio, min_pages, min_holding), "boilerplate")
     size = often.agg(F.sum(F.size("often") * 8 + 64)).first()[0] or 0
     small = often.select(F.col("host").alias(site_name), F.col("often").alias(own_name))
     small = F.broadcast(small) if size <= BROADCAST_BYTES else small

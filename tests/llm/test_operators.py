@@ -554,6 +554,16 @@ def test_site_lines_awkward(awkward, empty):
     assert line_dedup.drop_site_lines(empty, F.col("source")).count() == 0
 
 
+def test_boilerplate_of_small_hosts(spark):
+    rows = [(f"h{n}", f"own {n} {i}\nfooter\n" + ("pair" if i < 2 else f"other {n} {i}")) for n in (2, 3, 19, 20) for i in range(n)]
+    out = line_dedup.drop_site_lines(spark.createDataFrame(rows, "source string, text string"), F.col("source")).collect()
+    for n in (3, 19, 20):
+        assert all("footer" not in r["text"] for r in out if r["source"] == f"h{n}")
+    assert all("footer" in r["text"] for r in out if r["source"] == "h2")
+    assert {r["source"] for r in out if "pair" in r["text"]} == {"h2", "h3", "h19"}  # on two pages, so only a host with 20 pages loses it
+
+
+
 def test_pages(spark):
     df = spark.createDataFrame([("<html><title>T</title><script>x</script><p>a <b>b</b></p><!-- c --><div>d</div>", "HTTPS://user@Www.Example.com:80/x?y"), (None, "nothing")], "html string, url string")
     r = df.select(line_dedup.page_lines(F.col("html")).alias("t"), line_dedup.host_of(F.col("url")).alias("h")).collect()
