@@ -334,22 +334,22 @@ def stochastic_logistic_regression(spark, sf):
 
 @query()
 def boot_strap(spark, sf):
-    return resampling.boot_strap(table(spark, sf, "lineitem"), "avg(l_extendedprice) / avg(l_quantity)", "concat(l_orderkey, '-', l_linenumber)", n_resamples=50)
+    return resampling.boot_strap(table(spark, sf, "lineitem"), "avg(l_extendedprice) / avg(l_quantity)", "concat(l_orderkey, '-', l_linenumber)")
 
 
 @query()
 def permutation(spark, sf):
-    return resampling.permutation(table(spark, sf, "lineitem"), "avg(l_extendedprice)", "l_orderkey % 2", "concat(l_orderkey, '-', l_linenumber)", permutation_num=30)
+    return resampling.permutation(table(spark, sf, "lineitem"), "avg(l_extendedprice)", "l_orderkey % 2", "concat(l_orderkey, '-', l_linenumber)")
 
 
 @query()
 def ate_estimator(spark, sf):
-    return resampling.ate_estimator(table(spark, sf, "lineitem"), "l_extendedprice", "l_orderkey % 2", "concat(l_orderkey, '-', l_linenumber)", B=40)
+    return resampling.ate_estimator(table(spark, sf, "lineitem"), "l_extendedprice", "l_orderkey % 2", "concat(l_orderkey, '-', l_linenumber)")
 
 
 @query()
 def ipw_estimator(spark, sf):
-    return resampling.ipw_estimator(table(spark, sf, "lineitem"), "l_extendedprice", "l_orderkey % 2", "0.5", "concat(l_orderkey, '-', l_linenumber)", B=40)
+    return resampling.ipw_estimator(table(spark, sf, "lineitem"), "l_extendedprice", "l_orderkey % 2", "0.5", "concat(l_orderkey, '-', l_linenumber)")
 
 
 @query()
@@ -359,12 +359,12 @@ def quantile_test_bucket(spark, sf):
 
 @query()
 def boot_strap_multi(spark, sf):
-    return resampling.boot_strap_multi(table(spark, sf, "lineitem"), ["avg(l_extendedprice)", "avg(l_extendedprice) / avg(l_quantity)"], "concat(l_orderkey, '-', l_linenumber)", n_resamples=30)
+    return resampling.boot_strap_multi(table(spark, sf, "lineitem"), ["avg(l_extendedprice)", "avg(l_extendedprice) / avg(l_quantity)"], "concat(l_orderkey, '-', l_linenumber)")
 
 
 @query()
 def boot_strap_ols(spark, sf):
-    return resampling.boot_strap_ols(table(spark, sf, "lineitem"), "l_extendedprice ~ l_quantity", "concat(l_orderkey, '-', l_linenumber)", n_resamples=30)
+    return resampling.boot_strap_ols(table(spark, sf, "lineitem"), "l_extendedprice ~ l_quantity", "concat(l_orderkey, '-', l_linenumber)")
 
 
 @query()
@@ -422,7 +422,7 @@ def causal_tree(spark, sf):
 @query()
 def causal_forest(spark, sf):
     df = table(spark, sf, "lineitem")
-    forest = uplift.CausalForest(_KEY, depth=3, num_trees=4, mtry=2).fit("l_extendedprice", "l_orderkey % 2", ["l_quantity", "l_discount"], df)
+    forest = uplift.CausalForest(_KEY, mtry=2).fit("l_extendedprice", "l_orderkey % 2", ["l_quantity", "l_discount"], df)
     return forest.effect(df.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"))
 
 
@@ -596,7 +596,7 @@ def kaplan_meier(spark, sf):
 
 @query()
 def long_term(spark, sf):
-    return features.LongTerm("l_orderkey", "l_linenumber", "l_orderkey % 2", ["l_extendedprice", "l_quantity"], (1, 2), [3, 4], n_bootstraps=20).fit(table(spark, sf, "lineitem")).get_results()
+    return features.LongTerm("l_orderkey", "l_linenumber", "l_orderkey % 2", ["l_extendedprice", "l_quantity"], (1, 2), [3, 4]).fit(table(spark, sf, "lineitem")).get_results()
 
 
 @query("select event_id, coalesce(event_type, '-1') as event_type, coalesce(value, 0) as value from events")

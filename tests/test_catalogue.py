@@ -44,3 +44,8 @@ def test_uplift_queries_read_all_line_items(spark, name):
         means = {r["t"]: r["y"] for r in items.selectExpr("l_orderkey % 2 as t", "l_extendedprice as y").groupBy("t").avg("y").withColumnRenamed("avg(y)", "y").collect()}
         last = got.orderBy("fraction").collect()[-1]
         assert last["fraction"] == 1 and last["qini"] == pytest.approx(means[1] - means[0], rel=1e-6)
+
+
+@pytest.mark.parametrize("name", ["boot_strap", "boot_strap_multi", "boot_strap_ols", "permutation"])
+def test_resampling_queries_make_the_default_replicates(spark, name):
+    assert catalogue.queries()[name](spark, DATA).select("replicate").distinct().count() >= 100
