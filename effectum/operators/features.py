@@ -104,12 +104,13 @@ def kaplan_meier(df: DataFrame, time: str, event: str | None = None) -> DataFram
     hit = F.lit(1) if event is None else F.expr(event).cast("int")
     per = df.select(F.expr(time).alias("time"), hit.alias("e")).where("time is not null and e is not null").groupBy("time").agg(F.count("*").alias("n"), F.sum("e").alias("events"))
     total = per.agg(F.sum("n").alias("total"))
-    from .hypothesis import running
+    from .ranges import range_bounds, running
 
-    c = running(per, "time", ["n"]).crossJoin(F.broadcast(total)).withColumn("at_risk", F.col("total") - F.col("cum_n") + F.col("n"))
+    bounds = range_bounds(per, "time")
+    c = running(per, "time", ["n"], bounds).crossJoin(F.broadcast(total)).withColumn("at_risk", F.col("total") - F.col("cum_n") + F.col("n"))
     # A logarithm of zero is kept apart: from such a time on nobody survives.
     c = c.withColumn("log", F.when(F.col("events") < F.col("at_risk"), F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0)).withColumn("dead", (F.col("events") >= F.col("at_risk")).cast("long"))
-    c = running(c.select("time", "at_risk", "events", "log", "dead"), "time", ["log", "dead"])
+    c = running(c.select("time", "at_risk", "events", "log", "dead"), "time", ["log", "dead"], bounds)
     return c.select("time", "at_risk", "events", F.when(F.col("cum_dead") > 0, 0.0).otherwise(F.exp("cum_log")).alias("survival"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, kolmogorov_sf, norm_cdf, norm_ppf, t_cdf, t_ppf
 from .moments import MeanFunction, Moments, expr_of, finish, grouped, moment_columns, moments_of
+from .ranges import running
 
 ALTERNATIVES = ("two-sided", "less", "greater")
 ONE = "estimate double,stderr double,t_statistic double,p_value double,lower double,upper double"
@@ -344,21 +345,6 @@ def _value_counts(df: DataFrame, y: str, index: str) -> DataFrame:
     return df.select(expr_of(y).alias("v"), arm.alias("arm")).where("v is not null and not isnan(v) and arm in (0, 1)").groupBy("v").agg(F.count_if(F.col("arm") == 0).alias("n0"), F.count_if(F.col("arm") == 1).alias("n1"))
 
 
-def running(counts: DataFrame, order: str, sums: list[str]) -> DataFrame:
-    """Running sums of columns over all rows by ``order``, as cum_<name> (with the row itself).
-
-    Rows are range-partitioned, each partition is summed up by itself, and adds the totals of those before it: one row
-    for each partition is broadcast, so no task sees all rows.
-    """
-    ranged = counts.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    totals = ranged.groupBy("__p").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__p", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__b_{s}") for s in sums])
-    own = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumns({f"cum_{s}": F.sum(s).over(own) for s in sums}).join(F.broadcast(totals), "__p")
-    return out.select(*counts.columns, *[(F.col(f"cum_{s}") + F.col(f"__b_{s}")).alias(f"cum_{s}") for s in sums])
-
-
 def mann_whitney_utest(df: DataFrame, y: str, index: str, *, alternative: str = "two-sided", continuity_correction: int = 1) -> DataFrame:
     """The U statistic (of arm 1) and its p from the normal law, corrected for ties and, on demand, continuity."""
     c = running(_value_counts(df, y, index).withColumn("n", F.col("n0") + F.col("n1")), "v", ["n"])

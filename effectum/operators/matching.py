@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from .moments import expr_of
+from .ranges import kept, range_bounds, with_range
 from .regression import Formula, LinearModel, fit_ols
 
 
@@ -20,14 +22,22 @@ def _match(df: DataFrame, treatment: str, keys: list[Column], order: list[str],
     usable = base.where(F.concat_ws("", *[F.when(F.col(c).isNull(), F.lit("x")) for c in cells], F.when(F.col("__t").isNull(), F.lit("x"))) == "")
     sizes = usable.groupBy(*cells).agg(F.count_if(F.col("__t") == 1).alias("__n1"), F.count_if(F.col("__t") == 0).alias("__n0")).where("__n1 > 0 and __n0 > 0")
     sizes = sizes.withColumn("__q", F.least("__n1", "__n0"))
-    # The offset of a cell: range partitions of the cell table are summed up one by one.
-    ranged = sizes.repartitionByRange(*cells).withColumn("__p", F.spark_partition_id())
+    # The offset of a cell: range partitions of the cell table are summed up one by one. They are kept, as both plans below must see the same ranges.
+    ranged = kept(sizes.repartitionByRange(*cells).withColumn("__p", F.spark_partition_id()))
     totals = ranged.groupBy("__p").agg(F.sum("__q").alias("__s"))
     before = totals.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     own = F.coalesce(F.sum("__q").over(Window.partitionBy("__p").orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranged.withColumn("__o", own).join(F.broadcast(before), "__p").select(*cells, "__q", (F.col("__o") + F.col("__b")).alias("__o"))
-    place = F.row_number().over(Window.partitionBy(*cells, "__t").orderBy(*[F.expr(o) for o in order]))
-    numbered = base.withColumn("__rn", place).join(offsets, cells, "left")
+    # A cell and arm may hold most rows, so they are numbered by ranges of the first column of the order, after the counts of the ranges before.
+    first = base.withColumn("__f", F.expr(order[0]))
+    ordered = isinstance(first.schema["__f"].dataType, NumericType | DateType | TimestampType)
+    ranged = with_range(first, "__f", range_bounds(first, "__f") if ordered else [], "__r").drop("__f")
+    groups = [*cells, "__t", "__r"]
+    earlier = Window.partitionBy(*cells, "__t").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*groups).agg(F.count("*").alias("__c")).withColumn("__c", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*[F.expr(o) for o in order]))
+    placed = ranged.withColumn("__rn", place).join(counts, groups, "left").withColumn("__rn", F.col("__rn") + F.col("__c"))
+    numbered = placed.join(offsets, cells, "left")
     q = F.col("__q")
     index = F.when((F.col("__t") == 1) & (F.col("__rn") <= q), F.col("__o") + F.col("__rn")).when((F.col("__t") == 0) & (F.col("__rn") <= q * k), -(F.col("__o") + (F.col("__rn") - 1) % q + 1))
     out = numbered.withColumn(name, F.coalesce(index, F.lit(0)).cast("long"))

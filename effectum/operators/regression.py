@@ -348,7 +348,8 @@ class Logistic:
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """The area under the ROC curve over all rows, exactly: the rank sum of the positives, ties at their mean rank."""
-    from .hypothesis import _value_counts, running
+    from .hypothesis import _value_counts
+    from .ranges import running
 
     c = running(_value_counts(df, score, f"case when ({y}) > 0 then 1 else 0 end").withColumn("n", F.col("n0") + F.col("n1")), "v", ["n"])
     rank = F.col("cum_n") - (F.col("n") - 1) / 2
@@ -358,7 +359,8 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """Points (threshold, false and true positive rate) at each distinct score, the highest first."""
-    from .hypothesis import _value_counts, running
+    from .hypothesis import _value_counts
+    from .ranges import running
 
     c = running(_value_counts(df, score, f"case when ({y}) > 0 then 1 else 0 end").withColumn("down", -F.col("v")), "down", ["n0", "n1"])
     total = c.agg(F.sum("n0").alias("q"), F.sum("n1").alias("p"))

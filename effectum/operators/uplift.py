@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import norm_cdf, norm_ppf
 from .moments import expr_of, moments_of
 from .regression import Formula, LinearModel, fit_ols, fit_wls, linear_from_moments
+from .ranges import running
 from .resampling import uniform, weighted_sums
 
 # Lift
@@ -22,21 +23,25 @@ from .resampling import uniform, weighted_sums
 def get_lift_gain(df: DataFrame, ite: str, y: str, t: str, *, K: int = 1000, normalize: bool = True, discrete_treatment: bool = True) -> DataFrame:
     """The curve of effects as ever more rows are treated, the highest ``ite`` first, at K points: ratio, lift, gain, ate, random_gain.
 
-    Rows are numbered without bringing them into one task: partitions of a range are numbered by themselves, after the counts of those before. Rows
-    with equal ``ite`` keep no order. For a treatment that isn't 0 or 1 the slope of y on t is the effect.
+    Rows with equal ``ite`` are one from the start, so the most frequent value costs no more than another; where they fall in several buckets, each gets its
+    share of their sums, as in the mean over all their orders. For a treatment that isn't 0 or 1 the slope of y on t is the effect.
     """
     rows = df.select(expr_of(ite).alias("ite"), expr_of(y).alias("y"), expr_of(t).alias("t")).where("ite is not null and y is not null and t is not null")
-    rows = _numbered(rows)
-    n = rows.agg(F.count("*")).first()[0]
+    sums = {"n": F.count("*"), "t": F.sum("t"), "y": F.sum("y"), "ty": F.sum(F.col("t") * F.col("y")), "tt": F.sum(F.col("t") * F.col("t"))}
+    values = rows.groupBy((-F.col("ite")).alias("down")).agg(*[v.alias(c) for c, v in sums.items()])
+    n = rows.count()
     if not n:
         return df.sparkSession.createDataFrame([], "bucket long, ratio double, lift double, gain double, ate double, random_gain double")
     k = min(K, n)
     size, left = divmod(n, k)
     # The first k - left buckets have ``size`` rows, the others one more.
     cut = (k - left) * size
-    place = F.when(F.col("rn") <= cut, F.ceil(F.col("rn") / max(size, 1))).otherwise(k - left + F.ceil((F.col("rn") - cut) / (size + 1))).cast("long")
-    sums = {"n": F.count("*"), "t": F.sum("t"), "y": F.sum("y"), "ty": F.sum(F.col("t") * F.col("y")), "tt": F.sum(F.col("t") * F.col("t"))}
-    per = rows.groupBy(place.alias("bucket")).agg(*[v.cast("double").alias(c) for c, v in sums.items()])
+    place = lambda at: F.when(at <= cut, F.ceil(at / max(size, 1))).otherwise(k - left + F.ceil((at - cut) / (size + 1))).cast("long")
+    end = lambda bucket: F.when(bucket <= k - left, bucket * size).otherwise(cut + (bucket - (k - left)) * (size + 1))
+    spans = running(values, "down", ["n"]).withColumn("first", F.col("cum_n") - F.col("n"))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(place(F.col("first") + 1), place(F.col("cum_n")))))
+    share = (F.least("cum_n", end(F.col("bucket"))) - F.greatest("first", end(F.col("bucket") - 1))) / F.col("n")
+    per = spans.groupBy("bucket").agg(*[F.sum(F.col(c).cast("double") * share).alias(c) for c in sums])
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # K rows at most
     c = per.select("bucket", *[F.sum(x).over(w).alias(x) for x in sums])
     if discrete_treatment:
@@ -53,15 +58,6 @@ def get_lift_gain(df: DataFrame, ite: str, y: str, t: str, *, K: int = 1000, nor
     return out
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with rn, their place by ``ite`` from the highest."""
-    ranged = rows.repartitionByRange(F.col("ite").desc()).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(F.col("ite").desc()))
-    return ranged.withColumn("rn", own).join(F.broadcast(before), "__p").withColumn("rn", F.col("rn") + F.col("__b")).drop("__p", "__b")
-
-
 def auuc(curve: DataFrame) -> float:
     """The mean gain over the points of a curve."""
     return curve.agg(F.avg("gain")).first()[0]
