@@ -45,6 +45,30 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again; a table that is already gone is no error."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows of one key from which ``spread_join`` takes them out of the shuffle, and how many such keys there can be at most.
+HEAVY, HEAVY_KEYS = 500, 100_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a table that has one row for each key, with the number ``rows`` of rows that have it; ``rows`` is dropped.
+
+    Keys with at least ``HEAVY`` rows, and a ``HEAVY_KEYS``-th of the total, are broadcast: there can't be more than ``HEAVY_KEYS`` of them,
+    whatever the input. So their rows stay where they are, and only rows of lighter keys are shuffled.
+    """
+    least = max(HEAVY, -(-total // HEAVY_KEYS))
+    heavy = F.broadcast(table.where(F.col("rows") >= least).drop("rows"))
+    light = table.where(F.col("rows") < least).drop("rows")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text of each row, under the names doc_id and text; a null text is empty.
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh, materialise, pieces, texts
+from .common import arrow_schema, discard, fresh, materialise, pieces, spread_join, texts
 from .components import connected_components
 
 BITS = 64
@@ -25,7 +25,9 @@ AT_ONCE = 1 << 13
 #: Costs that the plan weighs against each other: making and joining a key, and comparing a candidate.
 KEY_COST, PAIR_COST = 1.0, 0.2
 #: Texts in which shingles are counted: about this many, or one in SAMPLE_STEP if that is more; from which count on one is frequent, and how many of these are told to all tasks.
-SAMPLE, SAMPLE_STEP, FREQUENT, FREQUENT_AT_MOST = 20_000, 50, 5, 200_000
+SAMPLE, SAMPLE_STEP, FREQUENT, FREQUENT_AT_MOST = 5_000, 50, 5, 200_000
+#: Words of 64 bits in the sketch of a set.
+SKETCH = 4
 #: Rows of a key that one task compares with all of them.
 SALT = 2_000
 #: What rounding may add to a bound on similarity.
@@ -240,12 +242,10 @@ def pairs_within(fps: DataFrame, radius: int, plan: Plan) -> DataFrame:
 
     Each fingerprint is indexed by its bits in each partition, and probes all values within the threshold;
     pairs that meet are verified. Values that too many share aren't compared in pairs: the fingerprints that
-    have or probe one are linked through balls, each under all keys within radius / 2 bits of it. Two are
-    within the radius if and only if their balls meet, and all that share a key are within the radius, so
-    each need only be linked with the least there.
+    have or probe one are linked through balls, each under all keys within radius / 2 bits of it, rounded up. Two are
+    within the radius if and only if the ball of one and the inner ball (rounded down) of the other meet, so
+    each need only be linked with the least whose inner ball holds the key.
     """
-    if radius % 2:
-        raise ValueError("the radius must be even")
     used = [(i, p, t) for i, (p, t) in enumerate(zip(plan.parts, plan.thresholds, strict=True)) if t >= 0]
     key = lambda i, v: F.struct(F.lit(i).alias("part"), v.alias("value"))
     index = fps.select("fp", "rep", F.explode(F.array(*[key(i, F.col("fp").bitwiseAND(F.lit(_mask(p)))) for i, p, _ in used])).alias("k"))
@@ -265,9 +265,10 @@ def pairs_within(fps: DataFrame, radius: int, plan: Plan) -> DataFrame:
     met = left.join(right, ["part", "value"]).where((F.col("l.rep") != F.col("r.rep")) & near)
     met = met.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
     crowd = probe.join(many, ["part", "value"], "left_semi").select("fp", "rep").distinct()
-    ball = F.transform(F.array(*map(F.lit, _ball(list(range(BITS)), radius // 2))), lambda x: x.bitwiseXOR(F.col("fp")))
-    keyed = materialise(crowd.select("rep", F.explode(ball).alias("centre")), "balls")
-    least = keyed.groupBy("centre").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    ball = F.array(*map(F.lit, _ball(list(range(BITS)), -(-radius // 2))))
+    centre = F.transform(ball, lambda x: F.struct(x.bitwiseXOR(F.col("fp")).alias("centre"), (F.bit_count(x) <= radius // 2).alias("inner")))
+    keyed = materialise(crowd.select("rep", F.inline(centre)), "balls")
+    least = keyed.groupBy("centre").agg(F.min(F.when(F.col("inner"), F.col("rep"))).alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
     stars = keyed.join(least, "centre").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     return met.unionByName(stars)
 
@@ -287,15 +288,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: in
     null only where there are none. An empty table gives no rows. Other columns don't matter.
     """
     own = materialise(fingerprints(docs, size=size, seed=seed).select("doc_id", F.col("fp0").alias("fp")), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     # A fingerprint is its own name in links, so that rows that share a doc_id stay apart.
-    distinct = materialise(nodes.select("fp", F.col("fp").alias("rep"), "least"), "nodes")
+    distinct = materialise(nodes.select("fp", F.col("fp").alias("rep"), "least", "rows"), "nodes")
     parts = connected_components(link_fingerprints(distinct.select("fp", "rep"), radius))
     linked = distinct.join(parts, F.col("fp") == F.col("node"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_least"))
     moved = linked.join(least, "component").select("fp", F.col("component_least"))
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_least", "least").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_least", "least").alias("component_id"), "rows")
+    return spread_join(own, materialise(named, "named"), "fp", own.count()).select("doc_id", "fp", "component_id")
 
 
 # Verified near-duplicates
@@ -340,14 +341,24 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np
     return hashes[np.lexsort((hashes, rank))[: len(hashes) - math.ceil(similarity * len(hashes) - EPS) + 1]] if len(hashes) else hashes
 
 
-def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]):
-    schema = arrow_schema("doc_id long,node long,n long,prefix binary")
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Of each of SKETCH * 64 classes of hashes, whether the set has an odd number: where two sketches differ, one set has what the other lacks."""
+    odd = np.bincount((hashes % np.uint64(SKETCH * BITS)).astype(np.int64), minlength=SKETCH * BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+
+
+def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray], columns: str):
+    schema = arrow_schema(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
-            columns = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t.type) for c, t in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
+            drawn = np.stack([sketch(s) for s in sets])
+            made = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets], *[np.ascontiguousarray(drawn[:, i]) for i in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *[pa.array(c, t.type) for c, t in zip(made, list(schema)[2:], strict=True)]], schema=schema)
 
     return run
 
@@ -404,32 +415,48 @@ def _similar(least: float):
     return run
 
 
-def verified(docs: DataFrame, own: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of links (a, b) between sets those that are similar. A set is sent once for each of its links from a lesser one, and once for its own."""
-    involved = materialise(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    ids = own.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = texts(docs)
-    rows = rows.join(ids.distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
-    sets = rows.mapInArrow(_shingle_sets(size), "node long,hashes binary").join(involved, "node", "left_semi")
-    sets = materialise(sets.groupBy("node").agg(F.max("hashes").alias("hashes")), "shingles")
-    ends = links.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
-    heads = sets.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-    ordered = ends.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return materialise(ordered.mapInArrow(_similar(similarity), "a long,b long"), "similar")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, a hash of the text: with the id it names a row, up to equal rows."""
+    return texts(docs).withColumn("text_key", F.xxhash64("text"))
+
+
+def _needed(similarity: float) -> Column:
+    """By how many shingles two sets l, r may differ at most."""
+    return (1 - similarity) / (1 + similarity) * (F.col("l.n") + F.col("r.n")) + EPS
+
+
+def may_be_equal_enough(similarity: float) -> Column:
+    """Of two sets l, r: sizes and sketches allow the similarity. It holds for all sets that are similar."""
+    apart = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("l.s0").bitwiseXOR(F.col("r.s0"))))
+    return (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (apart <= _needed(similarity))
 
 
 def may_be_similar(similarity: float) -> Column:
-    """Of two rows l, r of one key: sizes allow the similarity, and so do the hashes from their places on. For the first hash that two similar sets share it holds."""
+    """Of two rows l, r of one key: moreover the hashes from their places on allow it. For the first hash that two similar sets share it holds."""
     rest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
     need = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - EPS
-    return (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (rest >= need)
+    return (rest >= need) & may_be_equal_enough(similarity)
+
+
+def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of links (a, b) between sets those that are similar. A set is sent once for each of its links from a lesser one, and once for its own."""
+    involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = materialise(nodes.join(involved, "node", "left_semi").select(F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "involved")
+    rows = _keyed(docs).join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
+    sets = materialise(rows.mapInArrow(_shingle_sets(size), "node long,hashes binary").groupBy("node").agg(F.max("hashes").alias("hashes")), "shingles")
+    ends = links.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
+    heads = sets.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    ordered = ends.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    out = materialise(ordered.mapInArrow(_similar(similarity), "a long,b long"), "similar")
+    discard(named, sets)
+    return out
 
 
 def pairs_of_keys(shared: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes of different components that share a key: (key, node, n, at, component).
+    """Links (a, b) between nodes of different components that share a key and may be similar: (key, node, n, at, component, sketch).
 
     The members of a key's largest component are only compared with the others there, so a crowd that is one component but for
-    a few costs as many pairs as it has members for each of these. Keys with many rows are dealt to several tasks.
+    a few costs as many comparisons as it has members for each of these. Keys with many rows are dealt to several tasks.
     """
     parts = shared.groupBy("key", "component").agg(F.count("*").alias("m"))
     keys = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("rows")).where("parts > 1")
@@ -439,59 +466,84 @@ def pairs_of_keys(shared: DataFrame, similarity: float) -> DataFrame:
     right = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("r")
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.component") < F.col("r.component"))
     met = left.join(right, ["key", "salt"]).where((F.col("l.component") != F.col("r.component")) & once & may_be_similar(similarity))
-    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    out = materialise(met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "candidates")
+    discard(open_)
+    return out
 
 
-def chains(shared: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b): under each leading key each node with the two before it, in an order of the key's own."""
+def chains(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that may be similar: under each leading key each node with the two before it, in an order of the key's own."""
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    rows = shared.where("lead").select("n", "node", *[F.lag(c, i).over(order).alias(f"{c}{i}") for i in (1, 2) for c in ("n", "node")])
-    steps = rows.select("n", "node", F.explode(F.array(*[F.struct(F.col(f"n{i}").alias("m"), F.col(f"node{i}").alias("other")) for i in (1, 2)])).alias("s"))
-    steps = steps.where((F.least("n", "s.m") >= similarity * F.greatest("n", "s.m") - EPS))
-    return steps.select(F.least("node", "s.other").alias("a"), F.greatest("node", "s.other").alias("b")).distinct()
+    rows = shared.where("lead").select("node", *[F.lag("node", i).over(order).alias(f"node{i}") for i in (1, 2)])
+    steps = rows.select("node", F.explode(F.array("node1", "node2")).alias("other")).where("other is not null")
+    links = steps.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    about = nodes.select("node", "n", *_SKETCH)
+    return links.join(about.alias("l"), F.col("a") == F.col("l.node")).join(about.alias("r"), F.col("b") == F.col("r.node")).where(may_be_equal_enough(similarity)).select("a", "b")
+
+
+def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, text_key and node of each row; and of each node (set of shingles) its component, least row and number of rows."""
+    columns = "doc_id long,text_key long,node long,n long,prefix binary," + ",".join(f"{c} long" for c in _SKETCH)
+    read = materialise(_keyed(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size), columns), columns), "prefixes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH)], least, F.count("*").alias("rows")), "nodes")
+    own = materialise(read.select("doc_id", "text_key", "node"), "rows")
+    discard(read)
+    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
+    shared = materialise(keys.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1").drop("rows"), "keys")
+    tried = materialise(chains(shared, nodes, similarity), "chains")
+    found = verified(docs, nodes, tried, size, similarity)
+    discard(tried)
+    parts = connected_components(found)
+    about = nodes.select("node", *_SKETCH).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = pairs_of_keys(shared.select("key", "node", "n", "at").join(about, "node"), similarity)
+    more = verified(docs, nodes, left, size, similarity)
+    discard(shared, left)
+    if not more.isEmpty():
+        before, parts = parts, connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        discard(before)
+    placed = materialise(nodes.select("node", "least", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    discard(found, more, parts, nodes)
+    first = placed.groupBy("component").agg(F.min("least").alias("first"))
+    return own, placed.join(first, "component")
 
 
-def similar_documents(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, *, k: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each document and its component: doc_id, component_id, the least doc_id that links reach; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     No link is missed. Two such sets share a shingle among the first (1 - similarity) of each, rare ones first, so these are the keys (prefix
-    filter), with filters on sizes and places; each pair is verified. Equal sets are one node from the start. So that crowds of copies
+    filter), with filters on sizes, places and sketches; each pair is verified. Equal sets are one node from the start. So that crowds of copies
     don't cost all their pairs, each node is first verified against a few neighbours under ``k`` of its keys; pairs are
     then made only between nodes that aren't yet in one component. ``k`` changes the cost, never the result.
     Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    own = materialise(texts(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size)), "doc_id long,node long,n long,prefix binary"), "prefixes")
-    nodes = own.groupBy("node").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    keys = nodes.mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
-    shared = materialise(keys.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1").drop("rows"), "keys")
-    tried = materialise(chains(shared, similarity), "chains")
-    parts = connected_components(verified(docs, own, tried, size, similarity))
-    placed = shared.join(parts, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    left = materialise(pairs_of_keys(placed, similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
-    more = verified(docs, own, left, size, similarity)
-    if not more.isEmpty():
-        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "node").join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    own, placed = _similar_sets(docs, k, size, similarity)
+    named = placed.select("node", F.col("first.doc_id").alias("component_id"), "rows")
+    return spread_join(own, named, "node", own.count()).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """All columns of ``docs``; of each component of ``similar_documents`` the row with the least doc_id stays.
+def drop_near_duplicates(docs: DataFrame, *, k: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """All columns of ``docs``; of each component of ``similar_documents`` one row stays, that with the least doc_id (then the least hash of its text).
 
-    Of rows with one doc_id and one text, one stays. Rows with a null doc_id can't be named and stay. The ids to drop are broadcast
-    if they are few, which is counted; else the join shuffles.
+    A row is named by its doc_id and its text, so rows that share an id but not a text are judged apart. Of rows equal in both one
+    stays. A row with a null doc_id stays only where no row of its component has one. The names of rows that go are broadcast if they are few, which is counted;
+    else the join shuffles.
     """
-    found = materialise(similar_documents(docs, **how), "components")
-    name, mark = fresh("gone", docs.columns), fresh("again", docs.columns)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    many = gone.count() > FEW_IDS
-    kept = docs.join(gone if many else F.broadcast(gone), F.col("doc_id") == F.col(name), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    own, placed = _similar_sets(docs, k, size, similarity)
+    name, key, mark = (fresh(n, docs.columns) for n in ("gone_id", "gone_key", "again"))
+    judged = spread_join(own, placed.select("node", "first", "rows"), "node", own.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = materialise(judged.where(~stays).select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct(), "gone")
+    again = materialise(own.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(name), F.col("text_key").alias(key)), "again")
+    discard(own)
+    own_id, own_key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    same = own_id.eqNullSafe(F.col(name)) & (own_key == F.col(key))
+    few = lambda t: F.broadcast(t) if t.count() <= FEW_IDS else t
+    kept = docs.join(few(gone), same, "left_anti")
     if again.isEmpty():
         return kept
-    rows = kept.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy(F.lit(1))))
-    return rows.where(F.col("doc_id").isNull() | (F.col(mark) == 1)).drop(mark)
+    repeated = kept.join(few(again), same, "left_semi").withColumn(mark, F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(F.lit(1)))).where(F.col(mark) == 1)
+    return kept.join(few(again), same, "left_anti").unionByName(repeated.drop(mark))
 
 
 #: Ids up to which those to drop are broadcast.

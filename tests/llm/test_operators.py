@@ -259,7 +259,7 @@ def brute_fingerprint(text: str) -> int:
     return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
 
 
-def brute_components(fps: dict) -> dict:
+def brute_components(fps: dict, radius: int = 2) -> dict:
     parent = {i: i for i in fps}
 
     def find(x):
@@ -271,7 +271,7 @@ def brute_components(fps: dict) -> dict:
     ids = list(fps)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -347,6 +347,34 @@ def test_verified_duplicates(awkward, empty, spark):
     assert sum(10 * i + 1 in out for i in range(30)) <= 2
 
 
+def test_ids_with_several_texts_are_judged_by_text(spark):
+    """A text without a copy stays, whatever other texts have its id; of equal rows one stays; tables that nothing reads go."""
+    rng = random.Random(11)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (9, c), (9, c), (None, c), (None, a + " more"), (7, None), (7, "")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 7) == [(3, b), (5, a), (9, c)]
+    assert sum(r["doc_id"] == 7 for r in got) == 1
+    found = collections.Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == {(5, 5): 1, (5, 3): 1, (3, 3): 1, (9, 9): 2, (None, 9): 1, (None, 5): 1, (7, 7): 2}
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_odd_radius(spark, radius):
+    rng, fps = random.Random(12), set()
+    for _ in range(3):
+        base = rng.getrandbits(64)
+        for _ in range(120):
+            x = base
+            for k in rng.sample(range(20), rng.randint(0, 5)):
+                x ^= 1 << k
+            fps.add(x)
+    fps = dict(enumerate(sorted(fps)))
+    df = spark.createDataFrame([(simhash._signed(x), i) for i, x in fps.items()], "fp long, rep long")
+    got = {r["node"]: r["component"] for r in connected_components(simhash.link_fingerprints(df, radius)).collect()}
+    assert {i: got.get(i, i) for i in fps} == brute_components(fps, radius)
+
+
 def brute_similar(texts: dict, size: int = 5, similarity: float = 0.8) -> tuple[dict, dict]:
     """The components of texts by all pairs, and of each pair that is similar its similarity."""
     sets = {}
