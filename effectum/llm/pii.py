@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import ipaddress
 import re
@@ -22,8 +23,31 @@ RESULT = "doc_id long,text string,n_entities long,kinds array<string>,starts arr
 
 #: Titles that tell a name, by the gender they tell.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña"), "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don"), "n": ("Dr", "Prof")}
+#: Given names by gender (n: any) and script, which tell a name without a title and are drawn from as surrogates.
+GIVEN = {
+    "latin": {
+        "f": "Anna Maria Julia Laura Sarah Emma Sophie Elena Clara Lucia Marta Carmen Isabel Paula Alice Camille Chloe Manon Louise Ingrid Katharina Sabine Ursula Petra Monika Emily Olivia Hannah Rachel Rebecca Susan Linda Karen Nancy Helen Margaret Elizabeth Jennifer Patricia Barbara".split(),
+        "m": "John James Robert Michael David Richard Thomas Charles Daniel Matthew Anthony Steven Andrew Kevin Brian George Edward Peter Paul Simon Hans Klaus Stefan Andreas Jürgen Wolfgang Matthias Pierre Jean Michel Philippe Laurent Antoine Juan Carlos Miguel Javier Pedro Luis Diego".split(),
+        "n": "Alex Robin Kim Sascha Dominique Jordan Taylor Morgan Noor Jamie".split(),
+    },
+    "cyrillic": {
+        "f": "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
+        "m": "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Владимир Павел Виктор".split(),
+        "n": "Саша Женя Валя".split(),
+    },
+}
+#: The gender of each given name.
+_BY_NAME = {n.lower(): g for lists in GIVEN.values() for g, ns in lists.items() for n in ns}
 _WORDS = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"[^\W\d_a-z][^\W\d_]*(?:[-’'][^\W\d_]+)*"
+_TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_LETTER = "[^\\W\\d_][\u0300-\u036f]*"
+_NAME = rf"(?![a-z]){_LETTER}(?:{_LETTER})*(?:[-’'](?:{_LETTER})+)*"
+_GIVEN = "|".join(sorted((n for lists in GIVEN.values() for ns in lists.values() for n in ns), key=len, reverse=True))
+#: Words before a birthday, and kinds of streets.
+_BORN = r"(?i:born(?: on)?|date of birth|birthday|DOB|geboren(?: am)?|geb\.|Geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)"
+_STREET = r"(?:Street|St\.|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Lane|Drive|Court|Square)"
+#: Words before a number that tells a person.
+_CUE = r"(?i:\b(?:passport|account|acct|customer|patient|tax|social security|licen[cs]e|konto|ausweis|steuer|cuenta|pasaporte|compte|passeport|identity|id)(?: card)?(?: (?:no|nr|number|nummer|num[eé]ro))?\b[.:#]{0,2} {0,2}#?)"
 #: What may stand between the groups of a phone number: a separator, after signs that junk adds to words, or a table's bar.
 _GAP = r"(?:[!#$%&*]{1,3}|(?= \|))?(?: \| |[ .-])?"
 #: What is looked for only if the text has the character, or one of them.
@@ -36,19 +60,25 @@ PATTERNS = (
     ("ip", ".", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ipv6", ":", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"),
     ("card", "0123456789", r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|[.,]\d)"),
-    ("phone", "0123456789", rf"(?<![\w.+])(?:\+\d{{1,3}}{_GAP}(?:\(\d{{1,5}}\){_GAP})?\d{{2,5}}(?:{_GAP}\d{{2,5}}){{1,4}}|\(\d{{3}}\){_GAP}\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\w)"),
+    ("phone", "0123456789", rf"(?<![\w.+])(?:\+\d{{1,3}}{_GAP}(?:\(\d{{1,5}}\){_GAP})?\d{{2,5}}(?:{_GAP}\d{{2,5}}){{1,4}}|\(\d{{3}}\){_GAP}\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}}|0\d{{1,4}}[ /-]\d{{5,8}})(?!\w)"),
     ("ssn", "-", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("number", "0123456789", r"(?<![\w.,])\d{9,12}(?![\w]|[.,]\d)"),
+    ("number", "0123456789", rf"{_CUE}(?P<number_value>[A-Z]{{0,2}}\d{{6,12}})(?![\w]|[.,]\d)"),
+    ("birthday", "0123456789", rf"(?<!\w){_BORN}:? +(?P<birthday_value>\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}})(?!\w)"),
+    ("address", "0123456789", rf"(?<![\w.,])(?P<address_value>\d{{1,5}} +{_NAME}(?: +{_NAME}){{0,2}}) +{_STREET}(?!\w)"),
+    ("address", "0123456789", rf"(?<!\w)(?:(?:Calle|Avenida|Rue|rue|Plaza|Place)(?: de(?: la| los)?| du| des)? +(?P<address_value>{_NAME}(?: +{_NAME}){{0,2}},? +\d{{1,5}})|(?P<address_also>{_NAME})(?:straße|strasse|weg|gasse|platz|allee) +(?P<address_number>\d{{1,4}}))(?!\w)"),
     ("name", "DFHMPS", rf"\b(?P<title>{_WORDS})\.? +(?P<name_value>{_NAME}(?: +{_NAME}){{0,2}})"),
+    ("name", "", rf"(?<![\w-])(?P<name_value>(?:{_GIVEN})(?: +[A-Z]\.)?(?: +{_NAME}){{1,2}})"),
 )
 _COMPILED = [(kind, need, re.compile(p)) for kind, need, p in PATTERNS]
-_VOWELS = "aeiou"
-_CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+#: Letters that stand for one another in spoken words.
+SPOKEN = ("aeiou", "bdgkpt", "lmnr", "fhsvwz", "cjqxy")
 
 
-@lru_cache(1 << 16)
-def _draw(key: bytes, tweak: str, data: str, size: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}\x00{data}".encode(), key=key, digest_size=16).digest(), "big") % size
+def _draws(key: bytes, tweak: str, data: str, sizes: list[int]) -> list[int]:
+    """For each size a number below it, all from one hash of the key, the tweak and the data."""
+    h = hashlib.shake_256(len(key).to_bytes(4, "big") + key + f"{tweak}\x00{data}".encode())
+    raw = h.digest(8 * len(sizes))
+    return [int.from_bytes(raw[8 * i : 8 * i + 8], "big") % n for i, n in enumerate(sizes)]
 
 
 def permute(key: bytes, tweak: str, digits: list[int], bases: list[int]) -> list[int]:
@@ -59,13 +89,13 @@ def permute(key: bytes, tweak: str, digits: list[int], bases: list[int]) -> list
     """
     n = len(digits)
     if n == 1:
-        return [(digits[0] + 1 + _draw(key, tweak, "one", bases[0] - 1)) % bases[0]] if bases[0] > 1 else digits
+        return [(digits[0] + 1 + _draws(key, tweak, "one", [bases[0] - 1])[0]) % bases[0]] if bases[0] > 1 else digits
     out, h = list(digits), n // 2
     for r in range(ROUNDS):
         own, other = (range(h), range(h, n)) if r % 2 else (range(h, n), range(h))
         seen = ",".join(str(out[i]) for i in other)
-        for i in own:
-            out[i] = (out[i] + _draw(key, f"{tweak}/{r}/{i}/{n}", seen, bases[i])) % bases[i]
+        for i, by in zip(own, _draws(key, f"{tweak}/{r}/{n}", seen, [bases[i] for i in own]), strict=True):
+            out[i] = (out[i] + by) % bases[i]
     return out
 
 
@@ -74,7 +104,7 @@ def _alphabet(c: str, spoken: bool) -> str | None:
     if "0" <= c <= "9":
         return "0123456789"
     if "a" <= c <= "z":
-        return (_VOWELS if c in _VOWELS else _CONSONANTS) if spoken else "abcdefghijklmnopqrstuvwxyz"
+        return next(x for x in SPOKEN if c in x) if spoken else "abcdefghijklmnopqrstuvwxyz"
     for a, b in SCRIPTS:
         if a <= c <= b:
             return _letters(a, b)
@@ -106,6 +136,10 @@ def _other_letters() -> dict[str, str]:
 
 def _move(key: bytes, tweak: str, text: str, *, spoken: bool = False, keep: frozenset = frozenset()) -> str:
     """Permute the digits and letters of a text, each within its alphabet; case, signs and the places in ``keep`` stay."""
+    return (_move_short if len(text) <= 64 else _move_any)(key, tweak, text, spoken, keep)
+
+
+def _move_any(key: bytes, tweak: str, text: str, spoken: bool, keep: frozenset) -> str:
     low = [x if len(x := c.lower()) == 1 else c for c in text]
     places, digits, bases, sets = [], [], [], []
     for i, c in enumerate(low):
@@ -122,6 +156,9 @@ def _move(key: bytes, tweak: str, text: str, *, spoken: bool = False, keep: froz
     return "".join(out)
 
 
+_move_short = lru_cache(1 << 14)(_move_any)
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(x), 10)) for x in even)) % 10 == 0
@@ -148,18 +185,72 @@ def _range(ip: ipaddress.IPv4Address) -> tuple:
     return ip.is_private, ip.is_loopback, ip.is_multicast, ip.is_reserved, ip.is_link_local
 
 
+def issued(digits: str) -> bool:
+    """Whether a number may be a payment card's: its check digit is right, and an issuer has its first digits and its length."""
+    two, four, n = int(digits[:2]), int(digits[:4]), len(digits)
+    known = (digits[0] == "4" and n in (13, 16, 19)) or (n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720 or 3528 <= four <= 3589)) or (n == 15 and two in (34, 37)) or (n == 14 and two in (30, 36, 38, 39)) or (16 <= n <= 19 and (four == 6011 or two in (64, 65, 62))) or (12 <= n <= 19 and two in (50, *range(56, 59)))
+    return known and luhn(digits)
+
+
+def mod97(iban: str) -> int:
+    """The remainder that is 1 for a right IBAN."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _script(name: str) -> str | None:
+    c = name[0].lower()
+    return "latin" if "a" <= c <= "z" or "à" <= c <= "ÿ" else "cyrillic" if "а" <= c <= "я" else None
+
+
+def _given(gender: str, value: str, nonce: int, key: bytes) -> str | None:
+    """Another given name of the gender and script; None where there is no list."""
+    names = GIVEN.get(_script(value) or "", {}).get(gender)
+    if not names:
+        return None
+    name = names[_draws(key, f"given/{gender}/{nonce}", value.lower(), [len(names)])[0]]
+    return name.upper() if value.isupper() and len(value) > 1 else name
+
+
+def _birthday(value: str, nonce: int, key: bytes) -> str:
+    """Another day of about the same year, in the same format; a date that isn't one has its digits moved."""
+    year_first = len(value.split("-")[0]) == 4
+    parts = re.split(r"([./-])", value)
+    numbers = [int(x) for x in parts[::2]]
+    y, m, d = numbers if year_first else numbers[::-1]
+    swapped = not year_first and m > 12 >= d
+    if swapped:
+        m, d = d, m
+    try:
+        day = datetime.date(y, m, d).toordinal()
+    except ValueError:
+        return _move(key, f"birthday/{nonce}", value)
+    # Days in blocks of 1,024 change places within their block.
+    block, at = divmod(day, 1024)
+    new = datetime.date.fromordinal(min(max(block * 1024 + permute(key, f"birthday/{nonce}/{block}", list(divmod(at, 32)), [32, 32])[0] * 32 + permute(key, f"birthday/{nonce}/{block}", list(divmod(at, 32)), [32, 32])[1], 1), datetime.date.max.toordinal()))
+    m, d = (new.day, new.month) if swapped else (new.month, new.day)
+    made = [new.year, m, d] if year_first else [d, m, new.year]
+    return "".join(x if i % 2 else f"{made[i // 2]:0{len(x)}d}" for i, x in enumerate(parts))
+
+
+#: Names that belong to nobody, under which e-mail addresses stay or are put.
+RESERVED = re.compile(r"(?i)(?:^|\.)(?:example(?:\.(?:com|net|org))?|test|invalid)$")
+
+
 def surrogate(kind: str, value: str, nonce: int = 0, key: bytes = KEY) -> str:
     """The replacement of an entity: another of its type, script and format; the same for the same value.
 
-    Every map is one-to-one among values of a format, so different values have different surrogates. Names keep their last letter, which
-    in many languages tells the gender, and vowels stay vowels. Cards keep the issuer's digit and whether their check digit is
-    right; addresses stay public or private; phones keep their country code; e-mail domains are moved by themselves, so people of one domain keep one.
+    Maps are one-to-one among values of a format, so different values have different surrogates; only given names (kinds given-f, -m, -n) are drawn from
+    the list of their gender and script, so that two may meet, which is checked in each text. Where there is no list, letters move within their class and the
+    last one, which in many languages tells the gender, stays. Cards keep the issuer's digits and a right check digit, IBANs
+    get right check digits; addresses stay public or private; phones keep their country code; e-mail domains are moved by themselves, so people of one domain
+    keep one, below a reserved name. A birthday moves within about three years.
     """
     tweak = f"{kind}/{nonce}"
     if kind == "email":
         local, domain = value.rsplit("@", 1)
-        *labels, top = domain.split(".")
-        return ".".join(_move(key, f"{tweak}/local", x) for x in local.split(".")) + "@" + ".".join([*(_move(key, f"{tweak}/label", x) for x in labels), top])
+        kept = RESERVED.search(domain)
+        labels, end = (domain[: kept.start()], kept[0]) if kept else (domain.rsplit(".", 1)[0], "." + domain.rsplit(".", 1)[1] + ".example")
+        return ".".join(_move(key, f"{tweak}/local", x) for x in local.split(".")) + "@" + ".".join(_move(key, f"{tweak}/label", x) for x in labels.split(".")) + end
     if kind == "ip":
         ip = ipaddress.IPv4Address(".".join(str(int(x)) for x in value.split(".")))
         net = next((n for n in PRIVATE if ip in n), None)
@@ -170,7 +261,7 @@ def surrogate(kind: str, value: str, nonce: int = 0, key: bytes = KEY) -> str:
         return str(_walk(lambda a: ipaddress.IPv4Address(bytes(permute(key, tweak, list(a.packed), [256] * 4))), lambda a: _range(a) == _range(ip) and not any(a in n for n in PRIVATE), ip))
     if kind == "card":
         digits = re.sub(r"\D", "", value)
-        moved = _walk(lambda d: d[0] + _move(key, tweak, d[1:]), lambda d: luhn(d) == luhn(digits), digits)
+        moved = _walk(lambda d: d[:4] + _move(key, tweak, d[4:]), lambda d: luhn(d) == luhn(digits), digits)
         return _digits_like(value, moved)
     if kind == "phone":
         digits = re.sub(r"\D", "", value)
@@ -178,15 +269,26 @@ def surrogate(kind: str, value: str, nonce: int = 0, key: bytes = KEY) -> str:
         if value.startswith("+"):
             lead = re.match(r"\+(\d+)", value)[1]
             code = 1 if digits[0] in "17" else len(lead) if len(lead) <= 3 else 2
+        elif value.startswith("0"):
+            code = 1
         return _digits_like(value, digits[:code] + _move(key, tweak, digits[code:]))
     if kind == "iban":
-        return value[:2] + _move(key, tweak, value[2:])
+        bare = value.replace(" ", "")
+        moved = bare[:2] + "00" + _move(key, tweak, bare[4:])
+        own = iter(moved[:2] + f"{98 - mod97(moved):02d}" + moved[4:])
+        return "".join(c if c == " " else next(own) for c in value)
     if kind == "ipv6":
         return "".join(_hex(key, tweak, x) if x != ":" else x for x in re.split("(:)", value))
+    if kind == "birthday":
+        return _birthday(value, nonce, key)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         return _hex(key, tweak, value)
-    if kind == "name":
-        return " ".join(_move(key, tweak, x, spoken=True, keep=frozenset({len(x) - 1} if len(x) > 2 else ())) for x in re.split(" +", value))
+    if kind.startswith("given-") and (made := _given(kind[-1], value, nonce, key)):
+        return made
+    if kind == "name" or kind.startswith("given-"):
+        return _move(key, tweak, value, spoken=True, keep=frozenset({len(value) - 1} if len(value) > 2 else ()))
+    if kind == "address":
+        return _move(key, tweak, value, spoken=True)
     lead = PREFIX.match(value)[0] if kind == "secret" else ""
     return lead + _move(key, tweak, value[len(lead) :])
 
@@ -202,36 +304,84 @@ def _hex(key: bytes, tweak: str, value: str) -> str:
     return moved.upper() if value.upper() == value and value.lower() != value else moved
 
 
+#: What a match must fulfil beyond its pattern.
+CHECKS = {
+    "ipv6": lambda v: _is_ipv6(v),
+    "card": lambda v: issued(re.sub(r"\D", "", v)),
+    "iban": lambda v: mod97(v.replace(" ", "")) == 1,
+}
+
+
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in spans:
+        out += [text[at:a], "\0" * (b - a)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans of entities with their kinds, left to right. Kinds are looked for in the order of PATTERNS; what is found is blanked for those that follow.
 
-    Last come further mentions of names that a title has told: the whole name, or a word of it.
+    Names are found after a title, or where a given name of ``GIVEN`` begins them; last come further mentions of them: the whole name, or a word of it.
+    The work is linear in the length of the text: it is blanked once for each kind, and mentions are looked up word by word.
     """
-    spans: list[tuple[int, int, str]] = []
+    return [(a, b, kind) for a, b, kind, _ in _found(text)[0]]
+
+
+def _found(text: str) -> tuple[list[tuple[int, int, str, str]], dict[str, str]]:
+    """The spans with their values; and the gender of each word, in small letters, that is a given name."""
+    spans: list[tuple[int, int, str, str]] = []
     names: set[str] = set()
+    genders: dict[str, str] = {}
     for kind, need, pattern in _COMPILED:
-        if not any(c in text for c in need):
+        if need and not any(c in text for c in need):
             continue
-        group = f"{kind}_value" if f"{kind}_value" in pattern.groupindex else 0
-        found = [m.span(group) for m in pattern.finditer(text)]
-        if kind == "ipv6":
-            found = [(a, b) for a, b in found if _is_ipv6(text[a:b])]
-        for a, b in found:
-            spans.append((a, b, kind))
+        found = []
+        for m in pattern.finditer(text):
+            got = m.groupdict()
+            group = f"{kind}_value" if got.get(f"{kind}_value") else "address_also" if got.get("address_also") else 0
+            value = m[group]
+            if kind in CHECKS and not CHECKS[kind](value):
+                continue
+            found.append(m.span(group))
+            if group == "address_also":
+                found.append(m.span("address_number"))
             if kind == "name":
-                names.add(text[a:b])
-            text = text[:a] + "\0" * (b - a) + text[b:]
+                words = re.split(" +", value)
+                told = _TITLE_GENDER.get(got.get("title") or "", "n")
+                if len(words) > 1 or words[0].lower() in _BY_NAME:
+                    own = _BY_NAME.get(words[0].lower(), "n")
+                    genders.setdefault(words[0].lower(), told if told != "n" else own)
+                names.add(value)
+        if found:
+            spans += [(a, b, kind, text[a:b]) for a, b in found]
+            text = _blanked(text, found)
     if names:
-        spans += [(*m.span(), "name") for m in _mentions(names).finditer(text)]
-    return sorted(spans)
-
-
-def _mentions(names: set[str]) -> re.Pattern:
-    """Finds these names, words of them of more than one letter that don't begin with a small one, and runs of such words."""
-    words = {w for n in names for w in re.split(" +", n) if len(w) > 1 and not w[0].islower()}
-    words |= {w.upper() for w in words}
-    one = "|".join(map(re.escape, sorted(words | {w for n in names if " " not in n for w in [n]}, key=lambda w: (-len(w), w))))
-    return re.compile(rf"(?<!\w)(?:{one})(?: +(?:{one}))*(?!\w)")
+        words = {w for n in names for w in re.split(" +", n) if len(w) > 1 and not w[0].islower()} | {n for n in names if " " not in n}
+        words |= {w.upper() for w in words}
+        spans += [(a, b, "name", text[a:b]) for a, b in _mentions(text, words)]
+    return sorted(spans), genders
+
+
+_ANY_WORD = re.compile(rf"(?<!\w){_LETTER}(?:{_LETTER})*(?:[-’'](?:{_LETTER})+)*(?!\w)")
+
+
+def _mentions(text: str, words: set[str]) -> list[tuple[int, int]]:
+    """Spans of these words, and of runs of them that only blanks part."""
+    out: list[tuple[int, int]] = []
+    for m in _ANY_WORD.finditer(text):
+        a, b = m.span()
+        if m[0] not in words:
+            bare = re.split("[-’']", m[0])[0]  # a genitive, or a further part
+            if bare == m[0] or bare not in words:
+                continue
+            b = a + len(bare)
+        if out and out[-1][1] < a and not text[out[-1][1] : a].strip(" "):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def _is_ipv6(text: str) -> bool:
@@ -243,7 +393,8 @@ def _is_ipv6(text: str) -> bool:
 
 
 def _same(kind: str, value: str) -> tuple[str, str]:
-    """What makes two mentions one entity: case, and the signs between digits, don't matter."""
+    """What makes two mentions one entity: case, and the signs between digits, don't matter. All words of names are of one kind."""
+    kind = "name" if kind.startswith("given-") else kind
     return kind, re.sub(r"\D", "", value) if kind in ("phone", "card", "ssn", "number") else value.lower()
 
 
@@ -261,30 +412,48 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]
 
     Collisions are checked over the text: a surrogate that is its own original, another original or a surrogate that another entity
     has already is drawn again; what has no other surrogate is masked. All mentions of an entity get one surrogate, in the format of the mention; a name's
-    words are replaced one by one, so the surname alone gets the surname of the surrogate.
+    words are replaced one by one, so the surname alone gets the surname of the surrogate. A given name's surrogate has the gender that its title tells, or
+    else the list that holds it.
     """
-    spans = find(text)
+    spans, genders = _found(text)
     if not spans:
         return text, [], []
-    values = [re.split(" +", text[a:b]) if kind == "name" else [text[a:b]] for a, b, kind in spans]
-    originals = {_same(kind, v) for (_, _, kind), vs in zip(spans, values, strict=True) for v in vs}
+
+    def parts(kind: str, value: str) -> list[tuple[str, str]]:
+        if kind != "name":
+            return [(kind, value)]
+        return [(f"given-{genders[w.lower()]}" if w.lower() in genders else "name", w) for w in re.split(" +", value)]
+
+    values = [parts(kind, v) for _, _, kind, v in spans]
+    originals = {_same(*p) for ps in values for p in ps}
     nonces: dict[tuple[str, str], int | None] = {}
     used: set[tuple[str, str]] = set()
 
+    done: dict[tuple[str, str], str] = {}
+
     def one(kind: str, value: str) -> str:
+        if (kind, value) in done:
+            return done[kind, value]
         who = _same(kind, value)
         if who not in nonces:
-            nonces[who] = next((n for n in range(TRIES) if (s := _same(kind, surrogate(kind, value, n, key))) not in used and s not in originals), None)
-            if nonces[who] is not None:
-                used.add(_same(kind, surrogate(kind, value, nonces[who], key)))
-        return masked(value) if nonces[who] is None else surrogate(kind, value, nonces[who], key)
+            nonces[who] = None
+            for n in range(TRIES):
+                new = surrogate(kind, value, n, key)
+                mark = _same(kind, new)
+                if mark not in used and mark not in originals:
+                    nonces[who] = n
+                    used.add(mark)
+                    done[kind, value] = new
+                    return new
+        done[kind, value] = masked(value) if nonces[who] is None else surrogate(kind, value, nonces[who], key)
+        return done[kind, value]
 
     out, made, at = [], [], 0
-    for (a, b, kind), vs in zip(spans, values, strict=True):
-        made.append(" ".join(one(kind, v) for v in vs))
+    for (a, b, _, _), ps in zip(spans, values, strict=True):
+        made.append(" ".join(one(*p) for p in ps))
         out += [text[at:a], made[-1]]
         at = b
-    return "".join([*out, text[at:]]), spans, made
+    return "".join([*out, text[at:]]), [(a, b, kind) for a, b, kind, _ in spans], made
 
 
 def _replace(key: bytes):
