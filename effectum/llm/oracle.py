@@ -27,16 +27,12 @@ from documents d left join kept k on d.doc_id = k.doc_id"""
 
 
 def quality_sql() -> str:
-    blank, grid = r"[^\x20\x09-\x0D]+", []
-    for rule, (per, cuts) in quality.RULES.items():
-        grid += [f"('{rule}', '{per}', {i}, {c})" for i, c in enumerate(cuts)]
-    share = quality.ERROR / (len(quality.RULES) * (len(quality.STRATA) + 1))
-    p = quality.MAX_REJECTED
-    value = lambda column: "case " + " ".join(f"when {column} = '{x}' then {x}" for x in [*quality.RULES, "n_words", "n_lines"]) + " end"
+    blank, at, p = r"[^\x20\x09-\x0D]+", quality.path(), quality.MAX_REJECTED
+    cases = ["case " + " ".join(f"when 1000 * {rule} > {c} * {per} then {at[rule, i]}" for i, c in enumerate(cuts)) + f" else {quality.STEPS} end" for rule, (per, cuts) in quality.RULES.items()]
     return f"""
 with d as (select doc_id, lang, coalesce(text, '') as text from documents),
 base as (
-    select doc_id, case when lang in {quality.STRATA} then lang else 'other' end as stratum, regexp_extract_all(text, '{blank}') as words,
+    select doc_id, lang as stratum, regexp_extract_all(text, '{blank}') as words,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, length(text) - length(replace(text, '!', '')) as n_marks,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{blank}')) as lines
     from d),
@@ -47,19 +43,17 @@ m as (
     select b.doc_id, stratum, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars, n_symbols, n_marks,
         len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
     from base b left join covered c on b.doc_id = c.doc_id),
-mm as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
-grid(rule, per, i, cut) as (values {", ".join(grid)}),
+mm as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, least({", ".join(cases)}) as first from m),
 good as (select doc_id from labels group by doc_id having min(quality) = 1),
-tests as (
-    select stratum, rule, per, i, cut, count(*) as n, count(*) filter (where 1000 * {value("rule")} > cut * {value("per")}) as k
-    from mm, grid where not base_failed and doc_id in (select doc_id from good) group by all),
+once as (select doc_id, min(stratum) as stratum, min(first) as first from mm where not base_failed and doc_id in (select doc_id from good) group by doc_id),
+tests as (select stratum, i, count(*) as n, count(*) filter (where first <= i) as k from once, range(0, {quality.STEPS}) as r(i) group by all),
 tails as (
     select *, case when k > n * {p} then 1.0 else (
         select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}::double) + (n - j) * ln(1 - {p}::double))) from (select unnest(range(0, k + 1)) as j)) end as tail
     from tests),
-judged as (select *, min(case when tail > {share!r} then i end) over (partition by stratum, rule) as unsafe from tails),
-cuts as (select stratum, rule, per, min(cut) as cut from judged where unsafe is null or i < unsafe group by all),
-bad as (select doc_id from mm join cuts using (stratum) group by doc_id having bool_or(1000 * {value("rule")} > cut * {value("per")}))
+cuts as (
+    select stratum, coalesce(min(case when tail > {quality.ERROR!r} / (select count(distinct coalesce('x' || stratum, '')) from once) then i end), {quality.STEPS}) - 1 as step
+    from tails group by stratum)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
-    cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from bad) as kept
-from mm"""
+    cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and first > coalesce(c.step, -1) as kept
+from mm left join cuts c on mm.stratum is not distinct from c.stratum"""

@@ -11,9 +11,7 @@ from .common import materialise
 
 #: What a word is not, and the characters that count as symbols.
 BLANK, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
-#: A stratum is a document's language; all others, and null, are one stratum.
-STRATA = ("de", "en", "es", "fr")
-#: At most this share of good documents may be rejected by a rule in a stratum, with this chance of any error at all.
+#: At most this share of good documents of a stratum may be rejected by all rules together, with this chance of any error in any stratum.
 MAX_REJECTED, ERROR = 0.03, 0.05
 #: Cutoffs of each rule, the loosest first. A rule rejects if 1000 * measure > cutoff * per.
 RULES = {
@@ -24,6 +22,20 @@ RULES = {
     "word_chars": ("n_words", (30000, 25000, 20000, 17000, 15000, 13000, 12000)),
 }
 WINDOW = 8
+#: Strata up to which the table of their steps is broadcast, which is counted.
+BROADCAST_STRATA = 10_000
+
+
+def path() -> dict[tuple[str, int], int]:
+    """The step at which each cutoff of each rule comes into force: all first ones at step 0, then in turn the next one of each rule.
+
+    Each step rejects what those before reject, and more.
+    """
+    later = [(rule, i) for i in range(1, max(len(g) for _, g in RULES.values())) for rule, (_, g) in RULES.items() if i < len(g)]
+    return {(rule, 0): 0 for rule in RULES} | {x: n for n, x in enumerate(later, 1)}
+
+
+STEPS = 1 + max(path().values())
 
 
 def let(value: Column, body) -> Column:
@@ -53,7 +65,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each row's id and stratum, with n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines and n_repeat_words.
+    """Each row's id and stratum (its language), with n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines and n_repeat_words.
 
     A null text has none of each.
     """
@@ -63,8 +75,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = let(word_lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
     counted = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeat")))
-    stratum = F.when(F.col("lang").isin(*STRATA), F.col("lang")).otherwise("other")
-    first = docs.select(F.col("doc_id"), stratum.alias("stratum"), (F.char_length(text) - gone(BLANK)).alias("word_chars"), gone(SYMBOLS).alias("n_symbols"), gone("!").alias("n_marks"), lines.alias("l"), counted.alias("w"))
+    first = docs.select(F.col("doc_id"), F.col("lang").alias("stratum"), (F.char_length(text) - gone(BLANK)).alias("word_chars"), gone(SYMBOLS).alias("n_symbols"), gone("!").alias("n_marks"), lines.alias("l"), counted.alias("w"))
     long = lambda c, name: c.cast("long").alias(name)
     return first.select(
         "doc_id", "stratum", long(F.col("w.n"), "n_words"), long(F.col("word_chars"), "word_chars"), long(F.col("n_symbols"), "n_symbols"), long(F.col("n_marks"), "n_marks"), long(F.col("l.n"), "n_lines"), long(F.col("l.dup"), "n_dup_lines"), long(F.col("w.repeat"), "n_repeat_words")
@@ -75,8 +86,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _exceeds(rule: str, cutoff: Column | int) -> Column:
-    return 1000 * F.col(rule) > cutoff * F.col(RULES[rule][0])
+def rejected_from() -> Column:
+    """The first step at which a document is rejected; STEPS if at none."""
+    at = path()
+    firsts = []
+    for rule, (per, grid) in RULES.items():
+        case = F.lit(STEPS)
+        for i, cutoff in reversed(list(enumerate(grid))):
+            case = F.when(1000 * F.col(rule) > cutoff * F.col(per), at[rule, i]).otherwise(case)
+        firsts.append(case)
+    return F.least(*firsts)
 
 
 def binomial_at_most(n: Column, k: Column, p: float) -> Column:
@@ -97,42 +116,34 @@ def binomial_at_most(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, *, max_rejected: float = MAX_REJECTED, error: float = ERROR) -> DataFrame:
-    """A row for each stratum: the cutoff of each rule, null where none is safe.
+    """A row for each stratum with labelled good documents: the last step that is safe, or -1, and the hold-out's n and rejected documents there.
 
-    The good among the labelled documents that pass the base rules are the hold-out. For a cutoff, the exact
-    binomial test asks whether ``max_rejected`` or more of all good documents may be rejected, given how many of the hold-out are.
-    Cutoffs are tested from the loosest on and testing stops at the first that isn't shown to be safe, so a rule in a stratum spends its
-    error once; over rules and strata it is divided (Bonferroni). Labels that contradict each other make a document not good.
+    The good among the labelled documents that pass the base rules are the hold-out; a doc_id counts once, in the least of its strata and as
+    rejected if any of its rows is. For a step, the exact binomial test asks whether all rules together may reject ``max_rejected`` or more of all good
+    documents, given how many of the hold-out they reject. Steps are tested in their order and testing stops at the first that isn't shown
+    to be safe, so a stratum spends its error once; over the strata found it is divided (Bonferroni). Labels that contradict each other make a document not good.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
     held = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    tests = [(rule, i, c) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)]
-    sums = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(_exceeds(rule, c)).alias(f"{rule}_{i}") for rule, i, c in tests])
-    share = error / (len(RULES) * (len(STRATA) + 1))
-
-    def safe(rule: str, i: int) -> Column:
-        return binomial_at_most(F.col("n"), F.col(f"{rule}_{i}"), max_rejected) <= share
-
-    def chosen(rule: str, grid: tuple) -> Column:
-        passed = F.array(*[safe(rule, i) for i in range(len(grid))])
-        first_unsafe = F.array_position(passed, False)
-        last = F.when(first_unsafe == 0, len(grid)).otherwise(first_unsafe - 1)
-        return F.get(F.array(*map(F.lit, grid)), (last - 1).cast("int")).alias(f"max_{rule}")
-
-    return sums.select("stratum", *[chosen(rule, grid) for rule, (_, grid) in RULES.items()])
+    once = held.groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.min(rejected_from()).alias("from"))
+    sums = once.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("from") <= i).alias(f"k{i}") for i in range(STEPS)])
+    sums = materialise(sums, "holdout")
+    share = error / max(sums.count(), 1)
+    safe = F.array(*[binomial_at_most(F.col("n"), F.col(f"k{i}"), max_rejected) <= share for i in range(STEPS)])
+    first_unsafe = F.array_position(safe, False)
+    last = F.when(first_unsafe == 0, STEPS - 1).otherwise(first_unsafe - 2).cast("int")
+    return sums.select("stratum", "n", last.alias("step"), F.get(F.array(*[F.col(f"k{i}") for i in range(STEPS)]), last).alias("rejected"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, max_rejected: float = MAX_REJECTED, error: float = ERROR) -> DataFrame:
     """Measures of every document, base_failed, and kept: whether it passes the base rules and all cutoffs of its stratum.
 
-    A null text has no words and fails the base rules. Without labels there is no safe cutoff, and the base rules
+    A null text has no words and fails the base rules. A null language is a stratum too. In a stratum without labels there is no safe cutoff, and the base rules
     alone decide. Repeated rows give repeated results; an empty table gives no rows; other columns don't matter.
-    The table of cutoffs has a row for each stratum, of which the code fixes the number, so it is broadcast.
     """
     measured = materialise(measures(docs), "measures")
-    cuts = cutoffs(measured, labels, max_rejected=max_rejected, error=error)
-    over = F.lit(False)
-    for rule in RULES:
-        over = over | F.coalesce(_exceeds(rule, F.col(f"max_{rule}")), F.lit(False))
-    out = measured.join(F.broadcast(cuts), "stratum", "left")
+    cuts = materialise(cutoffs(measured, labels, max_rejected=max_rejected, error=error).select(F.col("stratum").alias("of"), "step"), "cutoffs")
+    few = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
+    out = measured.join(few, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    over = rejected_from() <= F.coalesce("step", F.lit(-1))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"))
