@@ -7,23 +7,35 @@ from . import line_dedup, quality
 _TRIM = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
 
-def site_lines_sql() -> str:
+def _site_lines(pages: str, columns: str) -> str:
+    """The lines of ``pages``, a query that gives ``columns``, host and text; each row is a page."""
     share = round(line_dedup.RATIO * 1_000_000)
     return f"""
-with lines as (
-    select doc_id, source, i, trim(line, {_TRIM}) as bare, line
-    from (select doc_id, source, string_split(text, chr(10)) as l from documents where text is not null), unnest(l) with ordinality as u(line, i)),
-totals as (select source, count(*) as pages from documents group by source having count(*) >= {line_dedup.MIN_PAGES}),
+with pages_ as (select row_number() over () as row, * from ({pages})),
+lines as (
+    select row, host, i, trim(line, {_TRIM}) as bare, line
+    from (select row, host, string_split(text, chr(10)) as l from pages_ where text is not null), unnest(l) with ordinality as u(line, i)),
+totals as (select host, count(*) as pages from pages_ group by host),
 often as (
-    select n.source, bare
-    from (select source, bare, count(distinct doc_id) as n from lines where bare <> '' group by source, bare) n join totals t on n.source is not distinct from t.source
-    where n * 1000000 > {share} * pages),
+    select n.host, bare
+    from (select host, bare, count(distinct row) as n from lines where bare <> '' group by host, bare) n join totals t on n.host is not distinct from t.host
+    where n >= {line_dedup.MIN_HOLDING} and n * 1000000 > {share} * pages),
 kept as (
-    select l.doc_id, string_agg(l.line, chr(10) order by l.i) filter (where o.bare is null) as text, count(*) as n_lines, count(o.bare) as n_dropped
-    from lines l left join often o on l.bare = o.bare and l.source is not distinct from o.source
-    group by l.doc_id)
-select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, cast(coalesce(k.n_lines, 0) as bigint) as n_lines, cast(coalesce(k.n_dropped, 0) as bigint) as n_dropped
-from documents d left join kept k on d.doc_id = k.doc_id"""
+    select l.row, string_agg(l.line, chr(10) order by l.i) filter (where o.bare is null) as text, count(*) as n_lines, count(o.bare) as n_dropped
+    from lines l left join often o on l.bare = o.bare and l.host is not distinct from o.host
+    group by l.row)
+select {columns}, case when d.text is null then null else coalesce(k.text, '') end as text, cast(coalesce(k.n_lines, 0) as bigint) as n_lines, cast(coalesce(k.n_dropped, 0) as bigint) as n_dropped
+from pages_ d left join kept k on d.row = k.row"""
+
+
+def site_lines_sql() -> str:
+    return _site_lines("select doc_id, source as host, text from documents", "doc_id")
+
+
+def page_lines_sql() -> str:
+    text = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{line_dedup.SCRIPTS}', '', 'g'), '{line_dedup.BLOCKS}', chr(10), 'g'), '{line_dedup.TAGS}', '', 'g'), '[\\n\\r]+', chr(10), 'g')"
+    host = f"nullif(lower(regexp_extract(url, '{line_dedup.HOST}', 1)), '')"
+    return _site_lines(f"select page_id, {host} as host, {text} as text from pages", "page_id, host")
 
 
 def quality_sql() -> str:

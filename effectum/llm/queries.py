@@ -72,8 +72,8 @@ def op8_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, with their source as host; sources with few documents are left alone, as in the SQL."""
-    return line_dedup.drop_site_lines(documents(spark, sf_dir), F.col("source"), min_holding=None).select("doc_id", "text", "n_lines", "n_dropped")
+    """Documents, with their source as host."""
+    return line_dedup.drop_site_lines(documents(spark, sf_dir), F.col("source")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op9_site_lines_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +108,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import oracle
 
-    return {"op6_risk_controlled_quality": oracle.quality_sql(), "op9_site_lines": oracle.site_lines_sql()}
+    return {"op6_risk_controlled_quality": oracle.quality_sql(), "op9_site_lines": oracle.site_lines_sql(), "op9_site_lines_of_pages": oracle.page_lines_sql()}

@@ -60,7 +60,7 @@ def test_queries_are_registered():
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op6_risk_controlled_quality", "op9_site_lines"])
+@pytest.mark.parametrize("name", ["op6_risk_controlled_quality", "op9_site_lines", "op9_site_lines_of_pages"])
 def test_query_matches_sql(spark, name):
     from compare import DATA, connection, rows
 
