@@ -17,8 +17,8 @@ from .vocab import json_vocabulary
 SLACK = 8
 #: Windows in a group of pieces that are packed together.
 WINDOWS = 48
-#: What a document leaves beside its whole windows is cut into pieces of this many tokens at most.
-LARGEST = 128
+#: Times that pieces are cut before another window is taken.
+ROUNDS = 12
 #: Words that a worker remembers; fewer take more time, and memory where other stages keep theirs.
 MEMO = 1_200_000
 
@@ -56,17 +56,35 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most ``capacity``; their number rises from the least possible until all fit."""
+def windows(sizes: list[int], capacity: int) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
+    """Pieces (item, start, size) of the items, and the pieces of each of near-equal windows of at most ``capacity``.
+
+    Items stay whole where they fit. Differencing spreads them over the least possible number of windows; what a window then has too much is cut off its
+    largest piece, and all pieces are spread anew. Where ``ROUNDS`` of this don't bring every window to its capacity, there is one window more.
+    """
+    pieces_ = [(i, 0, size) for i, size in enumerate(sizes)]
     k = max(1, -(-sum(sizes) // capacity))
+    rounds = 0
     while True:
-        parts = differencing(sizes, k)
-        if max((sum(sizes[i] for i in p) for p in parts), default=0) <= capacity:
-            return [p for p in parts if p]
-        k += 1
-
-
-def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int, slack: int, memo: int):
+        parts = differencing([size for _, _, size in pieces_], k)
+        over = [(sum(pieces_[i][2] for i in p) - capacity, p) for p in parts]
+        over = [(e, p) for e, p in over if e > 0]
+        if not over:
+            return pieces_, [p for p in parts if p]
+        rounds += 1
+        if rounds % ROUNDS == 0:
+            k += 1
+            continue
+        for excess, p in over:
+            i = max(p, key=lambda j: pieces_[j][2])
+            item, start, size = pieces_[i]
+            left = size - excess if excess < size else size - size // 2
+            if left < size:
+                pieces_[i] = item, start, left
+                pieces_.append((item, start + left, size - left))
+
+
+def _packer(path: str, end_id: int, capacity: int, per_group: int, slack: int, memo: int):
     schema = arrow_schema(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +98,13 @@ def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int,
 
         def close():
             nonlocal sequence, held
-            for w in windows([p[2] for p in open_], capacity):
+            cut, parts = windows([p[2] for p in open_], capacity)
+            for w in parts:
                 at = 0
-                for i in w:
-                    rows.append((*open_[i], sequence, at))
-                    at += open_[i][2]
+                for i, start, size in map(cut.__getitem__, w):
+                    d, first, _, ids, n = open_[i]
+                    rows.append((d, first + start, size, ids[4 * start : 4 * (start + size)], n, sequence, at))
+                    at += size
                 sequence += 1
             open_.clear()
             held = 0
@@ -103,7 +123,7 @@ def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int,
                     sequence += 1
                     at += capacity
                 while at < n:
-                    size = min(n - at, largest, full - held)
+                    size = min(n - at, full - held)
                     open_.append((d, at, size, ids[4 * at : 4 * (at + size)], n))
                     at += size
                     held += size
@@ -119,16 +139,15 @@ def _packer(path: str, end_id: int, capacity: int, largest: int, per_group: int,
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: int = 1024, largest: int = LARGEST, per_group: int = WINDOWS, slack: int = SLACK, memo: int = MEMO) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: int = 1024, per_group: int = WINDOWS, slack: int = SLACK, memo: int = MEMO) -> DataFrame:
     """Cut every document into pieces and put these in sequences of at most ``capacity`` tokens.
 
-    Whole windows of a document are sequences by themselves. The rest is cut into pieces of at most
-    ``largest`` tokens; groups of pieces, as full as ``per_group`` windows less ``slack`` tokens each, are
-    packed by differencing. Groups form as a task reads its rows: no shuffle, and a group has a fixed size
+    Whole windows of a document are sequences by themselves. The rests of documents are packed by differencing in groups
+    as full as ``per_group`` windows less ``slack`` tokens each; only what can't fit whole is cut: at a window's capacity, and at the end of a group. Groups form as a task reads its rows: no shuffle, and a group has a fixed size
     whatever the corpus. A task repeated after a loss reads the same rows and makes the same sequences.
 
     Returns a row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset. A null or empty text is the end id alone. Repeated rows are packed each. An empty
     table gives no rows. Columns other than doc_id and text don't matter.
     """
-    return texts(docs).mapInArrow(_packer(tokenizer_path, end_id, capacity, largest, per_group, slack, memo), PIECE)
+    return texts(docs).mapInArrow(_packer(tokenizer_path, end_id, capacity, per_group, slack, memo), PIECE)

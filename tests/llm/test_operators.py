@@ -574,8 +574,23 @@ def test_differencing():
         if len(sizes) >= 6 * k:
             sums = [sum(sizes[i] for i in p) for p in parts]
             assert max(sums) - min(sums) <= 60
-        assert all(sum(sizes[i] for i in w) <= 300 for w in packing.windows(sizes, 300))
-    assert packing.differencing([8, 7, 6, 5, 4], 2) and packing.windows([], 10) == []
+    assert packing.differencing([8, 7, 6, 5, 4], 2)
+
+
+def test_windows_cut_only_what_cannot_fit():
+    rng = random.Random(15)
+    for _ in range(60):
+        sizes = [rng.randint(1, 300) for _ in range(rng.randint(0, 80))]
+        pieces, parts = packing.windows(sizes, 300)
+        assert sorted(i for p in parts for i in p) == list(range(len(pieces)))
+        assert all(sum(pieces[i][2] for i in p) <= 300 for p in parts)
+        for item, size in enumerate(sizes):
+            own = sorted((start, n) for i, start, n in pieces if i == item)
+            assert [a for a, _ in own] == [sum(n for _, n in own[:j]) for j in range(len(own))] and sum(n for _, n in own) == size and all(n > 0 for _, n in own)
+        assert len(parts) <= -(-sum(sizes) // 300) + 2
+    small = [rng.randint(1, 40) for _ in range(100)]  # all fit whole
+    assert len(packing.windows([*small, 300 * 10 - sum(small) % 300], 300)[0]) > 101 and len(packing.windows(small[:50], 300)[0]) == 50
+    assert packing.windows([], 10) == ([], [])
 
 
 def test_packing(awkward, empty, docs):
@@ -600,6 +615,8 @@ def test_packing(awkward, empty, docs):
             if d["doc_id"] != 5 or df is docs:
                 assert b"".join(bytes(r["ids"]) for r in own) == want and all(r["doc_tokens"] == len(want) // 4 for r in own)
     total = sum(r["length"] for r in rows)
+    whole = sum(r["length"] == r["doc_tokens"] for r in rows)
+    assert whole > 0.6 * sum(r["doc_tokens"] < 1024 and r["start"] == 0 for r in rows)
     assert len(by_seq) * 1024 < total * 1.03 + 8 * 1024
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
