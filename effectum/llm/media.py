@@ -7,17 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import jpeg
 from .common import arrow_schema, bounded, materialise, pieces, texts
 
 #: Bytes of text that are encoded, and of files that are decoded, at once.
-ENCODE_BYTES, DECODE_BYTES = 3 << 19, 10 << 20
+ENCODE_BYTES, DECODE_BYTES = 3 << 19, 4 << 20
 #: MCUs down, from which an image gets wider (the format ends at 65,535 pixels).
 DOWN = 4000
 #: The bytes that get small coefficients, the most frequent first; all others follow in order.
 FREQUENT = b" \x00etaonirshldcumpbgfvwy.,\n'-xqkjzTIASEORNHL0123456789"
 
+#: How tables are written: small row groups, so that a task holds little, and compressed for repeated headers.
+STORED = {"parquet.block.size": 16 << 20, "compression": "zstd"}
+
 MEDIA = "doc_id long,n_bytes long,media binary"
 DECODED = "doc_id long,n_bytes long,payload binary,media binary,width int,height int,rgb binary,feature string"
 
@@ -110,6 +114,28 @@ def read_media(media: DataFrame, *, tensors: bool = True) -> DataFrame:
     return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(_decode(tensors), DECODED)
 
 
-def stored_texts(docs: DataFrame, *, tensors: bool = False) -> DataFrame:
-    """Write the files of all texts to a table in the shared folder, and read them back."""
-    return read_media(materialise(store_texts(docs), "media", **{"parquet.block.size": 16 << 20, "compression": "zstd"}), tensors=tensors)
+def store_tensors(media: DataFrame) -> DataFrame:
+    """Decode all files and write their tensors to a table in the shared folder: doc_id, n_bytes, width, height, rgb, feature, and digests of what was decoded.
+
+    The tensors are written as they are made, a batch at a time; the payload and the file are not written again, only their
+    sizes and digests (payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256).
+    """
+    made = read_media(media).select(
+        "doc_id",
+        "n_bytes",
+        "width",
+        "height",
+        "rgb",
+        "feature",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+    )
+    return materialise(made, "tensors", **STORED)
+
+
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """Write the files of all texts to a table in the shared folder, read them back, and write and return the table of their tensors (``store_tensors``)."""
+    return store_tensors(materialise(store_texts(docs), "media", **STORED))

@@ -31,17 +31,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = media.stored_texts(documents(spark, sf_dir))
-    size = F.octet_length("payload")
-    return got.select(
-        "doc_id",
-        "n_bytes",
-        size.cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-    )
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op4_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
