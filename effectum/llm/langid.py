@@ -18,6 +18,8 @@ from .common import arrow_schema, bounded, pieces
 FEATURES, NGRAMS = 2048, (1, 2, 3)
 #: At most about so many labelled documents of each language are fitted on, chosen by a hash of their id.
 SAMPLE = 800
+#: Rows that a fit takes at most, whatever the number of languages: 8 KB each.
+TOTAL = 20_000
 #: Rounds and step of the gradient descent, and its penalty.
 ROUNDS, STEP, PENALTY = 150, 8.0, 1e-4
 #: A prediction is ambiguous if the two nearest codewords' scores differ by less.
@@ -120,6 +122,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     counts = {r["lang"]: r["n"] for r in known.select("doc_id", "lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    sample = min(sample, max(1, TOTAL // len(counts)))
     ticket, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(10**9)), F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col("lang") == lang) & (ticket < round(10**9 * sample / n)))

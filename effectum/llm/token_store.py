@@ -130,17 +130,26 @@ def _blocks(path: str, end_id: int, width: int, block_ids: int):
     return run
 
 
-def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *, width: int = 2, block_ids: int = BLOCK_IDS) -> None:
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes of an id: two where the vocabulary and the end id allow it, else four."""
+    from tokenizers import Tokenizer
+
+    top = max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()])
+    return 2 if top < 1 << 16 else 4
+
+
+def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *, width: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text and write the ids of all documents, in ascending doc_id order, to files at ``path``.
 
     The texts are range-partitioned by doc_id and sorted, so a task writes one stretch of the id array as
-    blocks: rows of Parquet with the ids as little-endian integers of ``width`` bytes, and the document
+    blocks: rows of Parquet with the ids as little-endian integers of ``width`` bytes (None: as the vocabulary needs), and the document
     ends and ids Elias-Fano coded. Spark's commit protocol publishes whole files only, so lost executors
     and repeated tasks leave nothing behind. Boundaries can be read without the ids (column pruning).
 
     A null text is empty and holds the end id alone. Rows with one doc_id stand side by side, ordered by
     text. A null doc_id comes first. An empty table gives an empty store. Columns other than doc_id and text don't matter.
     """
+    width = width or id_width(tokenizer_path, end_id)
     ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = ranged.mapInArrow(_blocks(tokenizer_path, end_id, width, block_ids), BLOCK)
     blocks.write.option("parquet.block.size", 16 << 20).parquet(path)
@@ -162,8 +171,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a store: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit).
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of a store with ``before``, the number of ids in front of each.
 
     The driver sums one number for each task of the writer (never documents) and sends these sums back: as
     many rows as the writer had tasks, which Spark's scheduler bounds. Within a shard, blocks know their place.
@@ -174,11 +183,43 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
         rows.append((r["shard"], before))
         before += r["n"]
     starts = spark.createDataFrame(rows, "shard int, shard_start long")
-    placed = blocks.join(F.broadcast(starts), "shard").withColumn("before", F.col("shard_start") + F.col("in_shard"))
-    return placed.select("before", "first_doc", "n_null", "width", "ids", "ends", "doc_ids").mapInArrow(_documents, "doc_id long,start long,n_tokens long,ids binary")
+    return blocks.join(F.broadcast(starts), "shard").withColumn("before", F.col("shard_start") + F.col("in_shard"))
+
+
+def read_token_store(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a store: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    return _placed(spark, path).select("before", "first_doc", "n_null", "width", "ids", "ends", "doc_ids").mapInArrow(_documents, "doc_id long,start long,n_tokens long,ids binary")
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("position long,doc_id long,start long,n_tokens long")
+    for batch in batches:
+        out, last, ends, known = [], None, None, None
+        for r in batch.to_pylist():
+            if r["before"] != last:
+                last, ends, known = r["before"], EliasFano.from_bytes(r["ends"]), EliasFano.from_bytes(r["doc_ids"])
+            i = ends.at_most(r["position"] - last)
+            start = ends.select(i - 1) if i else 0
+            doc = None if i < r["n_null"] else known.select(i - r["n_null"]) + (r["first_doc"] or 0)
+            out.append((r["position"], doc, start + last, ends.select(i) - start))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], schema=schema)
+
+
+def locate(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """For each ``position`` in the id array the document that holds it: position, doc_id, start, n_tokens. Positions beyond the end give no row.
+
+    Ids aren't read, and of a block's boundaries only those that a search touches are decoded (``at_most`` and ``select``). Positions meet
+    blocks by equal stretches of the array, so neither side is collected.
+    """
+    blocks = _placed(spark, path).select("before", "n_ids", "first_doc", "n_null", "ends", "doc_ids")
+    slot = lambda c: F.floor(c / BLOCK_IDS).cast("long")
+    spread = blocks.withColumn("slot", F.explode(F.sequence(slot(F.col("before")), slot(F.col("before") + F.col("n_ids") - 1))))
+    asked = positions.select("position").withColumn("slot", slot(F.col("position")))
+    met = asked.join(spread, "slot").where((F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("n_ids")))
+    return met.select("position", "before", "first_doc", "n_null", "ends", "doc_ids").mapInArrow(_located, "position long,doc_id long,start long,n_tokens long")
 
 
-def token_store(docs: DataFrame, tokenizer_path: str, end_id: int, *, width: int = 2) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer_path: str, end_id: int, *, width: int | None = None) -> DataFrame:
     """Write a store in the shared folder and read it back."""
     path = new_path(docs.sparkSession, "tokens")
     write_token_store(docs, path, tokenizer_path, end_id, width=width)

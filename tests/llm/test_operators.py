@@ -211,10 +211,211 @@ def test_inverse_transform():
 
 
 def test_stored_texts(awkward):
-    for r in media.stored_texts(awkward, tensors=True).join(awkward.select("doc_id", "text"), "doc_id").collect():
+    for r in media.stored_texts(awkward).join(awkward.select("doc_id", "text"), "doc_id").collect():
         raw = (r["text"] or "").encode()
-        assert r["n_bytes"] == len(raw) and bytes(r["payload"]) == media.pad(raw) and len(r["payload"]) % 64 == 0
+        want = media.pad(raw)
+        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(want) and r["payload_sha256"] == hashlib.sha256(want).hexdigest() and r["tail_crc32"] == zlib.crc32(want[-64:])
         assert len(r["rgb"]) == r["width"] * r["height"] * 3
+        assert media.feature(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)) == r["feature"]
+
+
+def plain_decoder(data: bytes) -> tuple[list, list, list]:
+    """A progressive decoder as the standard words it, a bit at a time and independent of ours: coefficients (natural order), quantisation tables and sampling of the components."""
+    zigzag, i, j = [], 0, 0
+    for _ in range(64):
+        zigzag.append(8 * i + j)
+        if (i + j) % 2 == 0:
+            i, j = (i, j + 1) if i == 0 and j < 7 else (i + 1, j) if j == 7 else (i - 1, j + 1)
+        else:
+            i, j = (i + 1, j) if j == 0 and i < 7 else (i, j + 1) if i == 7 else (i + 1, j - 1)
+    at, huff, quant, restart = 2, {}, {}, 0
+    while True:
+        marker = data[at + 1]
+        if marker == 0xD9:
+            break
+        size = data[at + 2] << 8 | data[at + 3]
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xDB:
+            while body:
+                quant[body[0]], body = body[1:65], body[65:]
+        elif marker == 0xC4:
+            while body:
+                table, code, k = {}, 0, 17
+                for n in range(1, 17):
+                    for _ in range(body[n]):
+                        table[n, code] = body[k]
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                huff[body[0]], body = table, body[k:]
+        elif marker == 0xDD:
+            restart = body[0] << 8 | body[1]
+        elif marker == 0xC2:
+            high, wide = body[1] << 8 | body[2], body[3] << 8 | body[4]
+            comps = [(body[6 + 3 * c], body[7 + 3 * c] >> 4, body[7 + 3 * c] & 15, body[8 + 3 * c]) for c in range(body[5])]
+            hmax, vmax = max(c[1] for c in comps), max(c[2] for c in comps)
+            across, down = -(-wide // (8 * hmax)), -(-high // (8 * vmax))
+            coef = [[[[0] * 64 for _ in range(across * c[1])] for _ in range(down * c[2])] for c in comps]
+        elif marker == 0xDA:
+            n = body[0]
+            own = [(next(k for k, c in enumerate(comps) if c[0] == body[1 + 2 * m]), body[2 + 2 * m]) for m in range(n)]
+            ss, se, ah, al = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
+            bits, stretch = [], []
+            while True:  # stretches between restart markers
+                b = data[at]
+                if b == 0xFF and data[at + 1] == 0:
+                    stretch.append(0xFF)
+                    at += 2
+                elif b == 0xFF:
+                    bits.append("".join(f"{x:08b}" for x in stretch))
+                    stretch = []
+                    if not 0xD0 <= data[at + 1] <= 0xD7:
+                        break
+                    at += 2
+                else:
+                    stretch.append(b)
+                    at += 1
+            if n > 1:
+                units = [[(k, t, y * comps[k][2] + v, x * comps[k][1] + h) for k, t in own for v in range(comps[k][2]) for h in range(comps[k][1])] for y in range(down) for x in range(across)]
+            else:
+                k, t = own[0]
+                units = [[(k, t, y, x)] for y in range(-(-(-(-high * comps[k][2] // vmax)) // 8)) for x in range(-(-(-(-wide * comps[k][1] // hmax)) // 8))]
+            step = restart or len(units)
+            for s, first in enumerate(range(0, len(units), step)):
+                stream, p, before, run = bits[s] + "1" * 64, 0, [0] * len(comps), 0
+
+                def take(m):
+                    nonlocal p
+                    p += m
+                    return int(stream[p - m : p], 2) if m else 0
+
+                def symbol(table):
+                    code = 0
+                    for m in range(1, 17):
+                        code = code << 1 | take(1)
+                        if (m, code) in table:
+                            return table[m, code]
+                    raise ValueError
+
+                def signed(m):
+                    v = take(m)
+                    return v if not m or v >> (m - 1) else v - (1 << m) + 1
+
+                for unit in units[first : first + step]:
+                    for k, t, y, x in unit:
+                        block = coef[k][y][x]
+                        if ss == 0:
+                            if ah == 0:
+                                before[k] += signed(symbol(huff[t >> 4]))
+                                block[0] = before[k] << al
+                            else:
+                                block[0] |= take(1) << al
+                            continue
+                        table, z = huff[16 | t & 15], ss
+                        if ah == 0:
+                            if run:
+                                run -= 1
+                                continue
+                            while z <= se:
+                                rs = symbol(table)
+                                r, m = rs >> 4, rs & 15
+                                if m == 0 and r < 15:
+                                    run = (1 << r) + take(r) - 1
+                                    break
+                                z += r
+                                if m:
+                                    block[zigzag[z]] = signed(m) << al if m else 0
+                                z += 1
+                            continue
+
+                        def fix(q):
+                            if take(1) and not abs(block[q]) >> al & 1:
+                                block[q] += (1 << al) if block[q] > 0 else -(1 << al)
+
+                        if not run:
+                            while z <= se:
+                                rs = symbol(table)
+                                r, m = rs >> 4, rs & 15
+                                new = 0
+                                if m:
+                                    new = (1 << al) if take(1) else -(1 << al)
+                                elif r < 15:
+                                    run = (1 << r) + take(r)
+                                    break
+                                while z <= se:
+                                    q = zigzag[z]
+                                    if block[q]:
+                                        fix(q)
+                                    elif r == 0:
+                                        block[q] = new
+                                        z += 1
+                                        break
+                                    else:
+                                        r -= 1
+                                    z += 1
+                        if run:
+                            while z <= se:
+                                if block[zigzag[z]]:
+                                    fix(zigzag[z])
+                                z += 1
+                            run -= 1
+    return coef, [dict(zip(zigzag, quant[c[3]], strict=True)) for c in comps], [c[1:3] for c in comps]
+
+
+def test_decoder_equals_the_standards():
+    """Coefficients, and samples by the textbook's transform, of files read by a plain decoder that shares no code with ours."""
+    rng = random.Random(16)
+    payloads = [media.pad(b"The cat sat on the mat, and so on. " * 40), media.pad(bytes(rng.randrange(256) for _ in range(3000))), media.pad(b"")]
+    for file in media.encode_payloads(payloads):
+        image = jpeg.parse(file)
+        ours = jpeg.coefficients([image])[0]
+        coef, quant, sampling = plain_decoder(file)
+        for x, c in zip(ours, coef, strict=True):
+            got = np.zeros((*x.shape[:2], 64), int)
+            got[..., jpeg.ZIGZAG] = x
+            assert (got == np.array(c)).all()
+        cos = [[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(0.125) if u == 0 else 0.5) for u in range(8)] for x in range(8)]
+        a = np.array(cos)
+        planes = []
+        for c, q, (h, v) in zip(coef, quant, sampling, strict=True):
+            blocks = np.array(c, float) * np.array([q[i] for i in range(64)])
+            rows, cols = blocks.shape[:2]
+            s = np.clip(np.rint(np.einsum("xu,ijuv,yv->ijxy", a, blocks.reshape(rows, cols, 8, 8), a) + 128), 0, 255)
+            plane = s.transpose(0, 2, 1, 3).reshape(8 * rows, 8 * cols)
+            planes.append(plane.repeat(max(s_[1] for s_ in sampling) // v, 0).repeat(max(s_[0] for s_ in sampling) // h, 1))
+        y, cb, cr = (p[: image.height, : image.width] for p in planes)
+        want = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1).clip(0, 255)
+        # A sample may differ by one from rounding, so a channel by 1 + 1.772 and half of one.
+        assert np.abs(jpeg.pixels(image, ours) - want).max() <= 3.28 and np.abs(jpeg.pixels(image, ours) - want).mean() < 0.6
+
+
+def test_empty_tables(empty, tmp_path):
+    """No rows in, no rows out."""
+    assert media.stored_texts(empty).count() == 0
+    assert token_store.token_store(empty, P.path("word_bpe_49k.json"), 2).count() == 0
+    assert token_counts.count_tokens(empty, P.path("byte_bpe_50k.json")).count() == 0
+    assert bpe.encode_documents(empty, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+    assert token_store.locate(empty.sparkSession, _written(empty, tmp_path), empty.sparkSession.createDataFrame([(0,)], "position long")).count() == 0
+
+
+def _written(df, folder):
+    token_store.write_token_store(df, str(folder / "store"), P.path("word_bpe_49k.json"), 2)
+    return str(folder / "store")
+
+
+def test_positions_are_located(spark, awkward, tmp_path):
+    """Each position's document, by select and at_most, is the one that the whole store gives; ids too large for two bytes get four."""
+    path = _written(awkward, tmp_path)
+    docs = token_store.read_token_store(spark, path).collect()
+    total = sum(r["n_tokens"] for r in docs)
+    asked = sorted({0, total - 1, *[r["start"] for r in docs], *random.Random(17).sample(range(total), 200)})
+    got = {r["position"]: r for r in token_store.locate(spark, path, spark.createDataFrame([(p,) for p in [*asked, total]], "position long")).collect()}
+    assert sorted(got) == asked
+    for p, r in got.items():
+        own = next(d for d in docs if d["start"] <= p < d["start"] + d["n_tokens"])
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (own["doc_id"], own["start"], own["n_tokens"])
+    assert token_store.id_width(P.path("word_bpe_49k.json"), 2) == 2 and token_store.id_width(P.path("word_bpe_49k.json"), 70_000) == 4
+    assert token_store.token_store(awkward, P.path("word_bpe_49k.json"), 70_000).count() == len(AWKWARD)
 
 
 # 4
