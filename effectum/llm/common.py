@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that Python code works on at once; longer single texts are a piece of their own.
 PIECE_BYTES = 2 << 20
-#: Rows that Spark hands to Python at once.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that Spark hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: How tables are written: small row groups, so that a task that writes long values holds little.
+TABLE = {"parquet.block.size": 16 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +43,7 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     that several later stages read is computed once.
     """
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**TABLE | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +80,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The same DataFrame; its session hands rows to Python in batches of at most ``BATCH_ROWS`` from now on.
+    """The same DataFrame; its session hands rows to Python in batches of at most ``BATCH_ROWS`` and about ``BATCH_BYTES`` from now on.
 
     Whole texts are long, so the default of 10,000 rows would hold tens of MB for each task on either side. Code that works better on more
     at once gathers batches itself (``pieces``).
@@ -87,6 +89,7 @@ def bounded(df: DataFrame) -> DataFrame:
     now = int(df.sparkSession.conf.get(key, "10000"))
     if not 0 < now <= BATCH_ROWS:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

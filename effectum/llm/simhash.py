@@ -26,8 +26,8 @@ AT_ONCE = 1 << 13
 KEY_COST, PAIR_COST = 1.0, 0.2
 #: Texts in which shingles are counted: about this many, or one in SAMPLE_STEP if that is more; from which count on one is frequent, and how many of these are told to all tasks.
 SAMPLE, SAMPLE_STEP, FREQUENT, FREQUENT_AT_MOST = 5_000, 50, 5, 200_000
-#: Words of 64 bits in the sketch of a set.
-SKETCH = 4
+#: Words of 64 bits in the sketch of a set that stands beside each of its keys, and in the one that is looked at once for each pair.
+SKETCH, WIDE = 4, 32
 #: Rows of a key that one task compares with all of them.
 SALT = 2_000
 #: What rounding may add to a bound on similarity.
@@ -341,9 +341,9 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np
     return hashes[np.lexsort((hashes, rank))[: len(hashes) - math.ceil(similarity * len(hashes) - EPS) + 1]] if len(hashes) else hashes
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Of each of SKETCH * 64 classes of hashes, whether the set has an odd number: where two sketches differ, one set has what the other lacks."""
-    odd = np.bincount((hashes % np.uint64(SKETCH * BITS)).astype(np.int64), minlength=SKETCH * BITS) & 1
+def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Of each of words * 64 classes of hashes, whether the set has an odd number: where two sketches differ, one set has what the other lacks."""
+    odd = np.bincount((hashes % np.uint64(words * BITS)).astype(np.int64), minlength=words * BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -356,8 +356,9 @@ def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
-            drawn = np.stack([sketch(s) for s in sets])
-            made = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets], *[np.ascontiguousarray(drawn[:, i]) for i in range(SKETCH)]]
+            drawn = np.stack([sketch(s, SKETCH) for s in sets])
+            wide = [sketch(s, WIDE) for s in sets]
+            made = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets], *[np.ascontiguousarray(drawn[:, i]) for i in range(SKETCH)], wide]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *[pa.array(c, t.type) for c, t in zip(made, list(schema)[2:], strict=True)]], schema=schema)
 
     return run
@@ -426,7 +427,7 @@ def _needed(similarity: float) -> Column:
 
 
 def may_be_equal_enough(similarity: float) -> Column:
-    """Of two sets l, r: sizes and sketches allow the similarity. It holds for all sets that are similar."""
+    """Of two sets l, r: sizes and sketches allow the similarity. It holds for all pairs that are similar."""
     apart = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("l.s0").bitwiseXOR(F.col("r.s0"))))
     return (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (apart <= _needed(similarity))
 
@@ -471,22 +472,29 @@ def pairs_of_keys(shared: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
+def screened(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of links (a, b) between nodes those that sizes and wide sketches allow."""
+    about = nodes.select("node", "n", "wide")
+    both = links.join(about.alias("l"), F.col("a") == F.col("l.node")).join(about.alias("r"), F.col("b") == F.col("r.node"))
+    apart = F.aggregate(F.zip_with("l.wide", "r.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where((F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (apart <= _needed(similarity))).select("a", "b")
+
+
 def chains(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that may be similar: under each leading key each node with the two before it, in an order of the key's own."""
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     rows = shared.where("lead").select("node", *[F.lag("node", i).over(order).alias(f"node{i}") for i in (1, 2)])
     steps = rows.select("node", F.explode(F.array("node1", "node2")).alias("other")).where("other is not null")
     links = steps.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    about = nodes.select("node", "n", *_SKETCH)
-    return links.join(about.alias("l"), F.col("a") == F.col("l.node")).join(about.alias("r"), F.col("b") == F.col("r.node")).where(may_be_equal_enough(similarity)).select("a", "b")
+    return screened(links, nodes, similarity)
 
 
 def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_key and node of each row; and of each node (set of shingles) its component, least row and number of rows."""
-    columns = "doc_id long,text_key long,node long,n long,prefix binary," + ",".join(f"{c} long" for c in _SKETCH)
+    columns = "doc_id long,text_key long,node long,n long,prefix binary," + ",".join(f"{c} long" for c in _SKETCH) + ",wide array<long>"
     read = materialise(_keyed(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size), columns), columns), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH)], least, F.count("*").alias("rows")), "nodes")
+    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH, "wide")], least, F.count("*").alias("rows")), "nodes")
     own = materialise(read.select("doc_id", "text_key", "node"), "rows")
     discard(read)
     keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
@@ -497,8 +505,9 @@ def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tupl
     parts = connected_components(found)
     about = nodes.select("node", *_SKETCH).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left = pairs_of_keys(shared.select("key", "node", "n", "at").join(about, "node"), similarity)
-    more = verified(docs, nodes, left, size, similarity)
-    discard(shared, left)
+    close = materialise(screened(left, nodes, similarity), "close")
+    more = verified(docs, nodes, close, size, similarity)
+    discard(shared, left, close)
     if not more.isEmpty():
         before, parts = parts, connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         discard(before)
