@@ -28,6 +28,8 @@ KEY_COST, PAIR_COST = 1.0, 0.2
 SAMPLE, SAMPLE_STEP, FREQUENT, FREQUENT_AT_MOST = 5_000, 50, 5, 200_000
 #: Words of 64 bits in the sketch of a set that stands beside each of its keys, and in the one that is looked at once for each pair.
 SKETCH, WIDE = 4, 32
+#: Bytes of text from which shingles are made at once.
+SHINGLE_BYTES = 1 << 19
 #: Rows of a key that one task compares with all of them.
 SALT = 2_000
 #: What rounding may add to a bound on similarity.
@@ -319,7 +321,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     step = min(max(docs.count() // SAMPLE, 1), SAMPLE_STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, SHINGLE_BYTES):
             found = np.concatenate([shingle_set(t, size) for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
@@ -354,7 +356,7 @@ def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarr
     schema = arrow_schema(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, SHINGLE_BYTES):
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
             drawn = np.stack([sketch(s, SKETCH) for s in sets])
             wide = [sketch(s, WIDE) for s in sets]
@@ -388,7 +390,7 @@ def _shingle_sets(size: int):
     schema = arrow_schema("node long,hashes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, SHINGLE_BYTES):
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
@@ -480,13 +482,27 @@ def screened(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return both.where((F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (apart <= _needed(similarity))).select("a", "b")
 
 
-def chains(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that may be similar: under each leading key each node with the two before it, in an order of the key's own."""
+def neighbours(keys: DataFrame, similarity: float) -> DataFrame:
+    """Of the rows (key, node, n, at, lead) of keys that several nodes have: those of crowded keys (more than three rows), and those with ``others`` that may be similar.
+
+    Under each key a row looks at the two before it, in an order of the key's own. Under a key of two or three rows these are all pairs; under a crowded one
+    only leading keys look, which bounds the links of a node (and places, which only the first shared hash must pass, don't matter). One shuffle of narrow rows.
+    """
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    rows = shared.where("lead").select("node", *[F.lag("node", i).over(order).alias(f"node{i}") for i in (1, 2)])
-    steps = rows.select("node", F.explode(F.array("node1", "node2")).alias("other")).where("other is not null")
-    links = steps.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return screened(links, nodes, similarity)
+    seen = {i: F.lag(F.struct("node", "n", "at"), i).over(order) if i > 0 else F.lead("node", -i).over(order) for i in (1, 2, 3, -1, -2, -3)}
+    rows = keys.select("*", *[c.alias(f"x{i + 3}") for i, c in seen.items()])
+    there = {i: F.col(f"x{i + 3}").isNotNull() for i in seen}
+    rows = rows.where(there[1] | there[-1])
+    crowded = there[3] | there[-3] | (there[1] & there[-2]) | (there[2] & there[-1])
+
+    def near(i: int) -> Column:
+        n, at = F.col(f"x{i + 3}.n"), F.col(f"x{i + 3}.at")
+        sizes = F.least("n", n) >= similarity * F.greatest("n", n) - EPS
+        rest = F.least(F.col("n") - F.col("at"), n - at) >= similarity / (1 + similarity) * (F.col("n") + n) - EPS
+        return F.when(there[i] & sizes & F.when(F.col("crowded"), F.col("lead")).otherwise(rest), F.col(f"x{i + 3}.node"))
+
+    out = rows.withColumn("crowded", crowded).select("key", "node", "n", "at", "crowded", F.array_compact(F.array(near(1), near(2))).alias("others"))
+    return out.where(F.col("crowded") | (F.size("others") > 0))
 
 
 def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -498,13 +514,14 @@ def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tupl
     own = materialise(read.select("doc_id", "text_key", "node"), "rows")
     discard(read)
     keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
-    shared = materialise(keys.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1").drop("rows"), "keys")
-    tried = materialise(chains(shared, nodes, similarity), "chains")
+    shared = materialise(neighbours(keys, similarity), "keys")
+    met = shared.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    tried = materialise(screened(met, nodes, similarity), "tried")
     found = verified(docs, nodes, tried, size, similarity)
     discard(tried)
     parts = connected_components(found)
     about = nodes.select("node", *_SKETCH).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = pairs_of_keys(shared.select("key", "node", "n", "at").join(about, "node"), similarity)
+    left = pairs_of_keys(shared.where("crowded").select("key", "node", "n", "at").join(about, "node"), similarity)
     close = materialise(screened(left, nodes, similarity), "close")
     more = verified(docs, nodes, close, size, similarity)
     discard(shared, left, close)
@@ -517,12 +534,12 @@ def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tupl
     return own, placed.join(first, "component")
 
 
-def similar_documents(docs: DataFrame, *, k: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each document and its component: doc_id, component_id, the least doc_id that links reach; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     No link is missed. Two such sets share a shingle among the first (1 - similarity) of each, rare ones first, so these are the keys (prefix
     filter), with filters on sizes, places and sketches; each pair is verified. Equal sets are one node from the start. So that crowds of copies
-    don't cost all their pairs, each node is first verified against a few neighbours under ``k`` of its keys; pairs are
+    don't cost all their pairs, under a crowded key a node is first verified against two neighbours, and this under ``k`` of its keys; pairs are
     then made only between nodes that aren't yet in one component. ``k`` changes the cost, never the result.
     Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
@@ -531,7 +548,7 @@ def similar_documents(docs: DataFrame, *, k: int = 4, size: int = 5, similarity:
     return spread_join(own, named, "node", own.count()).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, k: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """All columns of ``docs``; of each component of ``similar_documents`` one row stays, that with the least doc_id (then the least hash of its text).
 
     A row is named by its doc_id and its text, so rows that share an id but not a text are judged apart. Of rows equal in both one
