@@ -36,13 +36,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/effectum/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+#: Rows of documents for each task that writes a table made of them, and tasks at least: few rows don't need hundreds of files.
+ROWS_A_TASK, TASKS = 20_000, 8
+
+
+def materialise(df: DataFrame, name: str, of: int | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks that ran on it, and a table
-    that several later stages read is computed once.
+    that several later stages read is computed once. ``of`` is the number of documents that the table is about; shuffled partitions
+    are written by tasks in proportion to it at most.
     """
     path = new_path(df.sparkSession, name)
+    if of is not None:
+        df = df.coalesce(max(TASKS, -(-of // ROWS_A_TASK)))
     df.write.options(**TABLE | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

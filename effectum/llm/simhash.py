@@ -239,7 +239,7 @@ def _ball(part: list[int], t: int) -> list[int]:
     return [_mask(c) for k in range(t + 1) for c in combinations(part, k)]
 
 
-def pairs_within(fps: DataFrame, radius: int, plan: Plan) -> DataFrame:
+def pairs_within(fps: DataFrame, radius: int, plan: Plan, of: int | None = None) -> DataFrame:
     """Links (a, b) between the ``rep`` of distinct fingerprints ``fp``: they join exactly those fingerprints that a chain of steps of ``radius`` bits at most joins.
 
     Each fingerprint is indexed by its bits in each partition, and probes all values within the threshold;
@@ -257,9 +257,9 @@ def pairs_within(fps: DataFrame, radius: int, plan: Plan) -> DataFrame:
     if probed:
         flips = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(_mask(p)).alias("mask"), F.lit(x).alias("flip")) for i, p, t in used for x in _ball(p, t)])
         probe = fps.select("fp", "rep", F.explode(flips).alias("k")).select("fp", "rep", "k.part", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"))
-        shared = materialise(sizes, "keys")
+        shared = materialise(sizes, "keys", of=of)
     else:
-        probe, shared = index, materialise(sizes.where("n > 1"), "keys")
+        probe, shared = index, materialise(sizes.where("n > 1"), "keys", of=of)
     few, many = shared.where(F.col("n") <= CROWD).select("part", "value"), shared.where(F.col("n") > CROWD).select("part", "value")
     left = probe.join(few, ["part", "value"]).alias("l")
     right = index.join(few, ["part", "value"]).alias("r")
@@ -269,7 +269,7 @@ def pairs_within(fps: DataFrame, radius: int, plan: Plan) -> DataFrame:
     crowd = probe.join(many, ["part", "value"], "left_semi").select("fp", "rep").distinct()
     ball = F.array(*map(F.lit, _ball(list(range(BITS)), -(-radius // 2))))
     centre = F.transform(ball, lambda x: F.struct(x.bitwiseXOR(F.col("fp")).alias("centre"), (F.bit_count(x) <= radius // 2).alias("inner")))
-    keyed = materialise(crowd.select("rep", F.inline(centre)), "balls")
+    keyed = materialise(crowd.select("rep", F.inline(centre)), "balls", of=of)
     least = keyed.groupBy("centre").agg(F.min(F.when(F.col("inner"), F.col("rep"))).alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
     stars = keyed.join(least, "centre").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     return met.unionByName(stars)
@@ -278,7 +278,7 @@ def pairs_within(fps: DataFrame, radius: int, plan: Plan) -> DataFrame:
 def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
     """Links between the reps of distinct fingerprints, after making the plan."""
     n, both = bit_statistics(fps)
-    return pairs_within(fps, radius, make_plan(n, both, radius))
+    return pairs_within(fps, radius, make_plan(n, both, radius), n)
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -290,15 +290,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: in
     null only where there are none. An empty table gives no rows. Other columns don't matter.
     """
     own = materialise(fingerprints(docs, size=size, seed=seed).select("doc_id", F.col("fp0").alias("fp")), "fingerprints")
+    of = own.count()
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     # A fingerprint is its own name in links, so that rows that share a doc_id stay apart.
-    distinct = materialise(nodes.select("fp", F.col("fp").alias("rep"), "least", "rows"), "nodes")
-    parts = connected_components(link_fingerprints(distinct.select("fp", "rep"), radius))
+    distinct = materialise(nodes.select("fp", F.col("fp").alias("rep"), "least", "rows"), "nodes", of=of)
+    parts = connected_components(link_fingerprints(distinct.select("fp", "rep"), radius), of)
     linked = distinct.join(parts, F.col("fp") == F.col("node"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_least"))
     moved = linked.join(least, "component").select("fp", F.col("component_least"))
     named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_least", "least").alias("component_id"), "rows")
-    return spread_join(own, materialise(named, "named"), "fp", own.count()).select("doc_id", "fp", "component_id")
+    return spread_join(own, materialise(named, "named", of=of), "fp", of).select("doc_id", "fp", "component_id")
 
 
 # Verified near-duplicates
@@ -313,12 +314,12 @@ def _digest(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that are frequent in a sample of the texts, in order, and their ranks (the length of the count in bits).
 
     They only decide in which order a set is read, so a poor sample makes searches slower, never wrong.
     """
-    step = min(max(docs.count() // SAMPLE, 1), SAMPLE_STEP)
+    step = min(max(count // SAMPLE, 1), SAMPLE_STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, SHINGLE_BYTES):
@@ -441,22 +442,20 @@ def may_be_similar(similarity: float) -> Column:
     return (rest >= need) & may_be_equal_enough(similarity)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of links (a, b) between sets those that are similar. A set is sent once for each of its links from a lesser one, and once for its own."""
+def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, size: int, similarity: float, of: int) -> tuple[DataFrame, DataFrame]:
+    """Of links (a, b) between sets those that are similar, and the table of sets that they are found with. A set is sent once for each of its links from a lesser one, and once for its own."""
     involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = materialise(nodes.join(involved, "node", "left_semi").select(F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "involved")
+    named = nodes.join(involved, "node", "left_semi").select(F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key"))
     rows = _keyed(docs).join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
-    sets = materialise(rows.mapInArrow(_shingle_sets(size), "node long,hashes binary").groupBy("node").agg(F.max("hashes").alias("hashes")), "shingles")
+    sets = materialise(rows.mapInArrow(_shingle_sets(size), "node long,hashes binary").groupBy("node").agg(F.max("hashes").alias("hashes")), "shingles", of=of)
     ends = links.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
     heads = sets.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
     ordered = ends.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    out = materialise(ordered.mapInArrow(_similar(similarity), "a long,b long"), "similar")
-    discard(named, sets)
-    return out
+    return ordered.mapInArrow(_similar(similarity), "a long,b long"), sets
 
 
-def pairs_of_keys(shared: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes of different components that share a key and may be similar: (key, node, n, at, component, sketch).
+def pairs_of_keys(shared: DataFrame, similarity: float, of: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between nodes of different components that share a key and may be similar, and the table they come from; of (key, node, n, at, component, sketch).
 
     The members of a key's largest component are only compared with the others there, so a crowd that is one component but for
     a few costs as many comparisons as it has members for each of these. Keys with many rows are dealt to several tasks.
@@ -464,14 +463,12 @@ def pairs_of_keys(shared: DataFrame, similarity: float) -> DataFrame:
     parts = shared.groupBy("key", "component").agg(F.count("*").alias("m"))
     keys = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("parts"), F.sum("m").alias("rows")).where("parts > 1")
     keys = keys.select("key", F.col("most.component").alias("largest"), F.ceil(F.col("rows") / SALT).cast("int").alias("salts"))
-    open_ = materialise(shared.join(keys, "key"), "open")
+    open_ = materialise(shared.join(keys, "key"), "open", of=of)
     left = open_.where("component <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("l")
     right = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("r")
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.component") < F.col("r.component"))
     met = left.join(right, ["key", "salt"]).where((F.col("l.component") != F.col("r.component")) & once & may_be_similar(similarity))
-    out = materialise(met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "candidates")
-    discard(open_)
-    return out
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), open_
 
 
 def screened(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -508,28 +505,28 @@ def neighbours(keys: DataFrame, similarity: float) -> DataFrame:
 def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_key and node of each row; and of each node (set of shingles) its component, least row and number of rows."""
     columns = "doc_id long,text_key long,node long,n long,prefix binary," + ",".join(f"{c} long" for c in _SKETCH) + ",wide array<long>"
-    read = materialise(_keyed(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size), columns), columns), "prefixes")
+    of = docs.count()
+    read = materialise(_keyed(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size, of), columns), columns), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH, "wide")], least, F.count("*").alias("rows")), "nodes")
+    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH, "wide")], least, F.count("*").alias("rows")), "nodes", of=of)
     own = materialise(read.select("doc_id", "text_key", "node"), "rows")
     discard(read)
     keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
-    shared = materialise(neighbours(keys, similarity), "keys")
+    shared = materialise(neighbours(keys, similarity), "keys", of=of)
     met = shared.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    tried = materialise(screened(met, nodes, similarity), "tried")
-    found = verified(docs, nodes, tried, size, similarity)
-    discard(tried)
-    parts = connected_components(found)
+    tried = materialise(screened(met, nodes, similarity), "tried", of=of)
+    found, sets = verified(docs, nodes, tried, size, similarity, of)
+    parts = connected_components(found, of)
+    discard(tried, sets)
     about = nodes.select("node", *_SKETCH).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = pairs_of_keys(shared.where("crowded").select("key", "node", "n", "at").join(about, "node"), similarity)
-    close = materialise(screened(left, nodes, similarity), "close")
-    more = verified(docs, nodes, close, size, similarity)
-    discard(shared, left, close)
-    if not more.isEmpty():
-        before, parts = parts, connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        discard(before)
-    placed = materialise(nodes.select("node", "least", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    discard(found, more, parts, nodes)
+    left, open_ = pairs_of_keys(shared.where("crowded").select("key", "node", "n", "at").join(about, "node"), similarity, of)
+    close = materialise(screened(left, nodes, similarity), "close", of=of)
+    discard(shared, open_)
+    more, sets = verified(docs, nodes, close, size, similarity, of)
+    before, parts = parts, connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), of)
+    discard(before, close, sets)
+    placed = materialise(nodes.select("node", "least", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed", of=of)
+    discard(parts, nodes)
     first = placed.groupBy("component").agg(F.min("least").alias("first"))
     return own, placed.join(first, "component")
 
@@ -559,15 +556,18 @@ def drop_near_duplicates(docs: DataFrame, *, k: int = 8, size: int = 5, similari
     name, key, mark = (fresh(n, docs.columns) for n in ("gone_id", "gone_key", "again"))
     judged = spread_join(own, placed.select("node", "first", "rows"), "node", own.count())
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    gone = materialise(judged.where(~stays).select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct(), "gone")
-    again = materialise(own.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(name), F.col("text_key").alias(key)), "again")
-    discard(own)
+    gone = materialise(judged.where(~stays).select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct(), "gone", of=own.count())
+    again = own.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(name), F.col("text_key").alias(key))
+    repeats = not again.isEmpty()
     own_id, own_key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
     same = own_id.eqNullSafe(F.col(name)) & (own_key == F.col(key))
     few = lambda t: F.broadcast(t) if t.count() <= FEW_IDS else t
     kept = docs.join(few(gone), same, "left_anti")
-    if again.isEmpty():
+    if not repeats:
+        discard(own)
         return kept
+    again = materialise(again, "again")
+    discard(own)
     repeated = kept.join(few(again), same, "left_semi").withColumn(mark, F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(F.lit(1)))).where(F.col(mark) == 1)
     return kept.join(few(again), same, "left_anti").unionByName(repeated.drop(mark))
 

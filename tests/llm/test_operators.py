@@ -522,6 +522,27 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_more_links_than_a_task_joins(spark, monkeypatch):
+    """Several tasks and sets of links: the rounds between them give the components of all."""
+    from effectum.llm import components
+
+    monkeypatch.setattr(components, "AT_ONCE", 40)
+    rng = random.Random(18)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
+
+
 def test_near_duplicates_awkward(awkward, empty):
     got = collections.Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(awkward).collect())
     assert got[5, 5] == 2 and got[8, 5] == 1 and got[3, 1] == got[4, 1] == got[1, 1] == 1 and sum(got.values()) == len(AWKWARD)
