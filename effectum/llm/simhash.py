@@ -26,8 +26,8 @@ AT_ONCE = 1 << 13
 KEY_COST, PAIR_COST = 1.0, 0.2
 #: Texts in which shingles are counted: about this many, or one in SAMPLE_STEP if that is more; from which count on one is frequent, and how many of these are told to all tasks.
 SAMPLE, SAMPLE_STEP, FREQUENT, FREQUENT_AT_MOST = 5_000, 50, 5, 200_000
-#: Words of 64 bits in the sketch of a set that stands beside each of its keys, and in the one that is looked at once for each pair.
-SKETCH, WIDE = 4, 32
+#: Words of 64 bits in the sketch of a set that stands beside each of its keys. The one that is looked at once for each pair has as many bits as the set has hashes, up to the next power of 2.
+SKETCH = 4
 #: Bytes of text from which shingles are made at once.
 SHINGLE_BYTES = 1 << 19
 #: Rows of a key that one task compares with all of them.
@@ -360,7 +360,7 @@ def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarr
         for batch in pieces(batches, SHINGLE_BYTES):
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
             drawn = np.stack([sketch(s, SKETCH) for s in sets])
-            wide = [sketch(s, WIDE) for s in sets]
+            wide = [sketch(s, max(SKETCH, 1 << max(len(s) - 1, 0).bit_length() - 6) if len(s) > BITS else SKETCH) for s in sets]
             made = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets], *[np.ascontiguousarray(drawn[:, i]) for i in range(SKETCH)], wide]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *[pa.array(c, t.type) for c, t in zip(made, list(schema)[2:], strict=True)]], schema=schema)
 
@@ -368,8 +368,8 @@ def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarr
 
 
 def _keys(k: int):
-    """A row for each hash of a prefix: its place, and whether it is among the k that lead (the least of another hash)."""
-    schema = arrow_schema("key long,node long,n long,at long,lead boolean")
+    """A row for each hash of a prefix, with n, its place, and whether it is among the k that lead (the least of another hash): 31 bits, 32 bits and one of ``about``."""
+    schema = arrow_schema("key long,node long,about long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -381,7 +381,8 @@ def _keys(k: int):
                 low = mixed(s, 2)[:, 1]
                 lead.append(low <= np.partition(low, k - 1)[k - 1] if len(s) > k else np.ones(len(s), bool))
             times = np.array([len(s) for s in sets])
-            columns = [np.concatenate(sets).view(np.int64), *[np.repeat(np.asarray(batch[c]), times) for c in ("node", "n")], np.concatenate([np.arange(t) for t in times]), np.concatenate(lead)]
+            about = np.repeat(np.asarray(batch["n"]), times) << 33 | np.concatenate([np.arange(t) for t in times]) << 1 | np.concatenate(lead)
+            columns = [np.concatenate(sets).view(np.int64), np.repeat(np.asarray(batch["node"]), times), about]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return run
@@ -445,12 +446,14 @@ def may_be_similar(similarity: float) -> Column:
 def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, size: int, similarity: float, of: int) -> tuple[DataFrame, DataFrame]:
     """Of links (a, b) between sets those that are similar, and the table of sets that they are found with. A set is sent once for each of its links from a lesser one, and once for its own."""
     involved = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = nodes.join(involved, "node", "left_semi").select(F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key"))
-    rows = _keyed(docs).join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
+    named = materialise(nodes.join(involved, "node", "left_semi").select(F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "named", of=of)
+    few = F.broadcast(named) if named.count() <= FEW_IDS else named
+    rows = _keyed(docs).join(few, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
     sets = materialise(rows.mapInArrow(_shingle_sets(size), "node long,hashes binary").groupBy("node").agg(F.max("hashes").alias("hashes")), "shingles", of=of)
     ends = links.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
     heads = sets.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
     ordered = ends.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    discard(named)
     return ordered.mapInArrow(_similar(similarity), "a long,b long"), sets
 
 
@@ -471,29 +474,40 @@ def pairs_of_keys(shared: DataFrame, similarity: float, of: int) -> tuple[DataFr
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), open_
 
 
+def _folded(wide: Column, to: Column) -> Column:
+    """A sketch of the length of ``to``, where it is twice as long: the halves, one over the other, are the sketch of half the length."""
+    half = F.size(to)
+    return F.when(F.size(wide) > half, F.zip_with(F.slice(wide, 1, half), F.slice(wide, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(wide)
+
+
 def screened(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of links (a, b) between nodes those that sizes and wide sketches allow."""
+    """Of links (a, b) between nodes those that sizes and wide sketches allow. Sizes that allow it differ by less than a factor of 2, and so do sketches by one folding at most."""
     about = nodes.select("node", "n", "wide")
-    both = links.join(about.alias("l"), F.col("a") == F.col("l.node")).join(about.alias("r"), F.col("b") == F.col("r.node"))
-    apart = F.aggregate(F.zip_with("l.wide", "r.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.where((F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS) & (apart <= _needed(similarity))).select("a", "b")
+    alike = F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS
+    left = links.join(about.alias("l"), F.col("a") == F.col("l.node"))
+    both = left.join(about.alias("r"), F.col("b") == F.col("r.node")).where(alike)
+    x, y = F.col("l.wide"), F.col("r.wide")
+    apart = F.aggregate(F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return both.where(apart <= _needed(similarity)).select("a", "b")
 
 
 def neighbours(keys: DataFrame, similarity: float) -> DataFrame:
-    """Of the rows (key, node, n, at, lead) of keys that several nodes have: those of crowded keys (more than three rows), and those with ``others`` that may be similar.
+    """Of the rows (key, node, about) of keys that several nodes have: those of crowded keys (more than three rows), and those with ``others`` that may be similar.
 
     Under each key a row looks at the two before it, in an order of the key's own. Under a key of two or three rows these are all pairs; under a crowded one
     only leading keys look, which bounds the links of a node (and places, which only the first shared hash must pass, don't matter). One shuffle of narrow rows.
     """
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    seen = {i: F.lag(F.struct("node", "n", "at"), i).over(order) if i > 0 else F.lead("node", -i).over(order) for i in (1, 2, 3, -1, -2, -3)}
+    seen = {i: F.lag(F.struct("node", "about"), i).over(order) if i > 0 else F.lead("node", -i).over(order) for i in (1, 2, 3, -1, -2, -3)}
     rows = keys.select("*", *[c.alias(f"x{i + 3}") for i, c in seen.items()])
     there = {i: F.col(f"x{i + 3}").isNotNull() for i in seen}
     rows = rows.where(there[1] | there[-1])
+    size, place = (lambda c: F.shiftright(c, 33)), (lambda c: F.shiftright(c, 1).bitwiseAND(0xFFFFFFFF))
+    rows = rows.withColumns({"n": size(F.col("about")), "at": place(F.col("about")), "lead": F.col("about") % 2 == 1})
     crowded = there[3] | there[-3] | (there[1] & there[-2]) | (there[2] & there[-1])
 
     def near(i: int) -> Column:
-        n, at = F.col(f"x{i + 3}.n"), F.col(f"x{i + 3}.at")
+        n, at = size(F.col(f"x{i + 3}.about")), place(F.col(f"x{i + 3}.about"))
         sizes = F.least("n", n) >= similarity * F.greatest("n", n) - EPS
         rest = F.least(F.col("n") - F.col("at"), n - at) >= similarity / (1 + similarity) * (F.col("n") + n) - EPS
         return F.when(there[i] & sizes & F.when(F.col("crowded"), F.col("lead")).otherwise(rest), F.col(f"x{i + 3}.node"))
@@ -511,7 +525,7 @@ def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tupl
     nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH, "wide")], least, F.count("*").alias("rows")), "nodes", of=of)
     own = materialise(read.select("doc_id", "text_key", "node"), "rows")
     discard(read)
-    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,n long,at long,lead boolean")
+    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,about long")
     shared = materialise(neighbours(keys, similarity), "keys", of=of)
     met = shared.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     tried = materialise(screened(met, nodes, similarity), "tried", of=of)
@@ -572,8 +586,8 @@ def drop_near_duplicates(docs: DataFrame, *, k: int = 8, size: int = 5, similari
     return kept.join(few(again), same, "left_anti").unionByName(repeated.drop(mark))
 
 
-#: Ids up to which those to drop are broadcast.
-FEW_IDS = 500_000
+#: Names of rows up to which they are broadcast: 16 bytes each.
+FEW_IDS = 1_000_000
 
 
 def hexadecimal(fp: Column) -> Column:
