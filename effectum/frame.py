@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,13 @@ class Frame:
             self.df.createOrReplaceTempView(name)
         return Frame(self.df.sparkSession.table(name))
 
+    def getTableName(self) -> str:
+        """The name of a temporary view of these rows, made when it is first asked for; SQL text can read it."""
+        if not hasattr(self, "_view"):
+            self._view = f"effectum_{uuid.uuid4().hex}"
+            self.df.createOrReplaceTempView(self._view)
+        return self._view
+
     def getExecutedSql(self) -> str:
         """The optimised plan as text."""
         return self.df._jdf.queryExecution().optimizedPlan().toString()

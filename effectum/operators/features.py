@@ -42,6 +42,11 @@ class OneHotEncoder:
     """0 / 1 columns for all levels but the first, in the order of their text. Null counts as no level."""
 
     def fit(self, df: DataFrame, cols: list[str], most: int = 1000) -> DataFrame:
+        # Levels are counted first, so that a column with millions of them is an error before any of them reaches one task.
+        counts = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in cols]).first()
+        for c in cols:
+            if counts[c] > 1.2 * most:
+                raise ValueError(f"{c} has more than {most} levels")
         levels = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
         new = {}
         for c in cols:

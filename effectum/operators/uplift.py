@@ -419,20 +419,64 @@ def load_model(file: str):
 
 
 class _Learner:
-    """Uplift from linear models of the outcome; each model is one aggregation."""
+    """Uplift from models of the outcome: linear ones (logistic for probabilities), each of them one aggregation, or any of MLlib's.
 
-    def __init__(self, y: str, t: str, x: list[str], propensity: float | str = 0.5):
+    ``base_model`` is a class of MLlib, such as ``GBTRegressor`` or, for probabilities, ``RandomForestClassifier``; ``base_model_params`` are its parameters.
+    """
+
+    def __init__(self, y: str, t: str, x: list[str], propensity: float | str = 0.5, *, base_model: type | None = None, base_model_params: dict | None = None):
         self.y, self.t, self.x, self.p = y, t, list(x), propensity
+        self.base_model, self.params = base_model, dict(base_model_params or {})
 
     def _arm(self, df: DataFrame, arm: int) -> DataFrame:
         return df.where(expr_of(self.t) == arm)
 
+    def _features(self, arm: Column | None = None) -> list[Column]:
+        return [expr_of(c) for c in self.x] + ([] if arm is None else [arm])
+
     def predict(self, df: DataFrame, name: str = "cate_outcome") -> DataFrame:
-        return df.withColumn(name, self._cate())
+        if self.base_model is None:
+            return df.withColumn(name, self._cate())
+        out = self._with_outcomes(df)
+        return out.withColumn(name, self._ml_cate()).select(*df.columns, name)
+
+
+class Fitted:
+    """A model of MLlib's (a class such as GBTRegressor, with its parameters), fitted on columns. A classifier's prediction is its probability of 1."""
+
+    def __init__(self, df: DataFrame, y: Column, x: list[Column], base_model: type, params: dict):
+        from pyspark.ml.feature import VectorAssembler
+
+        self.assembler = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(x))], outputCol="__features", handleInvalid="skip")
+        rows = df.select(y.cast("double").alias("__label"), *[c.cast("double").alias(f"__x{i}") for i, c in enumerate(x)]).na.drop()
+        self.model = base_model(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **params).fit(self.assembler.transform(rows))
+
+    def add(self, df: DataFrame, name: str, x: list[Column]) -> DataFrame:
+        """The rows with the prediction for these features; null where a feature is null."""
+        from pyspark.ml.functions import vector_to_array
+
+        full = df.withColumns({f"__x{i}": c.cast("double") for i, c in enumerate(x)})
+        known = F.lit(True)
+        for i in range(len(x)):
+            known = known & F.col(f"__x{i}").isNotNull()
+        filled = full.withColumn("__known", known).na.fill(0.0, [f"__x{i}" for i in range(len(x))])
+        out = self.model.transform(self.assembler.setHandleInvalid("keep").transform(filled))
+        value = vector_to_array("probability")[1] if "probability" in out.columns and "probability" not in df.columns else F.col("__prediction")
+        return out.withColumn(name, F.when(F.col("__known"), value)).select(*df.columns, name)
 
 
 class SLearner(_Learner):
+    def _with_outcomes(self, df: DataFrame) -> DataFrame:
+        out = self.model.add(df, "__m0", self._features(F.lit(0.0)))
+        return self.model.add(out, "__m1", self._features(F.lit(1.0)))
+
+    def _ml_cate(self) -> Column:
+        return F.col("__m1") - F.col("__m0")
+
     def fit(self, df: DataFrame) -> SLearner:
+        if self.base_model is not None:
+            self.model = Fitted(df, expr_of(self.y), self._features(expr_of(self.t)), self.base_model, self.params)
+            return self
         self.model = fit_ols(df, Formula(self.y, [*self.x, f"({self.t})", *[f"({self.t}) * ({c})" for c in self.x]]))
         return self
 
@@ -446,7 +490,16 @@ class SLearner(_Learner):
 
 
 class TLearner(_Learner):
+    def _with_outcomes(self, df: DataFrame) -> DataFrame:
+        return self.models[1].add(self.models[0].add(df, "__m0", self._features()), "__m1", self._features())
+
+    def _ml_cate(self) -> Column:
+        return F.col("__m1") - F.col("__m0")
+
     def fit(self, df: DataFrame) -> TLearner:
+        if self.base_model is not None:
+            self.models = [Fitted(self._arm(df, a), expr_of(self.y), self._features(), self.base_model, self.params) for a in (0, 1)]
+            return self
         self.models = [fit_ols(self._arm(df, a), Formula(self.y, self.x)) for a in (0, 1)]
         return self
 
@@ -457,8 +510,19 @@ class TLearner(_Learner):
 class XLearner(TLearner):
     """Effects imputed by the other arm's model are modelled in each arm and averaged, half and half."""
 
+    def _with_outcomes(self, df: DataFrame) -> DataFrame:
+        return self.effects[1].add(self.effects[0].add(df, "__m0", self._features()), "__m1", self._features())
+
+    def _ml_cate(self) -> Column:
+        return 0.5 * F.col("__m0") + 0.5 * F.col("__m1")
+
     def fit(self, df: DataFrame) -> XLearner:
         super().fit(df)
+        if self.base_model is not None:
+            known = TLearner._with_outcomes(self, df)
+            gaps = {0: F.col("__m1") - expr_of(self.y), 1: expr_of(self.y) - F.col("__m0")}
+            self.effects = [Fitted(self._arm(known, a), gap, self._features(), self.base_model, self.params) for a, gap in gaps.items()]
+            return self
         d1 = self._arm(df, 1).withColumn("__d", expr_of(self.y) - self.models[0].predict())
         d0 = self._arm(df, 0).withColumn("__d", self.models[1].predict() - expr_of(self.y))
         self.effects = [fit_ols(d, Formula("__d", self.x)) for d in (d0, d1)]
@@ -471,9 +535,18 @@ class XLearner(TLearner):
 class TransformedOutcome(_Learner):
     """y / p for the treated and -y / (1 - p) for the others, regressed on x."""
 
+    def _with_outcomes(self, df: DataFrame) -> DataFrame:
+        return self.model.add(df, "__m", self._features())
+
+    def _ml_cate(self) -> Column:
+        return F.col("__m")
+
     def fit(self, df: DataFrame) -> TransformedOutcome:
         p = expr_of(self.p) if isinstance(self.p, str) else F.lit(float(self.p))
         z = F.when(expr_of(self.t) == 1, expr_of(self.y) / p).otherwise(-expr_of(self.y) / (1 - p))
+        if self.base_model is not None:
+            self.model = Fitted(df, z, self._features(), self.base_model, self.params)
+            return self
         self.model = fit_ols(df.withColumn("__z", z), Formula("__z", self.x))
         return self
 
@@ -484,10 +557,19 @@ class TransformedOutcome(_Learner):
 class ClassVariableTransformation(_Learner):
     """For a binary outcome: whether it agrees with the arm is modelled; uplift is 2 p - 1."""
 
+    def _with_outcomes(self, df: DataFrame) -> DataFrame:
+        return self.model.add(df, "__m", self._features())
+
+    def _ml_cate(self) -> Column:
+        return 2 * F.col("__m") - 1
+
     def fit(self, df: DataFrame) -> ClassVariableTransformation:
         from .regression import Logistic
 
         agrees = F.when(expr_of(self.y) == expr_of(self.t), 1.0).otherwise(0.0)
+        if self.base_model is not None:
+            self.model = Fitted(df, agrees, self._features(), self.base_model, self.params)
+            return self
         self.model = Logistic(iterations=50).fit("__z", self.x, df.withColumn("__z", agrees))
         return self
 
@@ -496,9 +578,18 @@ class ClassVariableTransformation(_Learner):
 
 
 class Propensity(_Learner):
+    def _with_outcomes(self, df: DataFrame) -> DataFrame:
+        return self.model.add(df, "__m", self._features())
+
+    def _ml_cate(self) -> Column:
+        return F.col("__m")
+
     def fit(self, df: DataFrame) -> Propensity:
         from .regression import Logistic
 
+        if self.base_model is not None:
+            self.model = Fitted(df, expr_of(self.t), self._features(), self.base_model, self.params)
+            return self
         self.model = Logistic(iterations=50).fit(self.t, self.x, df)
         return self
 

@@ -190,6 +190,40 @@ def test_learners_find_the_effect(trial):
     assert lo < dml.ate() < hi and dml.ate() == pytest.approx(0.5, abs=0.15)
 
 
+def test_learners_with_base_models(trial):
+    """A step in x0 that no linear model sees is found by learners over MLlib's trees; rows with a null feature get null."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    df = trial.withColumn("y", F.when(F.abs(F.col("x0") - 0.5) > 0.25, 4.0 * F.col("treatment")).otherwise(0.0)).withColumn("effect", F.when(F.abs(F.col("x0") - 0.5) > 0.25, 4.0).otherwise(0.0))
+    for kind in (uplift.SLearner, uplift.TLearner, uplift.XLearner, uplift.TransformedOutcome):
+        got = kind("y", "treatment", ["x0", "x1"], base_model=DecisionTreeRegressor, base_model_params={"maxDepth": 5}).fit(df).predict(df)
+        assert got.columns == [*df.columns, "cate_outcome"] and got.count() == df.count()
+        assert got.select(F.corr("cate_outcome", "effect")).first()[0] > 0.85
+        linear = kind("y", "treatment", ["x0", "x1"]).fit(df).predict(df)
+        assert abs(linear.select(F.corr("cate_outcome", "effect")).first()[0]) < 0.6
+    holes = df.withColumn("x0", F.when(F.col("x1") > 0, F.col("x0")))
+    got = uplift.TLearner("y", "treatment", ["x0", "x1"], base_model=DecisionTreeRegressor).fit(holes).predict(holes)
+    assert got.where("(x0 is null) <> (cate_outcome is null)").count() == 0
+    p = uplift.Propensity("y", "treatment", ["x0", "x1"], base_model=RandomForestClassifier, base_model_params={"seed": 1}).fit(df).predict(df, "p")
+    assert 0 < p.agg(F.min("p")).first()[0] and p.agg(F.max("p")).first()[0] < 1 and p.agg(F.avg("p")).first()[0] == pytest.approx(0.5, abs=0.05)
+
+
+def test_table_name(spark):
+    from effectum.frame import Frame
+
+    f = Frame(spark.range(7))
+    name = f.getTableName()
+    assert name == f.getTableName() and spark.sql(f"select count(*) from {name}").first()[0] == 7
+
+
+def test_too_many_levels(spark):
+    from effectum.operators.features import OneHotEncoder
+
+    with pytest.raises(ValueError):
+        OneHotEncoder().fit(spark.range(5000), ["id"])
+
+
 def test_trees_and_forest(trial, tmp_path):
     df = trial.withColumn("y", F.when(F.col("x0") > 0.5, 3.0 * F.col("treatment")).otherwise(0.0) + F.col("x1"))
     tree = uplift.CausalTree("unit", depth=2, min_arm=30).fit("y", "treatment", ["x0", "x1"], df)
