@@ -242,8 +242,8 @@ class Frame:
     def mann_whitney_utest(self, y: str, index: str, alternative: str = "two-sided", continuity_correction: int = 1) -> Frame:
         return Frame(hypothesis.mann_whitney_utest(self.df, y, index, alternative=alternative, continuity_correction=continuity_correction))
 
-    def kolmogorov_smirnov_test(self, y: str, index: str) -> Frame:
-        return Frame(hypothesis.kolmogorov_smirnov_test(self.df, y, index))
+    def kolmogorov_smirnov_test(self, y: str, index: str, **how: str) -> Frame:
+        return Frame(hypothesis.kolmogorov_smirnov_test(self.df, y, index, **how))
 
     def student_ttest(self, y: str, index: str) -> Frame:
         return self._by(hypothesis.student_ttest, y, index)

@@ -370,8 +370,39 @@ def mann_whitney_utest(df: DataFrame, y: str, index: str, *, alternative: str =
     return finish(s, one, "u_statistic double,p_value double", [])
 
 
-def kolmogorov_smirnov_test(df: DataFrame, y: str, index: str, *, alternative: str = "two-sided") -> DataFrame:
-    """The largest gap between the distribution functions of the two arms, and its p from the limit law."""
+#: Rows of the larger arm up to which ``auto`` takes the exact law.
+EXACT_KS = 10_000
+
+
+def kolmogorov_exact_sf(n0: int, n1: int, d: float, alternative: str = "two-sided") -> float:
+    """The chance of a gap of ``d`` or more between the distribution functions of samples of n0 and n1 from one law without ties.
+
+    All orders of the pooled sample are equally likely. The share of orders that keep the gap below d is carried on from s to s + 1 values: of those with i
+    of the first arm among s, i / s have one as their last.
+    """
+    most = (math.floor(d * n0 * n1 - 1e-7) + 0.5) / (n0 * n1)  # gaps are multiples of 1 / (n0 n1)
+    up, down = most if alternative != "less" else math.inf, most if alternative != "greater" else math.inf
+    i = np.arange(n0 + 1)
+    share = np.zeros(n0 + 2)  # shifted by one: share[i + 1]
+    share[1] = 1.0
+    for s in range(1, n0 + n1 + 1):
+        # i / n0 - (s - i) / n1 must lie between -down and up.
+        lo = max(0, s - n1, math.ceil((s / n1 - down) * n0 * n1 / (n0 + n1)) if down < math.inf else 0)
+        hi = min(n0, s, math.floor((s / n1 + up) * n0 * n1 / (n0 + n1)) if up < math.inf else n0)
+        if lo > hi:
+            return 1.0
+        own = i[lo : hi + 1]
+        new = own / s * share[lo : hi + 1] + (s - own) / s * share[lo + 1 : hi + 2]
+        share[max(lo - 1, 0) : hi + 2] = 0.0
+        share[lo + 1 : hi + 2] = new
+    return float(min(1.0, max(0.0, 1 - share[n0 + 1])))
+
+
+def kolmogorov_smirnov_test(df: DataFrame, y: str, index: str, *, alternative: str = "two-sided", mode: str = "auto") -> DataFrame:
+    """The largest gap between the distribution functions of the two arms, and its p: from the exact law ("exact"), the limit law ("asymp"), or the exact one
+    where no arm has more than ``EXACT_KS`` rows ("auto")."""
+    if mode not in ("auto", "exact", "asymp"):
+        raise ValueError(f"unknown mode {mode}")
     c = running(_value_counts(df, y, index), "v", ["n0", "n1"])
     totals = c.agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"))
     gap = F.try_divide("cum_n0", "total0") - F.try_divide("cum_n1", "total1")
@@ -381,6 +412,8 @@ def kolmogorov_smirnov_test(df: DataFrame, y: str, index: str, *, alternative: s
         if not row["n0"] or not row["n1"]:
             return [(None, None)]
         d = {"two-sided": max(abs(row["above"]), abs(row["below"])), "less": max(-row["below"], 0.0), "greater": max(row["above"], 0.0)}[alternative]
+        if mode == "exact" or (mode == "auto" and max(row["n0"], row["n1"]) <= EXACT_KS):
+            return [(d, kolmogorov_exact_sf(int(row["n0"]), int(row["n1"]), d, alternative))]
         scale = math.sqrt(row["n0"] * row["n1"] / (row["n0"] + row["n1"]))
         return [(d, kolmogorov_sf(scale * d) if alternative == "two-sided" else math.exp(-2 * (scale * d) ** 2))]
 

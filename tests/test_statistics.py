@@ -209,6 +209,26 @@ def test_learners_with_base_models(trial):
     assert 0 < p.agg(F.min("p")).first()[0] and p.agg(F.max("p")).first()[0] < 1 and p.agg(F.avg("p")).first()[0] == pytest.approx(0.5, abs=0.05)
 
 
+@pytest.mark.parametrize("alternative", ["two-sided", "less", "greater"])
+def test_exact_kolmogorov_smirnov(spark, alternative):
+    """Equal to counting all orders of small samples; near the limit law for large ones."""
+    from itertools import combinations
+
+    from effectum.operators import hypothesis
+
+    for n0, n1 in ((5, 4), (3, 7), (6, 6), (1, 4)):
+        gaps = []
+        for own in combinations(range(n0 + n1), n0):
+            f = np.cumsum([1 / n0 if k in own else -1 / n1 for k in range(n0 + n1)])
+            gaps.append({"two-sided": np.abs(f).max(), "greater": max(f.max(), 0), "less": max(-f.min(), 0)}[alternative])
+        for d in sorted(set(np.round(gaps, 9))):
+            assert hypothesis.kolmogorov_exact_sf(n0, n1, d, alternative) == pytest.approx(np.mean(np.array(gaps) >= d - 1e-9), abs=1e-12)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(rng.normal(size=8000) + np.arange(8000) % 2 * 0.03)], "v double, t int")
+    exact, limit = (hypothesis.kolmogorov_smirnov_test(df, "v", "t", alternative=alternative, mode=m).first() for m in ("auto", "asymp"))
+    assert exact["d_statistic"] == limit["d_statistic"] and exact["p_value"] == pytest.approx(limit["p_value"], abs=0.02) and exact["p_value"] != limit["p_value"]
+
+
 def test_table_name(spark):
     from effectum.frame import Frame
 
