@@ -28,8 +28,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)
+    """One document of each group of copies: five-word shingles, a similarity of 0.8 or more. Fingerprints within two bits are searched first, then exactly what they leave."""
+    return simhash.drop_near_duplicates(docs, size=5, similarity=0.8, radius=2)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,14 +239,14 @@ def _ball(part: list[int], t: int) -> list[int]:
     return [_mask(c) for k in range(t + 1) for c in combinations(part, k)]
 
 
-def pairs_within(fps: DataFrame, radius: int, plan: Plan, of: int | None = None) -> DataFrame:
+def pairs_within(fps: DataFrame, radius: int, plan: Plan, of: int | None = None, made: list[DataFrame] | None = None) -> DataFrame:
     """Links (a, b) between the ``rep`` of distinct fingerprints ``fp``: they join exactly those fingerprints that a chain of steps of ``radius`` bits at most joins.
 
     Each fingerprint is indexed by its bits in each partition, and probes all values within the threshold;
     pairs that meet are verified. Values that too many share aren't compared in pairs: the fingerprints that
     have or probe one are linked through balls, each under all keys within radius / 2 bits of it, rounded up. Two are
     within the radius if and only if the ball of one and the inner ball (rounded down) of the other meet, so
-    each need only be linked with the least whose inner ball holds the key.
+    each need only be linked with the least whose inner ball holds the key. ``made`` gets the tables that the links are read from.
     """
     used = [(i, p, t) for i, (p, t) in enumerate(zip(plan.parts, plan.thresholds, strict=True)) if t >= 0]
     key = lambda i, v: F.struct(F.lit(i).alias("part"), v.alias("value"))
@@ -272,13 +272,15 @@ def pairs_within(fps: DataFrame, radius: int, plan: Plan, of: int | None = None)
     keyed = materialise(crowd.select("rep", F.inline(centre)), "balls", of=of)
     least = keyed.groupBy("centre").agg(F.min(F.when(F.col("inner"), F.col("rep"))).alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
     stars = keyed.join(least, "centre").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    if made is not None:
+        made += [shared, keyed]
     return met.unionByName(stars)
 
 
-def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int, made: list[DataFrame] | None = None) -> DataFrame:
     """Links between the reps of distinct fingerprints, after making the plan."""
     n, both = bit_statistics(fps)
-    return pairs_within(fps, radius, make_plan(n, both, radius), n)
+    return pairs_within(fps, radius, make_plan(n, both, radius), n, made)
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -361,7 +363,8 @@ def _prefixes(size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarr
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
             drawn = np.stack([sketch(s, SKETCH) for s in sets])
             wide = [sketch(s, max(SKETCH, 1 << max(len(s) - 1, 0).bit_length() - 6) if len(s) > BITS else SKETCH) for s in sets]
-            made = [[_digest(s) for s in sets], [len(s) for s in sets], [prefix(s, similarity, frequent).tobytes() for s in sets], *[np.ascontiguousarray(drawn[:, i]) for i in range(SKETCH)], wide]
+            fps = np.concatenate([majority(s[:, None]) if len(s) else np.zeros(1, np.uint64) for s in sets]).view(np.int64)
+            made = [[_digest(s) for s in sets], [len(s) for s in sets], fps, [prefix(s, similarity, frequent).tobytes() for s in sets], *[np.ascontiguousarray(drawn[:, i]) for i in range(SKETCH)], wide]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *[pa.array(c, t.type) for c, t in zip(made, list(schema)[2:], strict=True)]], schema=schema)
 
     return run
@@ -480,10 +483,13 @@ def _folded(wide: Column, to: Column) -> Column:
     return F.when(F.size(wide) > half, F.zip_with(F.slice(wide, 1, half), F.slice(wide, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(wide)
 
 
-def screened(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of links (a, b) between nodes those that sizes and wide sketches allow. Sizes that allow it differ by less than a factor of 2, and so do sketches by one folding at most."""
+def screened(links: DataFrame, nodes: DataFrame, similarity: float, parts: DataFrame | None = None) -> DataFrame:
+    """Of links (a, b) between nodes those that sizes and wide sketches allow, and that ``parts`` (node, component) don't join already. Sizes that allow it differ by less than a factor of 2, and so do sketches by one folding at most."""
     about = nodes.select("node", "n", "wide")
     alike = F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - EPS
+    if parts is not None:
+        about = about.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        alike = alike & (F.col("l.component") != F.col("r.component"))
     left = links.join(about.alias("l"), F.col("a") == F.col("l.node"))
     both = left.join(about.alias("r"), F.col("b") == F.col("r.node")).where(alike)
     x, y = F.col("l.wide"), F.col("r.wide")
@@ -516,28 +522,47 @@ def neighbours(keys: DataFrame, similarity: float) -> DataFrame:
     return out.where(F.col("crowded") | (F.size("others") > 0))
 
 
-def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def components_by_fingerprints(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, radius: int, of: int) -> DataFrame:
+    """node and component, by the operator's search: nodes with one fingerprint, and those with fingerprints within ``radius`` bits (the plan's partitions and thresholds, probes, verification), are candidates; a link is each of them whose sets are similar."""
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "simhashes", of=of)
+    made = [fps]
+    same = nodes.select("fp", "node").join(fps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = materialise(screened(link_fingerprints(fps, radius, made).unionByName(same).distinct(), nodes, similarity), "near", of=of)
+    discard(*made)
+    found, sets = verified(docs, nodes, near, size, similarity, of)
+    parts = connected_components(found, of)
+    discard(near, sets)
+    return parts
+
+
+def _joined(parts: DataFrame, links: DataFrame, of: int) -> DataFrame:
+    """The components ``parts`` after further links."""
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), of)
+
+
+def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_key and node of each row; and of each node (set of shingles) its component, least row and number of rows."""
-    columns = "doc_id long,text_key long,node long,n long,prefix binary," + ",".join(f"{c} long" for c in _SKETCH) + ",wide array<long>"
+    columns = "doc_id long,text_key long,node long,n long,fp long,prefix binary," + ",".join(f"{c} long" for c in _SKETCH) + ",wide array<long>"
     of = docs.count()
     read = materialise(_keyed(docs).mapInArrow(_prefixes(size, similarity, frequent_shingles(docs, size, of), columns), columns), "prefixes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "prefix", *_SKETCH, "wide")], least, F.count("*").alias("rows")), "nodes", of=of)
+    nodes = materialise(read.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "fp", "prefix", *_SKETCH, "wide")], least, F.count("*").alias("rows")), "nodes", of=of)
     own = materialise(read.select("doc_id", "text_key", "node"), "rows")
     discard(read)
+    near = components_by_fingerprints(docs, nodes, size, similarity, radius, of)
     keys = nodes.select("node", "n", "prefix").mapInArrow(_keys(k), "key long,node long,about long")
     shared = materialise(neighbours(keys, similarity), "keys", of=of)
     met = shared.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    tried = materialise(screened(met, nodes, similarity), "tried", of=of)
+    tried = materialise(screened(met, nodes, similarity, near), "tried", of=of)
     found, sets = verified(docs, nodes, tried, size, similarity, of)
-    parts = connected_components(found, of)
-    discard(tried, sets)
+    parts = _joined(near, found, of)
+    discard(near, tried, sets)
     about = nodes.select("node", *_SKETCH).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     left, open_ = pairs_of_keys(shared.where("crowded").select("key", "node", "n", "at").join(about, "node"), similarity, of)
     close = materialise(screened(left, nodes, similarity), "close", of=of)
     discard(shared, open_)
     more, sets = verified(docs, nodes, close, size, similarity, of)
-    before, parts = parts, connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), of)
+    before, parts = parts, _joined(parts, more, of)
     discard(before, close, sets)
     placed = materialise(nodes.select("node", "least", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed", of=of)
     discard(parts, nodes)
@@ -545,28 +570,30 @@ def _similar_sets(docs: DataFrame, k: int, size: int, similarity: float) -> tupl
     return own, placed.join(first, "component")
 
 
-def similar_documents(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """Each document and its component: doc_id, component_id, the least doc_id that links reach; links join texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    No link is missed. Two such sets share a shingle among the first (1 - similarity) of each, rare ones first, so these are the keys (prefix
-    filter), with filters on sizes, places and sketches; each pair is verified. Equal sets are one node from the start. So that crowds of copies
-    don't cost all their pairs, under a crowded key a node is first verified against two neighbours, and this under ``k`` of its keys; pairs are
-    then made only between nodes that aren't yet in one component. ``k`` changes the cost, never the result.
+    Equal sets are one node from the start. First the nodes' SimHash fingerprints within ``radius`` bits are searched, by the partitions and
+    thresholds of ``make_plan``, and each pair found is verified by its sets. Similar sets may have fingerprints farther apart, so
+    an exact search follows for pairs that this hasn't joined, and no link is missed: two such sets share a shingle among the first
+    (1 - similarity) of each, rare ones first, so these are the keys (prefix filter), with filters on sizes, places and sketches; each pair is
+    verified. So that crowds of copies don't cost all their pairs, under a crowded key a node is first verified against two neighbours, and this
+    under ``k`` of its keys; pairs are then made only between nodes that aren't yet in one component. ``k`` and ``radius`` change the cost, never the result.
     Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    own, placed = _similar_sets(docs, k, size, similarity)
+    own, placed = _similar_sets(docs, k, size, similarity, radius)
     named = placed.select("node", F.col("first.doc_id").alias("component_id"), "rows")
     return spread_join(own, named, "node", own.count()).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, k: int = 8, size: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """All columns of ``docs``; of each component of ``similar_documents`` one row stays, that with the least doc_id (then the least hash of its text).
 
     A row is named by its doc_id and its text, so rows that share an id but not a text are judged apart. Of rows equal in both one
     stays. A row with a null doc_id stays only where no row of its component has one. The names of rows that go are broadcast if they are few, which is counted;
     else the join shuffles.
     """
-    own, placed = _similar_sets(docs, k, size, similarity)
+    own, placed = _similar_sets(docs, k, size, similarity, radius)
     name, key, mark = (fresh(n, docs.columns) for n in ("gone_id", "gone_key", "again"))
     judged = spread_join(own, placed.select("node", "first", "rows"), "node", own.count())
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))

@@ -654,6 +654,37 @@ def test_similar_documents_in_a_crowd(spark):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, k=k).collect()} == want
 
 
+@pytest.mark.parametrize("crowd", [48, 2])
+def test_similar_documents_are_searched_by_fingerprints(spark, monkeypatch, crowd):
+    """With the exact search for the rest switched off, the components are those of similar pairs with fingerprints within two bits; with it, those of all similar pairs."""
+    rng, texts = random.Random(21), {}
+    for i in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        for j in range(3):
+            copy = list(base)
+            for at in rng.sample(range(600), 2 * j):
+                copy[at] = f"v{rng.randrange(5000)}"
+            texts[3 * i + j] = " ".join(copy)
+    fps = {i: int(simhash.majority(simhash.shingle_set(t, 5)[:, None])[0]) for i, t in texts.items()}
+    want, pairs = brute_similar(texts)
+    near = [(a, b) for a, b in pairs if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert len(near) > 10
+    by_fps = dict.fromkeys(texts)
+    for i in by_fps:
+        by_fps[i] = i
+    for _ in texts:
+        for a, b in near:
+            by_fps[a] = by_fps[b] = min(by_fps[a], by_fps[b])
+    assert by_fps != want
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    components = lambda: {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    assert components() == want
+    rest = simhash.neighbours
+    monkeypatch.setattr(simhash, "neighbours", lambda *a: rest(*a).where("false"))
+    assert components() == by_fps
+
+
 # 6
 
 
