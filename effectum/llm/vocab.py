@@ -18,7 +18,7 @@ import regex
 
 from .common import Memo
 
-#: Units that a worker remembers before it begins anew (and half as many pre-tokens); it keeps them from task to task, at about 200 bytes each.
+#: Words that a worker remembers before it begins anew (and as many units at uneven spaces, half as many pre-tokens of other units); it keeps them from task to task, at about 200 bytes each.
 MEMO = 800_000
 #: The patterns by which the two tokenizers split text.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,14 +62,15 @@ class JsonVocabulary:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        """The ids of a unit: its pre-tokens, found by rule where letters are followed by one sign at most, else by the pattern."""
+        """The ids of a unit: its pre-tokens, found by rule where letters are followed by one sign at most, else by the pattern. What is remembered as a word isn't remembered as a pre-token too."""
         if self.folds:
             unit = unit.lower()
         bare = unit[1:] if unit[:1] == " " else unit
         if bare.isalpha():
-            return self.parts[unit]
+            return self._part(unit)
         if bare[-1:] in SIGNS and bare[:-1].isalpha():
-            return self.parts[unit[:-1]] + self.parts[unit[-1]]
+            stem = self.words[bare[:-1]] if self.folds or bare is not unit else self.parts[unit[:-1]]
+            return stem + self.parts[unit[-1]]
         return b"".join([self.parts[p] if len(p) < 64 else self._part(p) for p in self.split(unit)])
 
     def _part(self, part: str) -> bytes:

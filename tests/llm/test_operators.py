@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -874,6 +875,22 @@ def test_packing(awkward, empty, docs):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_a_packing_worker_remembers_a_bounded_amount():
+    """What a worker remembers of ever new words stays below 200 MB, and a word is remembered once."""
+    vocabulary, rng, most = JsonVocabulary(P.path("byte_bpe_50k.json"), memo=packing.MEMO), random.Random(22), 0
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=9))
+    few = [word() for _ in range(1000)]
+    vocabulary.encode("go " + " ".join(few) + " " + ", ".join(few))
+    assert sum(map(len, (vocabulary.words, vocabulary.units, vocabulary.parts))) < 2010
+    for _ in range(80):
+        vocabulary.encode(" ".join(word() for _ in range(10_000)))
+        held = (vocabulary.words, vocabulary.units, vocabulary.parts)
+        if sum(map(len, held)) > most:
+            most, memory = sum(map(len, held)), sum(sys.getsizeof(m) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in m.items()) for m in held)
+    assert memory < 200e6
+
+
 # 9
 
 
