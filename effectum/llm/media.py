@@ -24,6 +24,7 @@ STORED = {"parquet.block.size": 16 << 20, "compression": "zstd"}
 
 MEDIA = "doc_id long,n_bytes long,media binary"
 DECODED = "doc_id long,n_bytes long,payload binary,media binary,width int,height int,rgb binary,feature string"
+PLANES = "doc_id long,n_bytes long,payload binary,media binary,width int,height int,green binary,cells binary,rest binary,feature string"
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +72,37 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]} rgb {' '.join(map(str, sums))} bands {' '.join(map(str, bands))}"
 
 
+def planes(rgb: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A tensor without loss, in a form that compresses better: its green; red and blue less green (modulo 256) at the first of each 2 x 2 pixels;
+    and what these differ from the first's at the other three, which is mostly zero where chroma was repeated."""
+    height, width, _ = rgb.shape
+    green = rgb[..., 1]
+    cells, rest = [], []
+    for c in (0, 2):
+        x = rgb[..., c] - green
+        first = x[::2, ::2].copy()
+        x -= first.repeat(2, 0).repeat(2, 1)[:height, :width]
+        cells.append(first.tobytes())
+        rest += [x[::2, 1::2].tobytes(), x[1::2].tobytes()]
+    return green.tobytes(), b"".join(cells), b"".join(rest)
+
+
+def tensor_of(width: int, height: int, green: bytes, cells: bytes, rest: bytes) -> np.ndarray:
+    """The tensor of its ``planes``."""
+    down, across = -(-height // 2), -(-width // 2)
+    out = np.empty((height, width, 3), np.uint8)
+    out[..., 1] = np.frombuffer(green, np.uint8).reshape(height, width)
+    each = np.frombuffer(cells, np.uint8).reshape(2, down, across)
+    others = np.frombuffer(rest, np.uint8).reshape(2, height * width - down * across)
+    right = down * (width // 2)
+    for c, first, other in zip((0, 2), each, others, strict=True):
+        x = first.repeat(2, 0).repeat(2, 1)[:height, :width]
+        x[::2, 1::2] += other[:right].reshape(down, width // 2)
+        x[1::2] += other[right:].reshape(height // 2, width)
+        out[..., c] = x + out[..., 1]
+    return out
+
+
 def pad(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 64 or 64 * (not data))
 
@@ -82,20 +114,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(r) for r in raw], pa.int64()), pa.array(encode_payloads(list(map(pad, raw))), pa.binary())], schema=schema)
 
 
-def _decode(tensors: bool):
-    schema = arrow_schema(DECODED)
+def _decode(ddl: str, tensors: bool = True):
+    schema = arrow_schema(ddl)
+    forms = [f for f in schema if f.name in ("rgb", "green", "cells", "rest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, DECODE_BYTES):
             files = batch["media"].to_pylist()
             images = [jpeg.parse(f) for f in files]
-            payload, rgb, text = [], [], []
+            payload, stored, text = [], [], []
             for im, coef in zip(images, jpeg.coefficients(images), strict=True):
                 payload.append(payload_of(im, coef))
                 tensor = jpeg.pixels(im, coef)
                 text.append(feature(tensor))
-                rgb.append(tensor.tobytes() if tensors else None)
-            columns = [pa.array(payload, pa.binary()), batch["media"], pa.array([im.width for im in images], pa.int32()), pa.array([im.height for im in images], pa.int32()), pa.array(rgb, pa.binary()), pa.array(text)]
+                stored.append((None,) if not tensors else planes(tensor) if len(forms) == 3 else (tensor.tobytes(),))
+            columns = [pa.array(payload, pa.binary()), batch["media"], pa.array([im.width for im in images], pa.int32()), pa.array([im.height for im in images], pa.int32())]
+            columns += [pa.array([t[k] for t in stored], pa.binary()) for k in range(len(forms))] + [pa.array(text)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *columns], schema=schema)
 
     return run
@@ -111,29 +145,31 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def read_media(media: DataFrame, *, tensors: bool = True) -> DataFrame:
     """Each file's payload, size, full-resolution RGB tensor (row by row, three bytes a pixel; null unless asked for) and a feature of the tensor."""
-    return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(_decode(tensors), DECODED)
+    return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(_decode(DECODED, tensors), DECODED)
+
+
+def _rgb(width: pa.Array, height: pa.Array, green: pa.Array, cells: pa.Array, rest: pa.Array) -> pa.Array:
+    rows = zip(*(x.to_pylist() for x in (width, height, green, cells, rest)), strict=True)
+    return pa.array([tensor_of(*row).tobytes() for row in rows], pa.binary())
 
 
 def store_tensors(media: DataFrame) -> DataFrame:
     """Decode all files and write their tensors to a table in the shared folder: doc_id, n_bytes, width, height, rgb, feature, and digests of what was decoded.
 
-    The tensors are written as they are made, a batch at a time; the payload and the file are not written again, only their
-    sizes and digests (payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256).
+    The tensors are written as they are made, a batch at a time, without loss as their ``planes``; rgb is put together of these when it is read.
+    The payload and the file are not written again, only their sizes and digests (payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256).
     """
-    made = read_media(media).select(
-        "doc_id",
-        "n_bytes",
-        "width",
-        "height",
-        "rgb",
-        "feature",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-    )
-    return materialise(made, "tensors", **STORED)
+    made = bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(_decode(PLANES), PLANES)
+    digests = {
+        "payload_bytes": F.octet_length("payload").cast("long"),
+        "payload_sha256": F.sha2("payload", 256),
+        "tail_crc32": F.crc32(F.substring("payload", -64, 64)),
+        "media_bytes": F.octet_length("media").cast("long"),
+        "media_sha256": F.sha2("media", 256),
+    }
+    made = made.withColumns(digests).drop("payload", "media")
+    rgb = F.arrow_udf(_rgb, "binary")("width", "height", "green", "cells", "rest").alias("rgb")
+    return materialise(made, "tensors", **STORED).select("doc_id", "n_bytes", "width", "height", rgb, "feature", *digests)
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import os
 import random
 import sys
 import zlib
@@ -220,6 +221,21 @@ def test_stored_texts(awkward):
         assert media.feature(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)) == r["feature"]
 
 
+def test_stored_tensors_are_whole_and_small(spark):
+    """The planes give back any tensor; the table of the tensors takes less than 0.55 times their bytes (0.74 when they were stored pixel by pixel)."""
+    rng = np.random.default_rng(3)
+    for height, width in ((1, 1), (1, 4), (5, 1), (7, 9), (16, 16), (33, 50)):
+        for top in (2, 256):
+            rgb = rng.integers(0, top, (height, width, 3), np.uint8) * np.uint8(255 // (top - 1))
+            assert (media.tensor_of(width, height, *media.planes(rgb)) == rgb).all()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stored = media.stored_texts(docs)
+    got = {r["doc_id"]: bytes(r["rgb"]) for r in stored.select("doc_id", "rgb").collect()}
+    assert got == {r["doc_id"]: bytes(r["rgb"]) for r in media.read_media(media.store_texts(docs)).select("doc_id", "rgb").collect()}
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in stored.inputFiles())
+    assert size < 0.55 * sum(map(len, got.values()))
+
+
 def plain_decoder(data: bytes) -> tuple[list, list, list]:
     """A progressive decoder as the standard words it, a bit at a time and independent of ours: coefficients (natural order), quantisation tables and sampling of the components."""
     zigzag, i, j = [], 0, 0
