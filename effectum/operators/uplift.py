@@ -168,7 +168,7 @@ class Node:
 def _bins(df: DataFrame, x: list[str], bins: int) -> dict[str, list[float]]:
     levels = [i / bins for i in range(1, bins)]
     r = df.agg(*[F.percentile_approx(expr_of(c), F.array(*map(F.lit, levels)), F.lit(1000)).alias(f"q{i}") for i, c in enumerate(x)]).first()
-    return {c: sorted(set(r[f"q{i}"] or [])) for i, c in enumerate(x)}
+    return {c: sorted(set(r[f"q{i}"] or []), key=lambda v: (v != v, v)) for i, c in enumerate(x)}
 
 
 def _bin(c: str, cuts: list[float]) -> Column:
@@ -176,6 +176,17 @@ def _bin(c: str, cuts: list[float]) -> Column:
     return sum((F.when(expr_of(c) > v, 1).otherwise(0) for v in cuts), F.lit(0))
 
 
+def _tables(rows: list, cuts: list[list[float]]) -> dict[tuple, list[np.ndarray]]:
+    """By tree and node for each feature an array of n, sum and sum of squares by bin and arm."""
+    out: dict[tuple, list[np.ndarray]] = {}
+    for tree, node, f, b, t, n, s, q in rows:
+        a = out.get((tree, node))
+        if a is None:
+            a = out[tree, node] = [np.zeros((len(c) + 1, 2, 3)) for c in cuts]
+        a[f][int(b), t] = n, s or 0.0, q or 0.0
+    return out
+
+
 def group_set(df: DataFrame, features: list[str], y: str, t: str, by: list[str] = ()) -> DataFrame:
     """Sufficient statistics by feature, its value and arm: col, treatment, value, cnt, sum, sum2. Arms other than 0 and 1 are ignored."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.expr(c).cast("double").alias("value")) for c in features])).alias("f")
@@ -192,18 +203,24 @@ class CausalTree:
     def __init__(self, key: str, depth: int = 3, min_sample_ratio_leaf: float = 0.001, bins: int = 10, min_arm: int = 100, seed: int = 0):
         self.key, self.depth, self.least, self.bins, self.min_arm, self.seed = key, depth, min_sample_ratio_leaf, bins, min_arm, seed
 
-    def _node(self) -> Column:
-        """The leaf of a row: splits are tested from the root."""
+    def _walk(self, value) -> Column:
+        """What ``value`` says of a row's leaf: splits are tested from the root."""
 
         def walk(i: int) -> Column:
             n = self.nodes[i]
             if not n.children:
-                return F.lit(n.id)
+                return value(n)
             c, v = n.split
             return F.when(expr_of(c) <= v, walk(n.children[0])).otherwise(walk(n.children[1]))
 
         return walk(0)
 
+    def _node(self) -> Column:
+        return self._walk(lambda n: F.lit(n.id))
+
+    def _effect(self) -> Column:
+        return self._walk(lambda n: F.lit(None if math.isnan(n.effect) else float(n.effect)).cast("double"))
+
     def fit(self, y: str, t: str, x: list[str], df: DataFrame) -> CausalTree:
         self.x, self.nodes = list(x), [Node(0, 0, "true")]
         test = fold_of(self.key, 2, self.seed) == 1
@@ -215,9 +232,10 @@ class CausalTree:
         for _ in range(self.depth):
             rows = train.select(self._node().alias("node"), expr_of(t).cast("int").alias("t"), expr_of(y).alias("y"), F.explode(F.array(*binned)).alias("k")).where(F.col("node").isin(*level) & F.col("t").isin(0, 1))
             got = rows.groupBy("node", "k.f", "k.b", "t").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).collect()
+            sums = _tables([(0, *r) for r in got], [cuts[c] for c in x])
             after: list[int] = []
             for node in level:
-                best = self._best([r for r in got if r["node"] == node], cuts, total)
+                best = self._best(sums.get((0, node)), range(len(x)), cuts, total)
                 if best:
                     f, cut = best
                     n = self.nodes[node]
@@ -232,15 +250,12 @@ class CausalTree:
         self._estimate(df.where(test), y, t)
         return self
 
-    def _best(self, rows: list, cuts: dict, total: int) -> tuple[int, float] | None:
+    def _best(self, sums: list[np.ndarray] | None, features, cuts: dict, total: int) -> tuple[int, float] | None:
         """The split with the largest gain in 0.5 tau^2 n less the variance, both children having enough rows in both arms."""
         best, gain = None, 0.0
-        for f, c in enumerate(self.x):
-            a = np.zeros((len(cuts[c]) + 1, 2, 3))
-            for r in rows:
-                if r["f"] == f:
-                    a[int(r["b"]), r["t"]] = r["n"], r["s"], r["q"]
-            left = np.cumsum(a, 0)
+        for f in features if sums else ():
+            c = self.x[f]
+            left = np.cumsum(sums[f], 0)
             whole = left[-1]
             for i, cut in enumerate(cuts[c]):
                 l_, r_ = left[i], whole - left[i]
@@ -267,11 +282,7 @@ class CausalTree:
 
     def effect(self, df: DataFrame, name: str = "effect") -> DataFrame:
         """Appends the leaf's effect; null where a leaf has none."""
-        out, leaf = F.lit(None).cast("double"), self._node()
-        for n in self.leaves():
-            if not math.isnan(n.effect):
-                out = F.when(leaf == n.id, n.effect).otherwise(out)
-        return df.withColumn(name, out)
+        return df.withColumn(name, self._effect())
 
     def get_decision_rules(self) -> str:
         return "\n".join(f"{'  ' * n.depth}{n.rule.rpartition(' and ')[2]}: n={n.n} effect={n.effect:.6g}" for n in self.nodes)
@@ -304,12 +315,17 @@ def predict_by_rules(df: DataFrame, rules: DataFrame, name: str = "effect") -> D
 
 
 class CausalForest:
-    """Trees over hashed subsamples, grown together: each level is one aggregation keyed by tree, node, feature, bin and arm.
+    """Trees over hashed subsamples, grown together.
 
+    Trees see a row's cell only, which is its bins of all features. Where there are few cells, one aggregation by tree, honest half, cell and arm has
+    all that growing and estimating need; otherwise each level is one aggregation keyed by tree, node, feature, bin and arm.
     A row's membership of a tree and its honest half are hashes of its key; features of a node are drawn by its number. Effects of leaves are
     from the honest half; a prediction is the mean over trees.
     """
 
+    #: Sums of cells, over all trees, that the driver takes at most.
+    CELLS = 1_000_000
+
     def __init__(self, key: str, depth: int = 5, num_trees: int = 20, mtry: int = 3, min_node_ratio: float = 1 / 128, sample_ratio: float = 0.5, bins: int = 10, seed: int = 0):
         if num_trees > 200 or mtry > 30:
             raise ValueError("at most 200 trees and 30 features a node")
@@ -319,25 +335,27 @@ class CausalForest:
         self.x = list(x)
         self.members = []
         cuts = _bins(df, x, self.bins)
+        self.cuts = [cuts[c] for c in x]
         base = df.select(F.expr(self.key).alias("__key"), expr_of(t).cast("int").alias("__t"), expr_of(y).alias("__y"), *[expr_of(c).alias(f"__x{i}") for i, c in enumerate(x)]).where("__t in (0, 1)")
         total = base.count()
-        for k in range(self.trees):
+        for _ in range(self.trees):
             tree = CausalTree("__key", bins=self.bins)
             tree.x, tree.nodes = [f"__x{i}" for i in range(len(x))], [Node(0, 0, "true")]
+            tree.least, tree.min_arm = self.least * self.share / 2, 10
             self.members.append(tree)
-        mine = {f"__x{i}": cuts[c] for i, c in enumerate(x)}
+        mine = {f"__x{i}": c for i, c in enumerate(self.cuts)}
         levels = {k: [0] for k in range(self.trees)}
         rng = np.random.default_rng(self.seed)
+        cells = self._cell_sums(base) if self._few() else None
         for _ in range(self.depth):
             if not any(levels.values()):
                 break
-            got = self._sums(base, mine, levels, honest=False)
+            sums = self._level_sums(base) if cells is None else self._level_of_cells(cells[:, 0], levels)
             for k, tree in enumerate(self.members):
                 after: list[int] = []
                 for node in levels[k]:
                     chosen = set(rng.permutation(len(x))[: max(1, min(len(x), self.mtry))].tolist())
-                    tree.least, tree.min_arm = self.least * self.share / 2, 10
-                    best = tree._best([r for r in got if r["tree"] == k and r["node"] == node and r["f"] in chosen], mine, total)
+                    best = tree._best(sums.get((k, node)), sorted(chosen), mine, total)
                     if best:
                         n = tree.nodes[node]
                         n.split = tree.x[best[0]], best[1]
@@ -346,49 +364,123 @@ class CausalForest:
                             n.children.append(tree.nodes[-1].id)
                             after.append(tree.nodes[-1].id)
                 levels[k] = after
-        leaf = self._leaves(base)
-        rows = leaf.groupBy("tree", "node", "__t").agg(F.count("__y").alias("n"), F.avg("__y").alias("m")).collect()
-        arms: dict = {}
-        for r in rows:
-            arms.setdefault((r["tree"], r["node"]), {})[r["__t"]] = r
-        for (k, node), a in arms.items():
-            if len(a) == 2:
+        for (k, node), a in (self._leaf_sums(base) if cells is None else self._leaves_of_cells(cells[:, 1])).items():
+            if a[:, 0].min() > 0:
                 n = self.members[k].nodes[node]
-                n.n, n.effect = a[0]["n"] + a[1]["n"], a[1]["m"] - a[0]["m"]
+                n.n, n.effect = int(a[:, 0].sum()), float(a[1, 1] / a[1, 0] - a[0, 1] / a[0, 0])
         return self
 
-    def _in(self, k: int, honest: bool) -> Column:
-        u = uniform(self.seed, F.col("__key"), k, "forest")
-        return (u >= self.share / 2) & (u < self.share) if honest else u < self.share / 2
+    # Cells
+
+    def _sizes(self) -> list[int]:
+        """For each feature its bins, and one for null, which counts in the first bin when splits are chosen and goes right like any value that isn't below the cut."""
+        return [len(c) + 2 for c in self.cuts]
+
+    def _few(self) -> bool:
+        return 4 * max(self.trees, 1) * math.prod(self._sizes()) <= self.CELLS
 
-    def _placed(self, base: DataFrame, honest: bool) -> DataFrame:
-        trees = F.array_compact(F.array(*[F.when(self._in(k, honest), F.struct(F.lit(k).alias("tree"), tree._node().alias("node"))) for k, tree in enumerate(self.members)]))
-        return base.withColumn("__m", F.explode(trees)).select("__t", "__y", *[f"__x{i}" for i in range(len(self.x))], F.col("__m.tree").alias("tree"), F.col("__m.node").alias("node"))
+    def _cell(self) -> Column:
+        out = F.lit(0)
+        for i, (c, size) in enumerate(zip(self.cuts, self._sizes(), strict=True)):
+            out = out * size + F.when(F.col(f"__x{i}").isNull(), size - 1).otherwise(_bin(f"__x{i}", c))
+        return out
+
+    def _digits(self) -> list[np.ndarray]:
+        """For each feature the bin of every cell."""
+        return list(np.unravel_index(np.arange(math.prod(self._sizes())), self._sizes()))
 
-    def _sums(self, base: DataFrame, cuts: dict, levels: dict, honest: bool) -> list:
-        open_ = F.lit(False)
+    def _cell_sums(self, base: DataFrame) -> np.ndarray:
+        """n, sum and sum of squares by tree, half (0: for splits, 1: honest), cell and arm."""
+        out = np.zeros((self.trees, 2, math.prod(self._sizes()), 2, 3))
+        got = self._members(base.select("__key", "__t", "__y", self._cell().alias("cell"))).groupBy("tree", "half", "cell", "__t").agg(F.count("__y").alias("n"), F.sum("__y").alias("s"), F.sum(F.col("__y") * F.col("__y")).alias("q")).toPandas()
+        out[got["tree"], got["half"], got["cell"], got["__t"]] = got[["n", "s", "q"]].fillna(0.0).to_numpy(float)
+        return out
+
+    def _node_of_cells(self, k: int, digits: list[np.ndarray]) -> np.ndarray:
+        at = np.zeros(len(digits[0]) if digits else 1, int)
+        for n in self.members[k].nodes:  # parents come before their children
+            if n.children:
+                f = int(n.split[0][3:])
+                right = digits[f] > self.cuts[f].index(n.split[1])
+                at = np.where(at == n.id, np.where(right, n.children[1], n.children[0]), at)
+        return at
+
+    def _level_of_cells(self, cells: np.ndarray, levels: dict) -> dict[tuple, list[np.ndarray]]:
+        digits, out = self._digits(), {}
         for k, nodes in levels.items():
-            if nodes:
-                open_ = open_ | ((F.col("tree") == k) & F.col("node").isin(*nodes))
-        binned = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), _bin(f"__x{i}", cuts[f"__x{i}"]).cast("double").alias("b")) for i in range(len(self.x))])).alias("k")
-        rows = self._placed(base, honest).where(open_).select("tree", "node", F.col("__t").alias("t"), F.col("__y").alias("y"), binned)
-        return rows.groupBy("tree", "node", "k.f", "k.b", "t").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).collect()
+            at = self._node_of_cells(k, digits) if nodes else None
+            for node in nodes:
+                own = at == node
+                out[k, node] = []
+                for d, c in zip(digits, self.cuts, strict=True):
+                    a = np.zeros((len(c) + 1, 2, 3))
+                    np.add.at(a, np.where(d > len(c), 0, d)[own], cells[k][own])
+                    out[k, node].append(a)
+        return out
 
-    def _leaves(self, base: DataFrame) -> DataFrame:
-        return self._placed(base, True)
+    def _leaves_of_cells(self, cells: np.ndarray) -> dict[tuple, np.ndarray]:
+        digits, out = self._digits(), {}
+        for k, tree in enumerate(self.members):
+            at = self._node_of_cells(k, digits)
+            out |= {(k, n.id): cells[k][at == n.id].sum(0) for n in tree.leaves()}
+        return out
+
+    # Rows
+
+    def _members(self, rows: DataFrame) -> DataFrame:
+        """A row for each tree that has it, with the half."""
+        u = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))).withColumn("__u", uniform(self.seed, F.col("__key"), F.col("tree"), "forest"))
+        return u.where(F.col("__u") < self.share).withColumn("half", (F.col("__u") >= self.share / 2).cast("int")).drop("__u", "__key")
+
+    def _placed(self, base: DataFrame, half: int) -> DataFrame:
+        """The rows of a half with their node. Trees are constant arrays in which each step looks up the node's feature, cut and left child, so the code doesn't grow with the trees."""
+        most = max(len(tree.nodes) for tree in self.members)
+
+        def constant(value, kind: str) -> Column:
+            flat = [value(n) for tree in self.members for n in tree.nodes + [Node(0, 0, "")] * (most - len(tree.nodes))]
+            return F.split(F.lit(",".join(map(str, flat))), ",").cast(f"array<{kind}>")
+
+        feature = constant(lambda n: int(n.split[0][3:]) if n.children else 0, "int")
+        cut = constant(lambda n: n.split[1] if n.children else 0.0, "double")
+        left = constant(lambda n: n.children[0] if n.children else 0, "int")
+        rows = base.select("__key", "__t", "__y", F.array(*[F.col(f"__x{i}") for i in range(len(self.x))]).alias("__x"))
+        rows = self._members(rows).where(F.col("half") == half).withColumn("node", F.lit(0))
+        for _ in range(max(n.depth for tree in self.members for n in tree.nodes)):
+            rows = rows.withColumn("__i", F.col("tree") * most + F.col("node"))
+            below = F.coalesce(F.get("__x", F.get(feature, F.col("__i"))) <= F.get(cut, F.col("__i")), F.lit(False))
+            rows = rows.withColumn("__l", F.get(left, F.col("__i"))).withColumn("node", F.when(F.col("__l") == 0, F.col("node")).when(below, F.col("__l")).otherwise(F.col("__l") + 1))
+        return rows.select("tree", "node", "__t", "__y", "__x")
+
+    def _level_sums(self, base: DataFrame) -> dict[tuple, list[np.ndarray]]:
+        """Of all leaves so far. A filter on the node would be pushed below the steps that find it and double them."""
+        binned = [F.struct(F.lit(i).alias("f"), sum((F.when(F.get("__x", F.lit(i)) > v, 1).otherwise(0) for v in c), F.lit(0)).alias("b")) for i, c in enumerate(self.cuts)]
+        rows = self._placed(base, 0).select("tree", "node", "__t", "__y", F.explode(F.array(*binned)).alias("k"))
+        got = rows.groupBy("tree", "node", "k.f", "k.b", "__t").agg(F.count("__y").alias("n"), F.sum("__y").alias("s"), F.sum(F.col("__y") * F.col("__y")).alias("q")).collect()
+        return _tables(got, self.cuts)
+
+    def _leaf_sums(self, base: DataFrame) -> dict[tuple, np.ndarray]:
+        out: dict[tuple, np.ndarray] = {}
+        for r in self._placed(base, 1).groupBy("tree", "node", "__t").agg(F.count("__y").alias("n"), F.sum("__y").alias("s")).collect():
+            out.setdefault((r["tree"], r["node"]), np.zeros((2, 2)))[r["__t"]] = r["n"], r["s"] or 0.0
+        return out
 
     def effect(self, df: DataFrame, name: str = "effect") -> DataFrame:
-        with_x = df.withColumns({f"__x{i}": expr_of(c) for i, c in enumerate(self.x)})
-        values = []
-        for tree in self.members:
-            out, leaf = F.lit(None).cast("double"), tree._node()
-            for n in tree.leaves():
-                if not math.isnan(n.effect):
-                    out = F.when(leaf == n.id, n.effect).otherwise(out)
-            values.append(out)
-        known = F.array_compact(F.array(*values))
-        mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(known), F.lit(0))
-        return with_x.withColumn(name, mean).drop(*[f"__x{i}" for i in range(len(self.x))])
+        """Appends the mean over the trees that have an effect for the row; null where none has."""
+        rows = df.withColumns({f"__x{i}": expr_of(c) for i, c in enumerate(self.x)})
+        own = [f"__x{i}" for i in range(len(self.x))]
+        if self._few():
+            digits, s, known = self._digits(), 0.0, 0
+            for k, tree in enumerate(self.members):
+                e = np.array([n.effect for n in tree.nodes])[self._node_of_cells(k, digits)]
+                s, known = s + np.where(np.isnan(e), 0.0, e), known + ~np.isnan(e)
+            means = ",".join(repr(float(a / b)) if b else "" for a, b in zip(s, known, strict=True)) if self.members else ""
+            return rows.withColumn(name, F.get(F.split(F.lit(means), ",").try_cast("array<double>"), self._cell())).drop(*own)
+        # A tree's effect is used twice in the next step, so the steps stay apart and no tree is tested twice.
+        rows = rows.withColumns({"__s": F.lit(0.0), "__n": F.lit(0), "__e": F.lit(None).cast("double")})
+        for tree in [*self.members, None]:
+            e = F.col("__e")
+            rows = rows.withColumns({"__s": F.col("__s") + F.coalesce(e, F.lit(0.0)), "__n": F.col("__n") + e.isNotNull().cast("int")} | ({"__e": tree._effect()} if tree else {}))
+        return rows.withColumn(name, F.col("__s") / F.nullif("__n", F.lit(0))).drop(*own, "__s", "__n", "__e")
 
     def variable_importance(self) -> dict[str, float]:
         counts = {c: 0 for c in self.x}

@@ -280,3 +280,37 @@ def test_kaplan_meier_with_censoring(spark):
     got = [(r["time"], r["at_risk"], r["events"], round(r["survival"], 6)) for r in features.kaplan_meier(df, "t", "e").orderBy("time").collect()]
     assert got == [(1, 5, 1, 0.8), (2, 4, 0, 0.8), (3, 3, 2, round(0.8 / 3, 6)), (4, 1, 0, round(0.8 / 3, 6))]
     assert features.kaplan_meier(df.where("t = 3"), "t", "e").first()["survival"] == 0
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 0])
+def test_forest_equals_brute_force(spark, monkeypatch, cells):
+    """20 trees of depth 5, grown from sums of cells and level by level: the effect of a row is the mean over trees of its honest leaf, as its rules say."""
+    monkeypatch.setattr(uplift.CausalForest, "CELLS", cells)
+    df = spark.range(6000).selectExpr("id", "pmod(xxhash64(id), 50) / 5d as a", "if(id % 9 = 0, null, pmod(xxhash64(id, 1), 40)) as b", "cast(id % 2 as int) as t").withColumn("y", F.expr("if(id % 31 = 0, null, a * t + b % 3)"))
+    forest = uplift.CausalForest("id", mtry=2).fit("y", "t", ["a", "b"], df)
+    effect = F.col("effect")
+    plan = forest.effect(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE") < 1500  # each split once, not once for each leaf of its tree
+    got = forest.effect(df).select("id", "effect").toPandas().set_index("id")["effect"]
+    halves = forest._members(df.select("id", F.col("id").alias("__key"))).where("half = 1").groupBy("tree").agg(F.collect_set("id").alias("ids"))
+    honest = {r["tree"]: set(r["ids"]) for r in halves.collect()}
+    rows = df.toPandas().set_index("id")
+    known = []
+    for k, tree in enumerate(forest.members):
+        own = rows[rows.index.isin(honest[k])]
+        leaf = lambda frame, tree=tree: np.array([_leaf(tree, r.a, r.b) for r in frame.itertuples()])
+        at, means = leaf(own), {}
+        for n in tree.leaves():
+            arm = [own["y"][(at == n.id) & (own["t"] == a)].mean() for a in (0, 1)]
+            means[n.id] = arm[1] - arm[0]
+            assert n.effect == pytest.approx(means[n.id], rel=1e-9)
+        known.append([means[i] for i in leaf(rows)])
+    assert max(len(tree.nodes) for tree in forest.members) > 15
+    assert got[rows.index].to_numpy() == pytest.approx(np.mean(known, axis=0), rel=1e-9)
+
+
+def _leaf(tree, a, b) -> int:
+    n = tree.nodes[0]
+    while n.children:
+        n = tree.nodes[n.children[0 if {"__x0": a, "__x1": b}[n.split[0]] <= n.split[1] else 1]]
+    return n.id
