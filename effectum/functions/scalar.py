@@ -43,16 +43,17 @@ def quantiles(x, *levels: float, exact: bool = False) -> Column:
     return F.array(*[quantile(x, v, True) for v in levels]) if exact else F.percentile_approx(_c(x), F.array(*map(F.lit, levels)))
 
 
-def any_last(x, order) -> Column:
-    """The value in the last row by ``order``."""
-    return F.max_by(_c(x), _c(order))
+def any_last(x, order, *place) -> Column:
+    """The value in the last row by ``order``, of rows with a value and an order. Of equal ones it is the first by ``place`` (numbers); without it, any."""
+    return F.max_by(_c(x), F.when(_c(x).isNotNull() & _c(order).isNotNull(), F.struct(_c(order), *[-_c(p) for p in place])) if place else _c(order))
 
 
 any_max = any_last
 
 
-def any_min(x, order) -> Column:
-    return F.min_by(_c(x), _c(order))
+def any_min(x, order, *place) -> Column:
+    """The same in the first row by ``order``."""
+    return F.min_by(_c(x), F.when(_c(x).isNotNull() & _c(order).isNotNull(), F.struct(_c(order), *map(_c, place))) if place else _c(order))
 
 
 def rand(seed: int = 0) -> Column:

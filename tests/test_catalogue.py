@@ -49,3 +49,20 @@ def test_uplift_queries_read_all_line_items(spark, name):
 @pytest.mark.parametrize("name", ["boot_strap", "boot_strap_multi", "boot_strap_ols", "permutation"])
 def test_resampling_queries_make_the_default_replicates(spark, name):
     assert catalogue.queries()[name](spark, DATA).select("replicate").distinct().count() >= 100
+
+
+def test_aggregates_of_tied_prices_take_the_first_row(spark, tmp_path):
+    """60,000 line items at 20 prices, as one file and as 7: the quantities at the extreme prices are those of the first rows, as in SQL on one thread. Nulls are among them."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("set threads = 1")
+    c.execute(f"create table t as select * replace (l_orderkey + i as l_orderkey, if((l_orderkey + i) % 997 = 0, null, l_quantity) as l_quantity, if((l_orderkey + i) % 13 = 0, null, l_partkey % 20)::double as l_extendedprice) from range(10) r(i), '{DATA}/lineitem.parquet'")
+    n = c.execute("select count(*) from t").fetchone()[0]
+    for files in (1, 7):
+        folder = tmp_path / str(files) / "lineitem.parquet"
+        folder.mkdir(parents=True)
+        for i in range(files):
+            c.execute(f"copy (select * from t where rowid * {files} // {n} = {i}) to '{folder}/part-{i}.parquet' (format parquet, row_group_size 4000)")
+        c.execute(f"create or replace view lineitem as select * from read_parquet('{folder}/*.parquet')")
+        assert rows(catalogue.queries()["aggregates"](spark, str(folder.parent)).toPandas()) == rows(c.execute(catalogue.oracle_sql()["aggregates"]).df())
