@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .hypothesis import Metric
 from .moments import MeanFunction, expr_of, finish, moment_columns, moments_of
@@ -85,17 +86,159 @@ def replicated(df: DataFrame, replicates: range) -> DataFrame:
     return df.withColumn("replicate", F.explode(ids))
 
 
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+#: Rows that are drawn for at a time, so that the work stays in the processor's cache.
+_CHUNK = 8192
+
+
+def _hash_on(h: np.ndarray, replicate: int, use: bytes) -> np.ndarray:
+    """xxhash64(..., replicate, use) of Spark from ``h``, the hash of what stands before."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    v, tmp = np.empty_like(h), np.empty_like(h)
+
+    def rotate(r: int) -> None:
+        np.right_shift(v, np.uint64(64 - r), out=tmp)
+        np.left_shift(v, np.uint64(r), out=v)
+        np.bitwise_or(v, tmp, out=v)
+
+    def mixed(x: int) -> np.uint64:
+        return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
+
+    def word(x: int, bytes_: int) -> None:
+        if bytes_ == 8:
+            k = x * int(p2) & 0xFFFFFFFFFFFFFFFF
+            np.bitwise_xor(v, mixed((k << 31 | k >> 33) * int(p1)), out=v)
+            r, m, plus = 27, p1, p4
+        elif bytes_ == 4:
+            np.bitwise_xor(v, mixed(x * int(p1)), out=v)
+            r, m, plus = 23, p2, p3
+        else:
+            np.bitwise_xor(v, mixed(x * int(p5)), out=v)
+            r, m, plus = 11, p1, None
+        rotate(r)
+        np.multiply(v, m, out=v)
+        if plus is not None:
+            np.add(v, plus, out=v)
+
+    def finished() -> None:
+        for shift, prime in ((33, p2), (29, p3), (32, None)):
+            np.right_shift(v, np.uint64(shift), out=tmp)
+            np.bitwise_xor(v, tmp, out=v)
+            if prime is not None:
+                np.multiply(v, prime, out=v)
+
+    np.add(h, mixed(int(p5) + 4), out=v)
+    word(replicate & 0xFFFFFFFF, 4)
+    finished()
+    np.add(v, mixed(int(p5) + len(use)), out=v)
+    at = 0
+    while at < len(use):
+        step = next(n for n in (8, 4, 1) if at + n <= len(use))
+        word(int.from_bytes(use[at : at + step], "little"), step)
+        at += step
+    finished()
+    return v
+
+
+def _limits(rate: float) -> tuple[int, list[np.uint64]]:
+    """A Poisson count as ``poisson_weight(uniform(...))`` has it: a fixed number, and one for each of these bounds that the hash is above."""
+    p = c = math.exp(-rate)
+    least, bounds = 0, []
+    for k in range(12 + int(6 * rate)):
+        if k:
+            p *= rate / k
+            c += p
+        lo, hi = -1, (1 << 53) - 1  # the largest number of 53 bits whose uniform number is at most c
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if (float(mid) + 0.5) / float(1 << 53) <= c else (lo, mid - 1)
+        if lo < 0:
+            least += 1
+        else:
+            bounds.append(np.uint64(lo << 11 | 0x7FF))
+    return least, bounds
+
+
+def _codes(columns: list) -> tuple[np.ndarray, list[int]]:
+    """For each row the number of its group among rows equal in all columns (null is a value), and a row of each group."""
+    code = np.zeros(len(columns[0]) if columns else 0, np.int64)
+    for c in columns:
+        own = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first.tolist()
+
+
 def weighted_sums(df: DataFrame, values: list[Column], weight: Column, key: str, replicates: range, rate: float, seed: int, by: list[Column] = (), point: bool = False) -> DataFrame:
-    """By replicate (and ``by``) the sums of w and w x, w the row's weight times a Poisson count; with ``point``, replicate 0 counts each row once."""
-    named = [v.alias(f"__v{i}") for i, v in enumerate(values)]
-    groups = [c.alias(f"g{i}") for i, c in enumerate(by)]
-    rows = replicated(df.select(F.expr(key).alias("__key"), weight.alias("__w"), *named, *groups), replicates)
-    # The uniform number is a column of its own, so that the comparisons don't each compute it.
-    count = poisson_weight(F.col("__u"), rate)
-    rows = rows.withColumn("__u", uniform(seed, F.col("__key"), F.col("replicate"), "bootstrap")).withColumn("__n", F.when(F.col("replicate") == 0, 1).otherwise(count) if point else count).where("__n > 0")
-    w = F.col("__n") * F.col("__w")
-    sums = [F.sum(w).cast("double").alias("w"), *[F.sum(w * F.col(f"__v{i}")).alias(f"s{i}") for i in range(len(values))]]
-    return rows.groupBy("replicate", *[f"g{i}" for i in range(len(by))]).agg(*sums)
+    """By replicate (and ``by``) the sums of w and w x, w the row's weight times a Poisson count; with ``point``, replicate 0 counts each row once.
+
+    Counts are those of ``poisson_weight(uniform(...))``. A row's hash of key and seed comes from Spark; its replicates are drawn by numpy, many rows at once, and
+    summed where the rows are, so that no row is copied.
+    """
+    k, g = len(values), len(by)
+    rows = df.select(F.xxhash64(F.expr(key), F.lit(seed)).alias("__h"), weight.cast("double").alias("__w"), *[v.cast("double").alias(f"__v{i}") for i, v in enumerate(values)], *[c.alias(f"g{i}") for i, c in enumerate(by)])
+    schema = StructType([StructField("replicate", IntegerType()), *[rows.schema[f"g{i}"] for i in range(g)], *[StructField(n, DoubleType()) for n in ("w", *[f"s{i}" for i in range(k)])]])
+
+    def sums(batches):
+        import pyarrow as pa
+
+        least, bounds = _limits(rate)
+        total: dict = {}  # by group: sums, and whether a number was summed, by replicate and column
+        scalars: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            column = lambda n: batch.column(names.index(n))  # noqa: B023, E731
+            h = column("__h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            w = column("__w").fill_null(0.0).to_numpy(zero_copy_only=False)
+            known = [column("__w").is_valid().to_numpy(zero_copy_only=False)]
+            x = [w]
+            for i in range(k):
+                known.append(known[0] & column(f"__v{i}").is_valid().to_numpy(zero_copy_only=False))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    x.append(np.where(known[-1], w * column(f"__v{i}").fill_null(0.0).to_numpy(zero_copy_only=False), 0.0))
+            x, known = np.column_stack(x), np.column_stack(known)
+            groups = [column(f"g{i}") for i in range(g)]
+            code, first = _codes(groups) if g else (np.zeros(len(h), np.int64), [0])
+            for c, row in enumerate(first):
+                group = tuple(col[row].as_py() for col in groups)
+                scalars.setdefault(group, [col[row] for col in groups])
+                s, seen = total.setdefault(group, (np.zeros((len(replicates), k + 1)), np.zeros((len(replicates), k + 1), bool)))
+                own = np.flatnonzero(code == c) if len(first) > 1 else np.arange(len(h))
+                for at in range(0, len(own), _CHUNK):
+                    part = own[at : at + _CHUNK]
+                    hp, xp, kp = h[part], x[part], known[part]
+                    finite, whole = np.isfinite(xp).all(), kp.all()
+                    for j, r in enumerate(replicates):
+                        if point and r == 0:
+                            n = np.ones(len(hp))
+                        else:
+                            u = _hash_on(hp, r, b"bootstrap")
+                            top, count = u.max(), np.full(len(u), least, np.uint8 if len(bounds) + least < 256 else np.int32)
+                            for b in bounds:
+                                if top <= b:
+                                    break
+                                count += (u > b).view(np.uint8)
+                            n = count.astype(float)
+                        # 0 times infinity isn't 0, and rows that aren't drawn don't count.
+                        s[j] += n @ xp if finite else (n[n > 0] @ xp[n > 0])
+                        if whole:
+                            seen[j] |= bool(n.any())
+                        elif not seen[j].all():
+                            seen[j] |= kp[n > 0].any(0)
+        for group, (s, seen) in total.items():
+            drawn = seen.any(1)
+            m = int(drawn.sum())
+            if not m:
+                continue
+            out = [pa.array(np.array(replicates, np.int32)[drawn], pa.int32())]
+            out += [pa.array([v.as_py()] * m, v.type) for v in scalars[group]]
+            out += [pa.array(s[drawn, i], pa.float64(), mask=~seen[drawn, i]) for i in range(k + 1)]
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    parts = rows.mapInArrow(sums, schema)
+    return parts.groupBy("replicate", *[f"g{i}" for i in range(g)]).agg(F.sum("w").alias("w"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
 
 
 def permutation(df: DataFrame, y: str, index: str, key: str, *, permutation_num: int = 100, mde: float = 0.0, mde_type: int = 1, scheme: str = "shuffle", statistic: str = "diff", seed: int = 0) -> DataFrame:

@@ -314,3 +314,18 @@ def _leaf(tree, a, b) -> int:
     while n.children:
         n = tree.nodes[n.children[0 if {"__x0": a, "__x1": b}[n.split[0]] <= n.split[1] else 1]]
     return n.id
+
+
+def test_weighted_sums_equal_the_drawn_rows(spark):
+    """The sums equal those over rows copied for each replicate, with nulls in all columns, infinities and a group of nulls; rates below and above 1."""
+    df = spark.range(20_000).selectExpr("id", "if(id % 7 = 0, null, concat('k', id)) as k", "if(id % 5 = 0, null, cast(id % 3 as int)) as g", "if(id % 11 = 0, null, id / 7d) as v", "if(id = 4, double('inf'), id % 10) as z", "if(id % 13 = 0, null, 1 / (1d + id % 4)) as w")
+    for rate in (0.3, 1.0, 45.0):
+        got = resampling.weighted_sums(df, [F.col("v"), F.col("z")], F.col("w"), "k", range(6), rate, 5, [F.col("g")], point=True)
+        u = resampling.uniform(5, F.col("k"), F.col("replicate"), "bootstrap")
+        rows = resampling.replicated(df, range(6)).withColumn("u", u).withColumn("n", F.when(F.col("replicate") == 0, 1).otherwise(resampling.poisson_weight(F.col("u"), rate))).where("n > 0")
+        want = rows.groupBy("replicate", F.col("g").alias("g0")).agg(F.sum(F.col("n") * F.col("w")).alias("w"), F.sum(F.col("n") * F.col("w") * F.col("v")).alias("s0"), F.sum(F.col("n") * F.col("w") * F.col("z")).alias("s1"))
+        order = lambda d: sorted((tuple(r) for r in d.collect()), key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+        a, b = order(got), order(want)
+        assert len(a) == 24 and [r[:2] for r in a] == [r[:2] for r in b]
+        assert [r[2:] for r in a] == [pytest.approx(r[2:], rel=1e-12) for r in b]
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # before: each row was copied for each replicate
