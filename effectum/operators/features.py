@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .moments import expr_of
+from .ranges import exact_quantiles
 from .regression import Formula, fit_ols
 
 NUMBERS = ("count", "avg", "std", "min", "quantile_0.25", "quantile_0.5", "quantile_0.75", "quantile_0.9", "quantile_0.99", "max")
@@ -25,7 +26,7 @@ def cut_bins(column: str | Column, bins: list[float], if_string: bool = True) ->
 
 
 class Bucketizer:
-    """Bins by given bounds, or by quantiles that are found in one aggregation."""
+    """Bins by given bounds, or by exact quantiles."""
 
     def __init__(self, input_cols: list[str], splits: list[list[float]] | None = None, quantiles: list[float] = (0.25, 0.5, 0.75, 0.9, 0.95), output_cols: list[str] | None = None, if_string: bool = True):
         self.cols, self.splits, self.quantiles, self.if_string = list(input_cols), splits, list(quantiles), if_string
@@ -33,8 +34,7 @@ class Bucketizer:
 
     def fit(self, df: DataFrame) -> DataFrame:
         if self.splits is None:
-            r = df.agg(*[F.expr(f"percentile({c}, array({', '.join(map(str, self.quantiles))}))").alias(f"q{i}") for i, c in enumerate(self.cols)]).first()
-            self.splits = [sorted(set(r[f"q{i}"])) for i in range(len(self.cols))]
+            self.splits = [sorted(set(exact_quantiles(df, c, self.quantiles))) for c in self.cols]
         return df.withColumns({o: cut_bins(c, s, self.if_string) for o, c, s in zip(self.out, self.cols, self.splits, strict=True)})
 
 
@@ -91,8 +91,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 def five_numbers(df: DataFrame, col: str) -> DataFrame:
     """Minimum, quartiles and maximum, and the whiskers 1.5 interquartile ranges out."""
-    q = df.agg(F.expr(f"percentile({col}, array(0, 0.25, 0.5, 0.75, 1))").alias("q"))
-    out = q.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("minimum", "q1", "median", "q3", "maximum"))])
+    out = df.sparkSession.createDataFrame([tuple(exact_quantiles(df, col, [0, 0.25, 0.5, 0.75, 1]))], "minimum double, q1 double, median double, q3 double, maximum double")
     iqr = F.col("q3") - F.col("q1")
     return out.withColumn("lower_whisker", F.greatest("minimum", F.col("q1") - 1.5 * iqr)).withColumn("upper_whisker", F.least("maximum", F.col("q3") + 1.5 * iqr))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,46 @@ def range_bounds(df: DataFrame, order: str) -> list:
     return sorted({b for b in found or [] if b == b})
 
 
+def exact_quantiles(df: DataFrame, column: str, levels: list[float], accuracy: int = 10_000) -> list:
+    """Exact quantiles of a number, between two values by their distance, as ``percentile`` has them, without all values in one task; null where there are no values.
+
+    Approximate quantiles bracket each level; a second aggregation counts what lies below the brackets, and only distinct values within them, a few
+    thousandths of the rows, reach the driver. A bracket that misses its level is widened, at last to all values.
+    """
+    rows = df.select(F.expr(column).cast("double").alias("v")).where("v is not null")
+    within = 2 / accuracy
+    while True:
+        shares = [s for p in levels for s in (max(p - within, 0.0), min(p + within, 1.0))]
+        r = rows.agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", F.array(*map(F.lit, shares)), F.lit(accuracy)).alias("q")).first()
+        n = r["n"]
+        if not n:
+            return [None] * len(levels)
+        at = [(math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in levels]
+        # The ends are known; other brackets reach the ends where their share does.
+        ends = [i for i, (a, b) in enumerate(at) if b == 0 or a == n - 1]
+        brackets = {i: (r["min"] if shares[2 * i] <= 0 else r["q"][2 * i], r["max"] if shares[2 * i + 1] >= 1 else r["q"][2 * i + 1]) for i in range(len(levels)) if i not in ends}
+        out = {i: r["min"] if at[i][1] == 0 else r["max"] for i in ends}
+        if not brackets:
+            break
+        inside = F.lit(False)
+        for lo, hi in brackets.values():
+            inside = inside | F.col("v").between(lo, hi)
+        below = rows.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in brackets.items()], *[F.count_if(F.col("v") <= hi).alias(f"e{i}") for i, (_, hi) in brackets.items()]).first()
+        if any(not below[f"b{i}"] <= at[i][0] <= at[i][1] < below[f"e{i}"] for i in brackets):
+            within *= 10
+            continue
+        found = rows.where(inside).groupBy("v").agg(F.count("*").alias("n")).toPandas().sort_values("v")
+        v, count = found["v"].to_numpy(float), found["n"].to_numpy()
+        for i, (lo, _) in brackets.items():
+            start = np.searchsorted(v, lo)
+            reach = below[f"b{i}"] + np.cumsum(count[start:])
+            a, b = (float(v[start + np.searchsorted(reach, k, "right")]) for k in at[i])
+            place = (n - 1) * levels[i]
+            out[i] = a if a == b else (at[i][1] - place) * a + (place - at[i][0]) * b
+        break
+    return [out[i] for i in range(len(levels))]
+
+
 def with_range(df: DataFrame, order: str, bounds: list, name: str) -> DataFrame:
     """The rows with the number of the bounds below their value: it follows from the value alone, so any two plans agree on it.
 

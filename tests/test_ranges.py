@@ -77,3 +77,16 @@ def test_matching_numbers_every_row_once(wide):
     p = wide.agg(F.sum("t")).first()[0]
     s = got.groupBy("t").agg(F.count("*").alias("n"), F.countDistinct("matching_index").alias("d"), F.max(F.abs("matching_index")).alias("m")).collect()
     assert {(r["t"], r["n"], r["d"], r["m"]) for r in s} == {(0, min(p, N - p), min(p, N - p), min(p, N - p)), (1, min(p, N - p), min(p, N - p), min(p, N - p))}
+
+
+def test_exact_quantiles_equal_percentile_without_its_map(spark):
+    """Values without ties and with many, few rows, nulls, NaN and no rows. No task has all distinct values, as it had in Spark's percentile."""
+    levels = [0, 0.001, 0.25, 0.333, 0.5, 0.75, 0.9999, 1]
+    many = spark.range(30_000).selectExpr("pow(pmod(id * 7919, 30011), 2) / 7 as v", "pmod(id, 40) as tied")
+    few = spark.createDataFrame([(1.0,), (None,), (2.5,), (float("nan"),), (2.5,), (-7.0,)], "v double")
+    for df, c in ((many, "v"), (many, "tied"), (few, "v"), (few.where("v = 1"), "v")):
+        want = df.agg(F.expr(f"percentile({c}, array({', '.join(map(str, levels))}))")).first()[0]
+        for accuracy in (10_000, 10):
+            assert ranges.exact_quantiles(df, c, levels, accuracy) == pytest.approx(want, rel=1e-12, nan_ok=True)
+    assert ranges.exact_quantiles(few.where("v is null"), "v", levels) == [None] * len(levels)
+    assert "percentile(" not in features.five_numbers(many, "v")._jdf.queryExecution().executedPlan().toString()
