@@ -123,10 +123,13 @@ def tgamma(x) -> Column:
 
 
 def gcd(x, y) -> Column:
-    """The greatest common divisor, by Euclid's steps (64-bit numbers need fewer than 92)."""
-    start = F.struct(F.abs(_c(x).cast("long")).alias("a"), F.abs(_c(y).cast("long")).alias("b"))
+    """The greatest common divisor, by Euclid's steps: as many as the smaller number's digits can need (64-bit numbers fewer than 92)."""
+    a, b = F.abs(_c(x).cast("long")), F.abs(_c(y).cast("long"))
+    # Each two steps shrink the remainder by the square of the golden ratio at least: 1.4405 = 1 / log2 of it.
+    steps = F.least(F.lit(92), F.floor(F.log2(F.least(a, b).cast("double") + 1) * 1.4405).cast("int") + 3)
+    start = F.struct(a.alias("a"), b.alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"]))
 
 
 def lcm(x, y) -> Column:
